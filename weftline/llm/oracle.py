@@ -2,6 +2,28 @@
 
 from __future__ import annotations
 
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+OP9 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hex FROM p),
+bits AS (
+  SELECT *, list_transform(range(40), lambda i: strpos('0123456789abcdef', substr(hex, i::int + 1, 1)) - 1) AS nibble FROM h
+),
+d AS (
+  SELECT page_id, payload_bytes, hex,
+    array_to_string(list_transform(range(32), lambda k: substr('{_BASE32}',
+      1 + list_sum(list_transform(range(5), lambda j:
+        ((nibble[((5 * k + j) // 4)::int + 1] >> (3 - (5 * k + j) % 4)::int) & 1) << (4 - j)::int))::int, 1)), '') AS payload_digest,
+    min(page_id) OVER (PARTITION BY hex) AS first_id
+  FROM bits
+)
+SELECT page_id, payload_bytes::bigint AS payload_bytes, payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM d
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": OP9}

@@ -9,8 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .mixing import cyclic_weights, mix_sources
 from .token_binary import read_token_files, write_token_files
 from .token_counts import token_counts
+from .warc import read_warc, resolve_revisits, write_warc
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"), cyclic_weights((3, 1, 2)), share=1.5, cap=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,5 +29,10 @@ def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, manifest)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = write_warc(resolve_revisits(table(spark, sf_dir, "pages"), min_bytes=0))
+    return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
