@@ -82,28 +82,41 @@ def solve_dual(histogram: DataFrame, sources: list[dict], cap: float, tolerance:
     return done | {k: v["at"] for k, v in open_.items()}
 
 
-def _close_gap(copies: np.ndarray, size: np.ndarray, rate: np.ndarray, gap: float, rounds: int = 8, pairs_up_to: int = 256) -> np.ndarray:
-    """Round one document the other way, or two where the block is small, as long as that brings the words taken nearer."""
-    low = np.floor(rate)
-    for _ in range(rounds):
-        change = np.where(low < rate, np.where(copies > low, -1, 1), 0) * size
-        one = int(np.argmin(np.abs(gap - change)))
-        flip, left = [one], abs(gap - change[one])
-        if len(size) <= pairs_up_to:
-            both = np.abs(gap - change[:, None] - change[None, :])
-            np.fill_diagonal(both, np.inf)
-            a, b = np.unravel_index(int(np.argmin(both)), both.shape)
-            if both[a, b] < left:
-                flip, left = [a, b], both[a, b]
-        if left >= abs(gap):
-            break
-        for i in flip:
-            copies[i] += np.sign(change[i])
-        gap -= sum(change[i] for i in flip)
+def _close_gap(copies: np.ndarray, size: np.ndarray, rate: np.ndarray, wanted: float, most: int, rounds: int = 8, pairs_up_to: int = 512, near: float = 0.002) -> np.ndarray:
+    """Change the copies of one document, or of two where the block is small, as long as that brings the words taken nearer.
+
+    First among the documents whose rate is fractional (round the other way); where that leaves more than `near` of the
+    words wanted, as it may in a source of a few documents, among all of them.
+    """
+    low, gap = np.floor(rate), wanted - float((copies * size).sum())
+    for free in (False, True):
+        for _ in range(rounds):
+            if free and abs(gap) <= near * wanted:
+                break
+            up = (copies < most) & (free | ((low < rate) & (copies == low)))
+            down = (copies > 0) & (free | ((low < rate) & (copies > low)))
+            doc = np.concatenate([np.flatnonzero(up), np.flatnonzero(down)])
+            sign = np.repeat([1, -1], [up.sum(), down.sum()])
+            if not len(doc):
+                break
+            change = sign * size[doc]
+            one = int(np.argmin(np.abs(gap - change)))
+            flips, left = [one], abs(gap - change[one])
+            if len(doc) <= pairs_up_to:
+                both = np.abs(gap - change[:, None] - change[None, :])
+                both[doc[:, None] == doc[None, :]] = np.inf
+                i, j = np.unravel_index(int(np.argmin(both)), both.shape)
+                if both[i, j] < left:
+                    flips, left = [i, j], both[i, j]
+            if left >= abs(gap):
+                break
+            for i in flips:
+                copies[doc[i]] += sign[i]
+                gap -= change[i]
     return copies
 
 
-def _round_block(rows: pd.DataFrame) -> pd.DataFrame:
+def _round_block(rows: pd.DataFrame, most: int) -> pd.DataFrame:
     """Whole copies, the floor or the ceiling of each rate, so that at every point the words taken are as near as can be to those wanted; longest first, so the last and smallest documents close the gap."""
     rows = rows.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], kind="stable")
     wanted, taken, copies = 0.0, 0, []
@@ -113,7 +126,7 @@ def _round_block(rows: pd.DataFrame) -> pd.DataFrame:
         c = low + (low < rate and wanted - taken - low * size > size / 2)
         taken += c * size
         copies.append(c)
-    copies = _close_gap(np.array(copies), rows["size"].to_numpy(), rows["rate"].to_numpy(), wanted - taken)
+    copies = _close_gap(np.array(copies), rows["size"].to_numpy(), rows["rate"].to_numpy(), wanted, most)
     return rows.assign(copies=copies)[["doc_id", "size", "source_no", "rate", "copies"]].astype({"copies": "int32"})
 
 
@@ -156,7 +169,7 @@ def mix_sources(
     rated = slim.join(F.broadcast(known), slim.source.eqNullSafe(F.col("known_source"))).select(
         "doc_id", "source_no", "size", tilt.alias("rate"), F.xxhash64("doc_id").alias("order"), F.pmod(F.xxhash64(F.col("doc_id"), F.lit("block")), F.col("blocks")).alias("block")
     )
-    rounded = rated.groupBy("source_no", "block").applyInPandas(_round_block, f"doc_id {id_type}, size long, source_no int, rate double, copies int")
+    rounded = rated.groupBy("source_no", "block").applyInPandas(lambda block: _round_block(block, math.floor(cap)), f"doc_id {id_type}, size long, source_no int, rate double, copies int")
     return rounded.join(F.broadcast(known), "source_no").select(
         F.col("doc_id").alias(id_col), F.col("known_source").alias("source"), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
