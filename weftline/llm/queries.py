@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .mixing import cyclic_weights, mix_sources
+from .simhash import near_duplicates
 from .token_binary import read_token_files, write_token_files
 from .token_counts import token_counts
 from .warc import read_warc, resolve_revisits, write_warc
@@ -34,5 +35,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
