@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import language_id, quality
+from .common import held_out, table
 from .mixing import cyclic_weights, mix_sources
 from .simhash import near_duplicates
 from .token_binary import read_token_files, write_token_files
@@ -16,6 +17,18 @@ from .token_counts import token_counts
 from .warc import read_warc, resolve_revisits, write_warc
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.filter(~held_out("doc_id")))
+    return language_id.identify(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels").filter(~held_out("doc_id")))
+    return quality.score(docs, model, threshold=0.3).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"), cyclic_weights((3, 1, 2)), share=1.5, cap=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
