@@ -12,6 +12,7 @@ from . import language_id, quality
 from .common import held_out, table
 from .mixing import cyclic_weights, mix_sources
 from .simhash import near_duplicates
+from .suffix_dedup import remove_repeats
 from .token_binary import read_token_files, write_token_files
 from .token_counts import token_counts
 from .warc import read_warc, resolve_revisits, write_warc
@@ -34,6 +35,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
