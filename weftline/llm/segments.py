@@ -6,7 +6,9 @@ Python worker and kept in a bounded memo, so the tokenizer only sees segments th
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from array import array
 
 import numpy as np
@@ -17,6 +19,9 @@ import pyarrow.compute as pc
 _WIDE = r"[\s\v\x1c-\x1f\x{85}\p{Z}]"
 _UNSAFE = f"{_WIDE} | {_WIDE}"
 
+#: Letters of which byte-level BPE makes one word, then marks of which it makes another; a part of the segments only, but the most frequent.
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
 _loaded: dict[tuple[str, str], "SegmentEncoder"] = {}
 
 
@@ -27,6 +32,13 @@ def encoder(path: str, boundary: str) -> "SegmentEncoder":
     return _loaded[path, boundary]
 
 
+def _byte_letters() -> dict[str, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else the next one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): chr(b) for b in plain} | {chr(b): chr(256 + i) for i, b in enumerate(other)}
+
+
 def slices_by_bytes(texts: pa.Array, limit: int):
     """(start, stop) of runs of rows with about `limit` bytes each; a longer text is a run of its own."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -68,6 +80,11 @@ class SegmentEncoder:
         self.tokenizer.no_padding()
         self.lead, self.memo_limit = boundary == "lead", memo_limit
         self.memo: dict[str, bytes] = {}
+        parts = json.loads(self.tokenizer.to_str())
+        byte_level = parts["pre_tokenizer"] or {}
+        self.direct = self.lead and parts["normalizer"] is None and byte_level.get("type") == "ByteLevel" and byte_level["use_regex"] and not byte_level["add_prefix_space"] and parts["post_processor"] is None
+        self.model, self.words = self.tokenizer.model, {}
+        self.letters = {ord(c): m for c, m in _byte_letters().items()}
 
     def _ids(self, segments: list[str]) -> list[bytes]:
         """The ids of each segment as bytes of unsigned 32-bit integers."""
@@ -78,6 +95,8 @@ class SegmentEncoder:
             if len(memo) + len(new) > self.memo_limit:
                 memo.clear()
             fresh = {}
+            if self.direct:
+                new = [s for s in new if not self._plain(s, fresh)]
             for i in range(0, len(new), 4096):
                 part = new[i : i + 4096]
                 for s, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
@@ -86,6 +105,22 @@ class SegmentEncoder:
             found = [fresh[s] if x is None else x for s, x in zip(segments, found)]
         return found
 
+    def _plain(self, segment: str, into: dict[str, bytes]) -> bool:
+        """Put a plain word's ids, and those of the marks after it, into `into`: the model needs no more than the word's bytes."""
+        found = _PLAIN.fullmatch(segment)
+        if not found:
+            return False
+        ids = []
+        for part in found.groups():
+            if part and (known := self.words.get(part)) is None:
+                if len(self.words) > self.memo_limit:
+                    self.words.clear()
+                known = array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
+                self.words[part] = known
+            ids.append(known if part else b"")
+        into[segment] = b"".join(ids)
+        return True
+
     def encode(self, texts: pa.Array, lengths_only: bool = False) -> tuple[np.ndarray | None, np.ndarray]:
         """All ids of the texts one after the other (None if lengths_only), and the number of ids of each text. Null is empty."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
