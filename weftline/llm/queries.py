@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import language_id, quality
 from .common import held_out, table
+from .fingerprint import fingerprints_with_next
 from .mixing import cyclic_weights, mix_sources
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
@@ -35,6 +36,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints_with_next(table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=400)
 
