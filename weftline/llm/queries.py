@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import language_id, quality
 from .common import held_out, table
+from .decontaminate import contaminated
 from .fingerprint import fingerprints_with_next
 from .mixing import cyclic_weights, mix_sources
 from .simhash import near_duplicates
@@ -36,6 +37,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), share=0.5, overlap=0.5)
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints_with_next(table(spark, sf_dir, "documents"))
 
