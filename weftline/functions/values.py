@@ -32,7 +32,8 @@ def ratio(raw: Column | str, count: Column, total: Column) -> Column:
 
 def score_0_to_3(c: Column | str) -> Column:
     """Half-even rounding, held within 0 and 3."""
-    return F.greatest(F.lit(0), F.least(F.lit(3), F.bround(lenient_number(c), 0).cast("int")))
+    x = lenient_number(c)
+    return F.when(x.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(3), F.bround(x, 0).cast("int"))))
 
 
 def verdict_of_score(score: Column | str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,17 +36,23 @@ def ready_steps(plan: DataFrame, done: DataFrame) -> DataFrame:
     return waiting.join(unmet, ["plan_id", "id"], "left_anti")
 
 
-def levels(plan: DataFrame, most: int = 12) -> DataFrame:
-    """plan_id, id, level: the round in which each step runs; steps of a cycle are forced together in the round after the last."""
-    left, out, done = plan.select("plan_id", "id", "depends_on"), None, None
-    done = plan.sparkSession.createDataFrame([], f"plan_id {plan.schema['plan_id'].dataType.simpleString()}, id string")
-    for level in range(1, most + 1):
-        now = ready_steps(left, done).select("plan_id", "id")
-        part = now.withColumn("level", F.lit(level))
-        out = part if out is None else out.unionByName(part)
-        done = done.unionByName(now)
-    stuck = left.join(done, ["plan_id", "id"], "left_anti").select("plan_id", "id", F.lit(most + 1).alias("level"))
-    return out.unionByName(stuck)
+def levels(plan: DataFrame) -> DataFrame:
+    """plan_id, id, level: the round in which each step runs; steps of a cycle, and those that wait for them, are forced together after the last.
+
+    A plan is one small group: normalize_plan() bounds its steps.
+    """
+
+    def run(steps: pd.DataFrame) -> pd.DataFrame:
+        waiting, level, out = dict(zip(steps["id"], map(set, steps["depends_on"]))), 0, []
+        while waiting:
+            level += 1
+            ready = [i for i, needs in waiting.items() if not needs & waiting.keys()] or list(waiting)
+            out += [(i, level) for i in ready]
+            for i in ready:
+                del waiting[i]
+        return pd.DataFrame(out, columns=["id", "level"]).assign(plan_id=steps["plan_id"].iloc[0])[["plan_id", "id", "level"]]
+
+    return plan.select("plan_id", "id", "depends_on").groupBy("plan_id").applyInPandas(run, f"plan_id {plan.schema['plan_id'].dataType.simpleString()}, id string, level int")
 
 
 def usage_sums(steps: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

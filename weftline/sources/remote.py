@@ -77,7 +77,7 @@ def text_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def binary_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
-    """name, path, hash, problem: listed files with the MD5 of their bytes and what is wrong with them ("" if they are PDFs)."""
+    """name, path, hash, problem: listed files with the MD5 of their bytes and what is wrong with them ("" if they are PDFs). Spark lists no empty files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     return files.select(base_name("path").alias("name"), "path", F.md5("content").alias("hash"), pdf_problem(F.col("content")).alias("problem"))
 
