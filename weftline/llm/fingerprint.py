@@ -72,14 +72,14 @@ _FAN = 12
 
 def _lower_bucket(buckets: DataFrame, least: int, most: int) -> DataFrame:
     """bucket, below: the next lower bucket there is, null for the lowest. Buckets are distinct; no task gets more than 2**_FAN."""
+    if most - least < 1 << _FAN:
+        return buckets.withColumn("below", F.lag("bucket").over(Window.partitionBy(F.lit(0)).orderBy("bucket")))
     grouped = buckets.withColumn("group", F.shiftright("bucket", _FAN))
     inside = grouped.withColumn("below", F.lag("bucket").over(Window.partitionBy("group").orderBy("bucket")))
-    if least >> _FAN == most >> _FAN:
-        return inside.select("bucket", "below")
-    tops = buckets.groupBy(F.shiftright("bucket", _FAN).alias("group")).agg(F.max("bucket").alias("top"))
-    under = _lower_bucket(tops.select(F.col("group").alias("bucket")), least >> _FAN, most >> _FAN).select(F.col("bucket").alias("group"), F.col("below").alias("lower_group"))
-    under = under.join(tops.select(F.col("group").alias("lower_group"), "top"), "lower_group", "left").select("group", "top")
-    return inside.join(under, "group", "left").select("bucket", F.coalesce("below", "top").alias("below"))
+    tops = written(grouped.groupBy("group").agg(F.max("bucket").alias("top")), "bucket-tops")
+    under = _lower_bucket(tops.select(F.col("group").alias("bucket")), least >> _FAN, most >> _FAN).withColumnsRenamed({"bucket": "group", "below": "lower_group"})
+    under = under.join(tops.withColumnRenamed("group", "lower_group"), "lower_group", "left").select("group", F.col("top").alias("under_top"))
+    return inside.join(under, "group", "left").select("bucket", F.coalesce("below", "under_top").alias("below"))
 
 
 def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, bits: int = 6) -> DataFrame:
