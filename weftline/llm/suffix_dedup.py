@@ -141,14 +141,15 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     anchors = rows.select("id", "rk", "text").mapInArrow(find, f"{place}, at int, lo int, hi int, gram long, whole long")
     anchors.write.parquet(every_at)
     anchors = docs.sparkSession.read.schema(anchors.schema).parquet(every_at)
-    again = anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # what is joined with a hot bucket is written first: a join of two plain shuffles can be split, one above an aggregation can't
+    again = written(anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "grams-again")
     found = written(anchors.join(again, "gram", "left_semi"), "anchors-again")
     delete(docs.sparkSession, every_at)
 
     # level 1
     classes = written(found.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "rk", "at", "lo", "hi")).alias("one")), "classes")
     ranges = [found.join(classes.filter("n > 1").select("gram", "whole"), ["gram", "whole"], "left_semi").select("id", "rk", (F.col("at") - F.col("hi")).alias("first"), (F.col("at") - F.col("lo")).alias("last"))]
-    several = classes.groupBy("gram").agg(F.count("*").alias("c"), F.max((F.col("n") == 1).cast("int")).alias("open")).filter("c > 1 AND open = 1").select("gram")
+    several = written(classes.groupBy("gram").agg(F.count("*").alias("c"), F.max((F.col("n") == 1).cast("int")).alias("open")).filter("c > 1 AND open = 1").select("gram"), "grams-open")
     ones = classes.join(several, "gram", "left_semi").select("one.*", "gram", (F.col("n") == 1).alias("open"))
 
     def cut(batches):
@@ -193,7 +194,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     bucket = ["gram", "k", "core"]
     split = written(cells.groupBy(*bucket, "whole").agg(F.count("*").alias("n"), F.max("open").alias("open"), F.min(F.struct("id", "rk", "at", "lo")).alias("one")), "cell-classes")
     ranges.append(cells.filter("open").join(split.filter("n > 1").select(*bucket, "whole"), [*bucket, "whole"], "left_semi").select("id", "rk", "first", "last"))
-    several = split.groupBy(*bucket).agg(F.count("*").alias("c"), F.max(F.col("open") & (F.col("n") == 1)).alias("some")).filter("c > 1 AND some").select(*bucket)
+    several = written(split.groupBy(*bucket).agg(F.count("*").alias("c"), F.max(F.col("open") & (F.col("n") == 1)).alias("some")).filter("c > 1 AND some").select(*bucket), "cells-open")
     ones = split.join(several, bucket, "left_semi").select("one.*", "k", (F.col("open") & (F.col("n") == 1)).alias("open"))
 
     # level 3
@@ -217,7 +218,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     chosen = contexts.join(chosen, same(contexts, chosen, "at", "lo")).select(contexts["id"], contexts["rk"], contexts["at"], contexts["lo"], "hi", "gram", "context", "them")
     strings = written(chosen.mapInArrow(single, f"{place}, gram long, open boolean, d int, string long, first int"), "strings")
     bucket = ["gram", "d", "string"]
-    twice = strings.groupBy(*bucket).agg(F.count("*").alias("n")).filter("n > 1").select(*bucket)
+    twice = written(strings.groupBy(*bucket).agg(F.count("*").alias("n")).filter("n > 1").select(*bucket), "strings-twice")
     ranges.append(strings.filter("open").join(twice, bucket, "left_semi").select("id", "rk", "first", F.col("first").alias("last")))
 
     covered = ranges[0].union(ranges[1]).union(ranges[2]).groupBy("id", "rk").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
