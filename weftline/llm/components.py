@@ -13,7 +13,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     Edges may repeat, go either way or join a node with itself; nodes without an edge to another are not returned; no
     edges give no rows. Each step's edges are written to the shared folder, which cuts the lineage; only their count and
-    a checksum reach the driver. A hub's neighbours are reduced before they are shuffled, and its join can be split.
+    a checksum reach the driver. A hub's neighbours are reduced before they are
+    shuffled, and the minima are written before the join, so that Spark can split a hub's part of it.
     """
     spark = edges.sparkSession
 
@@ -29,12 +30,13 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if not seen[0]:
             break
         both = now.select(F.col("x").alias("u"), F.col("y").alias("v")).union(now.select("y", "x"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("x"), F.col("m").alias("y")).distinct()
+        least, least_at, _ = settle(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("y"), F.least("u", "m").alias("x")))
+        large = both.filter("v > u").join(least, F.col("u") == F.col("y")).select(F.col("v").alias("x"), F.col("x").alias("y")).distinct()
         lower = large.groupBy("x").agg(F.min("y").alias("m")).withColumnRenamed("x", "k")
         small = large.join(lower, F.col("x") == F.col("k")).filter("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
         new, new_at, sums = settle(small.union(lower.select("k", "m")).distinct())
         delete(spark, path)
+        delete(spark, least_at)
         now, path, done, seen = new, new_at, sums == seen, sums
         if done:
             break
