@@ -166,11 +166,10 @@ def similar_groups(docs: DataFrame, shingle: int = 5, most_bits: int = 46, id_co
                 yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0)], ["key", "node"])
 
     members = nodes.select("node", *words).mapInArrow(keys, "key long, node long")
-    ranked = members.withColumn("turn", F.xxhash64("node", F.shiftright("key", KEY_BITS)))
-    centers = ranked.groupBy("key").agg(F.min("turn").alias("turn"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("turn").alias("least_turn"))
-    met = ranked.join(centers, "key")
-    heads = met.filter("turn = least_turn").select("key", F.col("node").alias("center"))
-    pairs = met.filter("turn <> least_turn").select("key", "node").join(heads, "key").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
+    salted = F.col("node").bitwiseXOR(F.xxhash64(F.shiftright("key", KEY_BITS)))  # least in one table, any in another; its own inverse
+    centers = members.groupBy("key").agg(F.min(salted).alias("turn"), F.count("*").alias("n")).filter("n > 1")
+    centers = written(centers.select("key", F.col("turn").bitwiseXOR(F.xxhash64(F.shiftright("key", KEY_BITS))).alias("center")), "wide-centers")
+    pairs = members.join(centers, "key").filter("node <> center").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
     left = nodes.select(F.col("node").alias("a"), *[F.col(w).alias(f"a_{w}") for w in words])
     right = nodes.select(F.col("node").alias("b"), *[F.col(w).alias(f"b_{w}") for w in words])
     differ = [F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words]
