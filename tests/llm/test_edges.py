@@ -272,7 +272,7 @@ def test_similar_texts_group(spark):
 
 
 def test_pipeline_stages_keep_columns_and_rules(spark, odd, tmp_path):
-    sf = "/root/testdata/sf0.001"
+    sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     n = docs.count()
     quality_stage, near, clean, mix, tokens = (f for _, f in corpus_pipeline.STAGES)
