@@ -103,4 +103,4 @@ def stage_metrics(calls: DataFrame) -> DataFrame:
 
 def sample_rows(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows by the order of a hash of their key: reproducible, without replacement. n is the feature."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return rows.orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)

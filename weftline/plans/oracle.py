@@ -145,6 +145,23 @@ SQL = {
       FROM (SELECT *, CASE WHEN event_id % 4 = 0 THEN 'cached' WHEN event_id % 7 = 0 THEN 'skipped' ELSE 'real' END AS kind FROM events) GROUP BY event_type""",
     "model_cache_join": """WITH d AS (SELECT doc_id, md5(text || chr(31) || '') AS key FROM documents)
       SELECT doc_id, key, 1::bigint AS status, key IN (SELECT key FROM d WHERE doc_id % 3 = 0) AS cache_hit FROM d""",
+    "eval_failures": "SELECT event_id FROM events WHERE event_type = 'error' OR event_id % 11 = 0 OR event_id % 13 = 0 OR props IS NULL",
+    "eval_remaining": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 0)",
+    "latency_long": """SELECT event_type, metric, count(v) AS n, round(avg(v), 4) AS mean, round(sum(v), 4) AS total FROM (
+      SELECT event_type, 'value' AS metric, value AS v FROM events UNION ALL SELECT event_type, 'tokens', (props->>'$.k')::double FROM events) GROUP BY ALL""",
+    "metric_table": f"""WITH m AS (SELECT event_type, count(*)::double AS questions, avg(score) AS score, max(score)::double AS best FROM ({_SCORED}) GROUP BY event_type),
+      l AS (SELECT event_type, 'questions' AS metric, questions AS v FROM m UNION ALL SELECT event_type, 'score', score FROM m UNION ALL SELECT event_type, 'best', best FROM m)
+      SELECT metric, round(max(v) FILTER (event_type = 'click'), 4) AS a, round(max(v) FILTER (event_type = 'view'), 4) AS b, round(max(v) FILTER (event_type = 'click') - max(v) FILTER (event_type = 'view'), 4) AS delta FROM l GROUP BY metric""",
+    "dimension_counts": "SELECT dimension, count(*) AS n FROM (SELECT lang AS dimension FROM documents UNION ALL SELECT source FROM documents UNION ALL SELECT 'hop' || (doc_id % 3) FROM documents) GROUP BY 1",
+    "pairwise_winner": """SELECT item_id, CASE item_id % 4 WHEN 0 THEN CASE WHEN s THEN 'base' ELSE 'graph' END WHEN 1 THEN CASE WHEN s THEN 'graph' ELSE 'base' END WHEN 2 THEN 'tie'
+      ELSE CASE WHEN item_id % 5 > item_id % 3 THEN 'graph' WHEN item_id % 5 < item_id % 3 THEN 'base' ELSE 'tie' END END AS winner
+      FROM (SELECT item_id, substr(md5(item_id::varchar), 2, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') AS s FROM benchmark)""",
+    "sample_docs": "SELECT doc_id, lang FROM documents ORDER BY md5('44/' || doc_id), doc_id LIMIT 20",
+    "metric_lines": "SELECT event_type AS name, count(*) AS n, sum(event_id % 100)::double AS total FROM events WHERE event_id % 10 > 1 GROUP BY 1",
+    "error_kinds": "SELECT substr('failed after <n> s at <hex>: ' || regexp_replace(regexp_replace(url, '[0-9]+', '<n>', 'g'), '\\s+', ' ', 'g'), 1, 160) AS kind, count(*) AS n FROM pages GROUP BY 1",
+    "context_text": f"""SELECT material_id, md5('----- Material ' || material_id || ' | source: doc_' || m.doc_id || '.pdf -----' || chr(10) || string_agg(
+        CASE WHEN chunk_id % 4 = 0 THEN '### Head' ELSE '### Index block ' || position || ' (match=' || match_type || ')' END || chr(10) || text, chr(10) ORDER BY position)) AS text_md5
+      FROM ({_materials(False)}) m JOIN documents d ON d.doc_id = chunk_id WHERE material_id <= 4 GROUP BY material_id, m.doc_id""",
     "retrieve": f"SELECT * FROM ({_materials(False)}) WHERE material_id <= 4",
 }
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import values as V
-from ..operators import agent, chunking, evaluation, hypergraph, models, retrieval, store, vectors
-from ..sources import remote
+from ..operators import agent, chunking, evaluation, hypergraph, models, report, retrieval, store, vectors
+from ..sources import metrics, remote
 
 #: Keywords that occur in the fixture's English text.
 MINORITY, MAJORITY = ["blehe", "thinhe", "eringed"], ["tion", "the", "edand", "oner"]
@@ -397,10 +397,66 @@ def retrieve(spark, sf):
     return rows.filter("material_id <= 4").select(F.col("material_id").cast("long").alias("material_id"), "doc_id", F.col("position").cast("long").alias("position"), "chunk_id", "match_type", F.round("score", 4).alias("score"))
 
 
+# reports
+
+
+def eval_failures(spark, sf):
+    e = _t(spark, sf, "events").select("event_id", F.when(F.col("event_type") == "error", F.lit("timeout")).alias("error"), (F.col("event_id") % 11).alias("status"), (F.col("event_id") % 13).alias("judge"), F.col("props").alias("question"))
+    return e.filter(report.failed("error", "status", "judge", "question")).select("event_id")
+
+
+def eval_remaining(spark, sf):
+    done = _t(spark, sf, "labels").filter("toxic = 0")
+    return report.remaining(_t(spark, sf, "documents").select("doc_id", "lang"), done, "doc_id")
+
+
+def latency_long(spark, sf):
+    rows = _t(spark, sf, "events").select("event_type", "value", F.get_json_object("props", "$.k").try_cast("double").alias("tokens"))
+    return report.long_metrics(rows, ["event_type"], ["value", "tokens"]).select("event_type", "metric", "n", F.round("mean", 4).alias("mean"), F.round("total", 4).alias("total"))
+
+
+def metric_table(spark, sf):
+    rows = _scored(spark, sf)
+    out = report.metric_table(rows, "event_type", "click", "view", {"questions": F.count("*"), "score": F.avg("score"), "best": F.max("score")})
+    return out.select("metric", *[F.round(c, 4).alias(c) for c in ("a", "b", "delta")])
+
+
+def dimension_counts(spark, sf):
+    rows = _t(spark, sf, "documents").select(F.concat_ws("；", "lang", "source", F.lit(" "), F.concat(F.lit(" hop"), (F.col("doc_id") % 3).cast("string"))).alias("dimensions"))
+    return report.dimension_counts(rows, "dimensions")
+
+
+def pairwise_winner(spark, sf):
+    stated = F.when(F.col("item_id") % 4 == 0, "Answer A is better").when(F.col("item_id") % 4 == 1, "b").when(F.col("item_id") % 4 == 2, "It is a tie").otherwise("")
+    rows = _t(spark, sf, "benchmark").select("item_id", report.named_winner(report.stated_winner(stated), V.judge_order("item_id"), "graph", "base").alias("judge"))
+    return rows.select("item_id", report.pair_winner(F.col("judge"), F.col("item_id") % 5, F.col("item_id") % 3, "graph", "base").alias("winner"))
+
+
+def sample_docs(spark, sf):
+    return evaluation.sample_rows(_t(spark, sf, "documents").select("doc_id", "lang"), "doc_id", 20, 44)
+
+
+def metric_lines(spark, sf):
+    line = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("# HELP "), "event_type")).when(F.col("event_id") % 10 == 1, F.concat("event_type", F.lit(" n/a"))).otherwise(F.concat("event_type", F.lit('{user="'), F.col("user_id").cast("string"), F.lit('"} '), (F.col("event_id") % 100).cast("string")))
+    m = metrics.exposition(_t(spark, sf, "events").select(line.alias("value")))
+    return m.groupBy("name").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def error_kinds(spark, sf):
+    return _t(spark, sf, "pages").select(X.error_kind(F.concat(F.lit("failed  after 12 s at 0xAB12: "), "url")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def context_text(spark, sf):
+    c = _chunks(spark, sf).select(F.col("id").alias("chunk_id"), "content", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source"))
+    rows = retrieval.materials(_union(spark, sf), _chunks(spark, sf)).filter("material_id <= 4").join(c, "chunk_id")
+    return retrieval.context_text(rows).select(F.col("material_id").cast("long").alias("material_id"), F.md5("text").alias("text_md5"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = """doc_insert_dedup doc_name_antijoin search_eq count_by keyset_page in_list_semi partial_update_last_wins cascade_delete family_base family_closure slice_plan
     object_key download_plan file_dedup_pref sentence_split join_units chunk_pack head_body_order prior_slices entity_longest entity_degree llm_json_entities llm_json_sum
     vector_topk_l2 vector_similarity vector_topk_tombstoned vector_dedupe_hits vector_compact deleted_stats node_hits_to_chunk keyword_match merge_hits union_hits build_materials
     build_materials_full_body rerank_fallback plan_normalize ready_steps sources_distinct usage_sum doc_recall verdict_summary verdict_by_hop recall_vs_accuracy system_comparison crosstab
-    group_metrics score_hist category_coverage category_distribution category_compare_outer pairwise_order normalize_score normalize_judgment stage_metrics model_cache_join retrieve"""
+    group_metrics score_hist category_coverage category_distribution category_compare_outer pairwise_order normalize_score normalize_judgment stage_metrics model_cache_join retrieve
+    eval_failures eval_remaining latency_long metric_table dimension_counts pairwise_winner sample_docs metric_lines error_kinds context_text"""
     return {n: globals()[n] for n in names.split()}
