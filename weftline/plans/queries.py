@@ -242,9 +242,9 @@ def keyword_match(spark, sf):
     return k.select("chunk_id", F.col("n_minority").cast("long").alias("n_minority"), F.col("n_majority").cast("long").alias("n_majority"), "score")
 
 
-def _dual(spark, sf):
-    chunk = vectors.scored_hits(_hits(spark, sf, 30)).select("query_id", F.col("id").alias("chunk_id"), "score")
-    node = vectors.scored_hits(_hits(spark, sf, 20)).select("query_id", (F.col("id") + F.col("id") % 2).alias("chunk_id"), "score").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+def _dual(spark, sf, n=5):
+    chunk = vectors.scored_hits(_hits(spark, sf, 30, n)).select("query_id", F.col("id").alias("chunk_id"), "score")
+    node = vectors.scored_hits(_hits(spark, sf, 20, n)).select("query_id", (F.col("id") + F.col("id") % 2).alias("chunk_id"), "score").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     return retrieval.merge_hits(chunk, node, ["query_id", "chunk_id"])
 
 
@@ -254,7 +254,8 @@ def merge_hits(spark, sf):
 
 def _union(spark, sf):
     keyword = retrieval.keyword_match(_chunks(spark, sf), MINORITY, MAJORITY).select("chunk_id", "score")
-    return retrieval.union_hits(_dual(spark, sf).filter("query_id = 0").drop("query_id"), keyword, ["chunk_id"])
+    # the paths' k bound the hits, and what follows reads them several times
+    return retrieval.union_hits(_dual(spark, sf, 1).drop("query_id"), keyword, ["chunk_id"]).persist()
 
 
 def union_hits(spark, sf):
