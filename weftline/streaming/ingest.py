@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -22,7 +23,7 @@ def ingest_documents(stream: DataFrame, path: str, checkpoint: str) -> Callable[
         rows = batch.select("name", "content", F.md5(F.col("content").cast("binary")).alias("hash"))
         try:
             existing = spark.read.schema("name string, content string, hash string, epoch long").parquet(path)
-        except Exception:
+        except AnalysisException:  # the table isn't there yet
             existing = None
         insert_ignore(existing, rows, ["hash"], ["name"]).withColumn("epoch", F.lit(epoch).cast("long")).write.mode("append").parquet(path)
 
