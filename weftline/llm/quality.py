@@ -12,7 +12,6 @@ from dataclasses import dataclass, field
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -216,12 +215,16 @@ def score(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3, id_col:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scores, f"id {id_type}, score double, predicted int").withColumnRenamed("id", id_col)
 
 
-def keep(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+def keep(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3, text_col: str = "text", batch_rows: int = 512) -> DataFrame:
     """The rows of docs, all columns as they are, that score at least threshold; each row is judged by its own text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("double")
-    def score_of(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(np.array([features(t) for t in texts], np.float64).reshape(-1, len(FEATURES))))
+    def choose(batches):
+        for batch in batches:
+            for a in range(0, len(batch), batch_rows):
+                part = batch.slice(a, batch_rows)
+                p = shared.value.score(np.array([features(t.as_py()) for t in part.column(at).cast(pa.string())], np.float64))
+                yield part.filter(pa.array(p >= threshold))
 
-    return docs.filter(score_of(F.col(text_col).cast("string")) >= threshold)
+    return docs.mapInArrow(choose, docs.schema)
