@@ -102,7 +102,17 @@ class Scorer:
         return self.model.languages[best], float(share[best] / share.sum())
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows_per_language: int = 4000, least_count: int = 2, most_entries: int = 400_000) -> LanguageModel:
+_last: list[Scorer] = []
+
+
+def _scorer(model: LanguageModel) -> Scorer:
+    """The worker's scorer of this model; its memo outlives a task, as the worker does."""
+    if not _last or _last[0].model is not model:
+        _last[:] = [Scorer(model)]
+    return _last[0]
+
+
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows_per_language: int = 4000, least_count: int = 2, most_entries: int = 250_000) -> LanguageModel:
     """Count words and n-grams by language over a sample of docs, all rows of which may be learned from.
 
     The sample has about rows_per_language rows of each language (a hash of the id picks them; a rarer language is taken
@@ -152,7 +162,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches):
-        scorer = Scorer(shared.value)
+        scorer = _scorer(shared.value)
         for batch in batches:
             found = [scorer.predict(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["id", "lang_pred", "score"])
