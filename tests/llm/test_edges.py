@@ -271,6 +271,39 @@ def test_similar_texts_group(spark):
     assert all(got[i] // 4 == i // 4 for i in got)
 
 
+def test_similar_groups_are_all_pairs_of_four_fifths(spark):
+    """Against brute force: a family of texts near 0.7 to each other, and in it pairs around the threshold of 0.8."""
+    rng = np.random.default_rng(11)
+    words = np.array([f"word{i}" for i in range(50_000)])
+    core = list(rng.choice(words, 200))
+    texts = []
+    for i in range(250):
+        text = core + list(rng.choice(words, 40))
+        texts.append(" ".join(text))
+        if i % 3 == 0:
+            k = 4 + i % 60  # so many words of the end are others
+            texts.append(" ".join(text[: len(text) - k] + list(rng.choice(words, k))))
+    texts += ["a b c d e f g h", "a b c d e f g h i", "a b", "A  b", "x y z"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    linked = {}
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
+                linked.setdefault(i, []).append(j)
+                linked.setdefault(j, []).append(i)
+    want = {}
+    for i in range(len(texts)):
+        todo = [] if i in want else [i]
+        while todo:
+            if (k := todo.pop()) not in want:
+                want[k] = i
+                todo += linked.get(k, [])
+    similar = [len(x & y) / len(x | y) for x, y in zip(sets, sets[1:])]
+    assert any(0.8 <= s < 0.83 for s in similar) and any(0.77 < s < 0.8 for s in similar) and 0 < len(linked) < len(texts)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_pipeline_stages_keep_columns_and_rules(spark, odd, tmp_path):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

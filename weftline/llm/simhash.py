@@ -101,88 +101,134 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
     return out.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-WIDE, TABLES, KEY_BITS = 4, 64, 24
+SIMILAR = (4, 5)  # a Jaccard similarity of 4/5, in whole numbers so that no rounding decides
+SAMPLED, COMMON, MOST_COMMON = 8, 3, 1_000_000
+PARITIES = 16  # words of 64 parities
 
 
-def _picked_bits() -> np.ndarray:
-    """For each table the fingerprint bits that make its key."""
-    rng = np.random.default_rng(7)
-    return np.stack([np.sort(rng.permutation(64 * WIDE)[:KEY_BITS]) for _ in range(TABLES)])
-
-
-def wide_fingerprint(text: str | None, shingle: int = 5, step: int = 1 << 15) -> np.ndarray:
-    """WIDE SimHashes of 64 bits, from XXH3's 128 bits under WIDE // 2 seeds; zeros where there is no word."""
+def shingle_set(text: str | None, shingle: int = 5, step: int = 1 << 16) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's word shingles, in ascending order; fewer words than a shingle are one."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(WIDE, np.uint64)
+        return np.empty(0, np.int64)
     joined, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
     last = ends[min(shingle, len(words)) - 1 :]
-    digest, counts = xxhash.xxh3_128_digest, np.zeros(64 * WIDE, np.int64)
+    digest, parts = xxhash.xxh3_64_intdigest, []
     for i in range(0, n, step):
-        spans = list(zip(starts[i : min(n, i + step)].tolist(), last[i : i + step].tolist()))
-        raw = b"".join([digest(joined[a:b], seed) for a, b in spans for seed in range(WIDE // 2)])
-        counts += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(spans), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > n, bitorder="little").view("<u8")
+        spans = zip(starts[i : min(n, i + step)].tolist(), last[i : i + step].tolist())
+        parts.append(np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, min(step, n - i)).view(np.int64)))
+    return np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]
+
+
+def prefix_length(n: int) -> int:
+    """So many of a set's n elements, the first in an order common to all sets, meet those of any similar set."""
+    return n - -(-SIMILAR[0] * n // SIMILAR[1]) + 1
+
+
+def parities(found: np.ndarray) -> np.ndarray:
+    """Whether each of 64 * PARITIES classes of hashes has an odd number of the set's; two sets differ in as many hashes as parities, at least."""
+    counts = np.bincount(found & (64 * PARITIES - 1), minlength=64 * PARITIES)
+    return np.packbits(counts & 1, bitorder="little").view(np.int64)
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, most_bits: int = 46, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _similar_pairs(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of nodes whose whole shingle sets are similar, written.
+
+    Sets of n and m elements that are similar differ in at most (n + m) / 9 of them; the parities rule out most others
+    before the sets are fetched, and rule out no similar ones.
+    """
+    a, b = (sketches.select(*[F.col(c).alias(f"{side}_{c}") for c in sketches.columns]).withColumnRenamed(f"{side}_node", side) for side in "ab")
+    differ = sum((F.bit_count(F.col(f"a_w{i}").bitwiseXOR(F.col(f"b_w{i}"))) for i in range(1, PARITIES)), F.bit_count(F.col("a_w0").bitwiseXOR(F.col("b_w0"))))
+    lengths = (F.col("a_n") * SIMILAR[1] >= F.col("b_n") * SIMILAR[0]) & (F.col("b_n") * SIMILAR[1] >= F.col("a_n") * SIMILAR[0])
+    few = differ * (SIMILAR[1] + SIMILAR[0]) <= (F.col("a_n") + F.col("b_n")) * (SIMILAR[1] - SIMILAR[0])
+    pairs = written(pairs.distinct().join(a, "a").join(b, "b").filter(lengths & few).select("a", "b"), "similar-candidates")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    used = sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    left, right = used.select(F.col("node").alias("a"), F.col("shingles").alias("x")), used.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    union = F.size("x") + F.size("y") - both
+    return written(pairs.join(left, "a").join(right, "b").filter(both * SIMILAR[1] >= union * SIMILAR[0]).select("a", "b"), "similar-links")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, component_id (smallest id reachable) for each row of docs, where texts of a Jaccard similarity of 0.8 or more link.
 
-    64 bits can't tell such texts apart from others within a distance that a search can afford: at a similarity of 0.8 a
-    tenth to a fifth of the bits differ. So the fingerprints have 256 bits (at 0.8, 39 differ on average, at 0.7 49; other
-    texts differ in 128), candidates are those who agree on any of TABLES keys of KEY_BITS bits each, and a key's members
-    are held against one of them, another one in every table, rather than each against each. A candidate passes the
-    pigeonring chains of its 64-bit words and then the full distance, most_bits. Two texts of a similarity of 0.9 meet in
-    some table with a probability of 0.99, of 0.95 in practice always, of 0.8 in seven cases of ten, not counting what
-    others of their group link.
+    Exact: 64 bits can't tell such texts apart from others (at 0.8 a tenth to a fifth of a SimHash's bits differ, at 0.7
+    little more), so candidates come from prefix filtering, and the distinct shingles of each decide. In any order of all
+    shingles, two similar sets share one among the first fifth of each. The order puts common shingles last (a sample
+    tells them; it bears on the time, not on the result). First all that share a shingle are held against one of them;
+    what that links is one group. Then all pairs from different groups that share a shingle are compared, none left out,
+    so that only a large group of near copies is spared its pairs.
 
-    Copies are one node. A null or empty text has the fingerprint 0 and groups with other such texts; null ids are kept
-    but never name a component; repeated rows are in one component; an empty table gives no rows.
+    Texts of equal sets are one node. A null or empty text groups with other such texts; null ids are kept but never name
+    a component (one of null ids only has a null component_id); repeated rows are in one component; an empty table gives
+    no rows.
     """
+    import xxhash
+
+    words = [f"w{i}" for i in range(PARITIES)]
 
     def hashes(batches):
+        seen: set[int] = set()  # of one task; a node's set is written once there
         for batch in batches:
-            rows = np.array([wide_fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).reshape(-1, WIDE).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[:, i]) for i in range(WIDE))], ["doc_id", *(f"w{i}" for i in range(WIDE))])
-
-    words = [f"w{i}" for i in range(WIDE)]
+            nodes, sets, odd = [], [], []
+            for text in batch.column(1):
+                found = shingle_set(text.as_py(), shingle)
+                node = xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
+                nodes.append(node)
+                odd.append(parities(found))
+                sets.append(None if node in seen or not len(found) else found)
+                seen.add(node)
+            odd = np.array(odd, np.int64).reshape(-1, PARITIES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64())), *(pa.array(odd[:, i]) for i in range(PARITIES))], ["doc_id", "node", "shingles", *words])
+
+    spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
-    each = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(hashes, f"doc_id {id_type}, " + ", ".join(f"{w} long" for w in words))
-    each = written(each.withColumn("node", F.xxhash64(*words)), "wide-fingerprints")
-    nodes = written(each.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.min(w).alias(w) for w in words]), "wide-nodes")
-    picked = _picked_bits()
-
-    def keys(batches):
-        weights = (1 << np.arange(KEY_BITS)).astype(np.int64)
+    each = written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(hashes, f"doc_id {id_type}, node long, shingles array<long>, " + ", ".join(f"{w} long" for w in words)), "shingle-sets")
+    sets = each.filter("shingles IS NOT NULL").select("node", "shingles")
+    sampled = sets.filter(F.pmod("node", F.lit(SAMPLED)) == 0).select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
+    common = sampled.filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toPandas()["shingle"].to_numpy(np.int64)
+    by_hash = np.argsort(common)
+    shared = spark.sparkContext.broadcast((common[by_hash], len(common) - by_hash))  # the commonest has the highest rank
+
+    def prefixes(batches):
+        common, ranks = shared.value
         for batch in batches:
-            rows = np.stack([batch.column(1 + i).to_numpy() for i in range(WIDE)], axis=1)
-            bits = np.unpackbits(np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
-            for table in range(TABLES):
-                key = bits[:, picked[table]].astype(np.int64) @ weights + (table << KEY_BITS)
-                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0)], ["key", "node"])
-
-    members = nodes.select("node", *words).mapInArrow(keys, "key long, node long")
-    salted = F.col("node").bitwiseXOR(F.xxhash64(F.shiftright("key", KEY_BITS)))  # least in one table, any in another; its own inverse
-    centers = members.groupBy("key").agg(F.min(salted).alias("turn"), F.count("*").alias("n")).filter("n > 1")
-    centers = written(centers.select("key", F.col("turn").bitwiseXOR(F.xxhash64(F.shiftright("key", KEY_BITS))).alias("center")), "wide-centers")
-    pairs = members.join(centers, "key").filter("node <> center").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
-    left = nodes.select(F.col("node").alias("a"), *[F.col(w).alias(f"a_{w}") for w in words])
-    right = nodes.select(F.col("node").alias("b"), *[F.col(w).alias(f"b_{w}") for w in words])
-    differ = [F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words]
-    ring = F.lit(False)
-    for start in range(WIDE):
-        chain, total = F.lit(True), F.lit(0)
-        for length in range(1, WIDE + 1):
-            total = total + differ[(start + length - 1) % WIDE]
-            chain = chain & (total <= length * most_bits // WIDE)
-        ring = ring | chain
-    linked = pairs.join(left, "a").join(right, "b").filter(ring & (sum(differ[1:], differ[0]) <= most_bits)).select("a", "b")
-    found = components(linked)
+            out = []
+            for found in batch.column(1):
+                found = found.values.to_numpy()
+                rank = np.zeros(len(found), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+                    rank = np.where(common[at] == found, ranks[at], 0)
+                out.append(found[np.argsort(rank, kind="stable")[: prefix_length(len(found))]])
+            sizes, n = [len(o) for o in out], [len(f) for f in batch.column(1)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(np.repeat(np.array(n, np.int32), sizes))], ["shingle", "node", "n"])
+
+    members = sets.mapInArrow(prefixes, "shingle long, node long, n int")
+    least, most = F.min("node"), F.max("node")
+    met = members.groupBy("shingle").agg(least.alias("center"), most.alias("last")).filter("center <> last").select("shingle", "center")
+    members = written(members.join(written(met, "similar-shingles"), "shingle").distinct(), "similar-members")
+    sketches = each.filter("shingles IS NOT NULL").select("node", F.size("shingles").alias("n"), *words).groupBy("node").agg(F.first("n").alias("n"), *[F.first(w).alias(w) for w in words])
+    sketches = written(sketches, "similar-sketches")
+    linked = _similar_pairs(members.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")), sketches, sets)
+    grouped = components(linked).select(F.col("node").alias("in_group"), "root")
+    grouped = members.join(grouped, F.col("node") == F.col("in_group"), "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"))
+    grouped = written(grouped, "similar-groups")
+    apart = grouped.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle")
+    open_ = written(grouped.join(apart, "shingle", "left_semi"), "similar-open")
+    a, b = (open_.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "root")]) for side in "ab")
+    near = (F.col("n_a") * SIMILAR[1] >= F.col("n_b") * SIMILAR[0]) & (F.col("n_b") * SIMILAR[1] >= F.col("n_a") * SIMILAR[0])
+    crossing = a.join(b, "shingle").filter((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & near)
+    more = _similar_pairs(crossing.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), sketches, sets)
+    found = components(linked.union(more))
+    nodes = written(each.groupBy("node").agg(F.min("doc_id").alias("least")), "similar-nodes")
     rooted = nodes.join(found, "node").select("node", "root", "least")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(nodes.join(rooted.select("node", "root").join(named, "root").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "wide-named")
-    return each.join(named, "node").select(F.col("doc_id").alias(id_col), "component_id")
+    named = written(nodes.join(rooted.select("node", "root").join(named, "root").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "similar-named")
+    return each.select("doc_id", "node").join(named, "node").select(F.col("doc_id").alias(id_col), "component_id")
