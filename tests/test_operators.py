@@ -124,3 +124,9 @@ def test_stage_counts_by_window(spark, tmp_path):
 def test_rerank_without_limit_leaves_all(spark):
     docs = spark.createDataFrame([(1, 0.5), (2, 0.7)], "doc_id long, material_score double")
     assert [(r.material_id, r.doc_id) for r in retrieval.rerank(docs, F.lit(1.0), 0).orderBy("material_id").collect()] == [(1, 2), (2, 1)]
+
+
+def test_family_closure_follows_a_chain_of_any_length(spark):
+    docs = spark.createDataFrame([(i, f"d{i}.pdf", f"d{i + 1}.pdf") for i in range(55)] + [(99, "other.pdf", None)], "id long, name string, source_name string")
+    found = store.family_closure(docs, docs.filter("id = 0").select("name"))
+    assert sorted(r.id for r in found.collect()) == list(range(55))

@@ -46,7 +46,7 @@ def cascade(parents: DataFrame, children: list[tuple[DataFrame, str, str]], key:
     return out
 
 
-def family_closure(docs: DataFrame, names: DataFrame, most: int = 50, shared: str | None = None) -> DataFrame:
+def family_closure(docs: DataFrame, names: DataFrame, shared: str | None = None) -> DataFrame:
     """The docs that a delete of `names` reaches: by name, slice-family base or source name, until nothing is added.
 
     docs: id, name, source_name. names: name. Each round's set of names is written to `shared` (or checkpointed where the
@@ -66,7 +66,7 @@ def family_closure(docs: DataFrame, names: DataFrame, most: int = 50, shared: st
     reach = docs.select("id", F.explode(F.array_compact(F.array(F.col("name"), base, F.col("source_name")))).alias("reached"))
     wanted = settle(names.select(F.col("name").alias("reached")).union(names.select(base)).distinct())
     size = wanted.count()
-    for _ in range(most):
+    while True:
         hit = reach.join(wanted, "reached", "left_semi").select("id").distinct()
         wanted = settle(reach.join(hit, "id", "left_semi").select("reached").union(wanted).distinct())
         grown = wanted.count()
