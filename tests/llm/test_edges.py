@@ -86,6 +86,20 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.contaminated(empty, items).count() == 0 and decontaminate.contaminated(odd, items.limit(0)).count() == 0
 
 
+def test_a_long_item_does_not_widen_the_others_passages(spark):
+    rng = np.random.default_rng(8)
+    item = "the cat sat on the mat and it was warm"
+    pairs = [" ".join(p) for p in zip(item.split(), item.split()[1:])]
+    filler = lambda: " ".join(f"f{i}" for i in rng.integers(0, 9000, 300))
+    docs = spark.createDataFrame([(1, " ".join(filler() + " " + p for p in pairs)), (2, f"{filler()} {item} {filler()}")], "doc_id long, text string")
+    long = " ".join(f"long{i}" for i in range(5000))
+    for more in ([], [(2, long)]):
+        items = spark.createDataFrame([(1, item), *more], "item_id int, text string")
+        assert [r.doc_id for r in decontaminate.contaminated(docs, items).collect()] == [2]
+    copied = spark.createDataFrame([(3, f"{filler()} {long} {filler()}")], docs.schema)
+    assert [r.item_id for r in decontaminate.contaminated(copied, items).collect()] == [2]
+
+
 def test_no_item_is_pruned_that_reaches_its_threshold():
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(60)]

@@ -1,7 +1,8 @@
 """Benchmark decontamination: a BM25 index of the test items, searched with every training passage by block-max WAND.
 
-A passage is 2 * stride words, every stride words, and no item is longer than stride, so an item copied into a text lies
-whole within some passage. A passage's score for an item is BM25 with the passage's distinct words as the query. It is
+Items are dealt to indexes by length: an index's stride is a power of two, 32 at least, that its items' words reach but don't
+exceed. A passage is 2 * stride words, every stride words, so an item copied into a text lies whole within some passage, and
+is looked for in passages of about its own length whatever the other items are. A passage's score for an item is BM25 with the passage's distinct words as the query. It is
 retrieved if it reaches `share` of the score that the item's own words give; no number of hits is cut off.
 
 As in WAND, an item's least telling words, which cannot reach half its threshold together, are left out of the first look:
@@ -66,8 +67,8 @@ class Index:
     stride: int
 
 
-def build(items: list[tuple], frequencies: dict[str, int], n_items: int, mean_words: float, stride: int, share: float) -> Index:
-    """Index of (id, text) items; frequencies: in how many of all n_items items each word is."""
+def build(items: list[tuple], frequencies: dict[str, int], n_items: int, mean_words: float, stride: int, share: float, terms: dict[str, int] | None = None) -> Index:
+    """Index of (id, text) items; frequencies: in how many of all n_items items each word is; terms: numbers of all words, which several indexes can share."""
     entries = []
     for item_id, text in items:
         counts = Counter(words_of(text))
@@ -82,7 +83,7 @@ def build(items: list[tuple], frequencies: dict[str, int], n_items: int, mean_wo
             light.add(t)
         entries.append((share * own - seen, item_id, text, w, own, light))
     entries.sort(key=lambda e: (e[0], str(e[1])))
-    terms: dict[str, int] = {}
+    terms = {} if terms is None else terms
     full: list[tuple[int, int, float]] = []
     first: dict[tuple[int, int], float] = {}
     for i, (_, _, _, w, _, light) in enumerate(entries):
@@ -117,9 +118,12 @@ def _share(part: set[tuple[str, ...]], pairs: set, words: list[str]) -> float:
     return len(part & pairs) / len(part)
 
 
-def _search_words(words: list[str], index: Index, overlap: float, found: dict) -> None:
+def _numbers(words: list[str], terms: dict[str, int]) -> np.ndarray:
+    return np.fromiter(map(terms.get, words, repeat(-1)), np.int64, len(words))
+
+
+def _search_words(words: list[str], ids: np.ndarray, index: Index, overlap: float, found: dict) -> None:
     """Put (score, question overlap, answer overlap) of the best passage of each item that is copied into `found`."""
-    ids = np.fromiter(map(index.terms.get, words, repeat(-1)), np.int64, len(words))
     known = np.flatnonzero(ids >= 0)
     if not len(known):
         return
@@ -157,16 +161,24 @@ def _grouped(hits: np.ndarray, n_blocks: int):
 
 def search(text: str | None, index: Index, overlap: float = 0.5) -> dict[int, tuple[float, float, float]]:
     """Items copied into a whole text; a very long one is gone through piece by piece, the pieces sharing a passage."""
-    found: dict[int, tuple[float, float, float]] = {}
-    carried: list[str] = []
+    return search_all(text, [index], overlap)[0]
+
+
+def search_all(text: str | None, indexes: list[Index], overlap: float = 0.5) -> list[dict[int, tuple[float, float, float]]]:
+    """As search(), for each of several indexes that share their terms."""
+    found: list[dict[int, tuple[float, float, float]]] = [{} for _ in indexes]
+    carried: list[list[str]] = [[] for _ in indexes]
     text, at = text or "", 0
     while at < len(text):
         stop = min(len(text), at + CHUNK_CHARS)
         while stop < len(text) and not text[stop].isspace():
             stop += 1
-        words = carried + words_of(text[at:stop])
-        _search_words(words, index, overlap, found)
-        carried, at = words[len(words) // index.stride * index.stride - 2 * index.stride if len(words) > 2 * index.stride else 0 :], stop
+        fresh, at = words_of(text[at:stop]), stop
+        ids = _numbers(fresh, indexes[0].terms)
+        for k, index in enumerate(indexes):
+            words = carried[k] + fresh
+            _search_words(words, np.concatenate([_numbers(carried[k], index.terms), ids]), index, overlap, found[k])
+            carried[k] = words[len(words) // index.stride * index.stride - 2 * index.stride if len(words) > 2 * index.stride else 0 :]
     return found
 
 
@@ -178,7 +190,7 @@ def contaminated(
     Every passage of every whole text is searched. Items with a null text or no word match nothing, nor do null or empty
     texts; null ids and repeated rows (of texts or items) are reported each; an empty table of either gives no rows. An
     index has at most about index_words words, whatever the size of the benchmark: a larger one is dealt to several
-    indexes by a hash of the item, with word frequencies over all items, so the result doesn't depend on that.
+    sets of indexes by a hash of the item, with word frequencies over all items, so the result doesn't depend on that.
     """
     spark = docs.sparkSession
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), items.schema[item_id_col].dataType.simpleString()
@@ -189,22 +201,29 @@ def contaminated(
             for text in batch.column(0).to_pylist():
                 words = words_of(text)
                 if words:
-                    yield pa.RecordBatch.from_pydict({"term": [None, *sorted(set(words))], "n": [len(words)] + [1] * len(set(words)), "longest": [len(words)] * (1 + len(set(words)))}, pa.schema([("term", pa.string()), ("n", pa.int64()), ("longest", pa.int64())]))
+                    yield pa.RecordBatch.from_pydict({"term": [None, *sorted(set(words))], "n": [len(words)] + [1] * len(set(words))}, pa.schema([("term", pa.string()), ("n", pa.int64())]))
 
     texts = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("text IS NOT NULL")
-    counted = texts.select("text").mapInArrow(count, "term string, n long, longest long")
+    counted = texts.select("text").mapInArrow(count, "term string, n long")
     terms = counted.filter("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n"))
-    whole = counted.filter("term IS NULL").agg(F.count("*").alias("items"), F.sum("n").alias("words"), F.max("longest").alias("longest")).first()
+    whole = counted.filter("term IS NULL").agg(F.count("*").alias("items"), F.sum("n").alias("words")).first()
     schema = f"id {id_type}, item_id {item_type}, score double, share double, question_overlap double, answer_overlap double"
     if not whole.items:
         return spark.createDataFrame([], schema).withColumnRenamed("id", id_col)
-    stride, shards = max(32, whole.longest), -(-whole.words // index_words)
+    shards = -(-whole.words // index_words)
     out = None
     for shard in range(shards):
         mine = texts.filter(F.pmod(F.xxhash64("text"), F.lit(shards)) == shard)
-        own_terms = mine.select("text").mapInArrow(count, "term string, n long, longest long").filter("term IS NOT NULL").select("term").distinct()
+        own_terms = mine.select("text").mapInArrow(count, "term string, n long").filter("term IS NOT NULL").select("term").distinct()
         frequencies = {r.term: r.n for r in own_terms.join(terms, "term").collect()}
-        index = build([(r.item_id, r.text) for r in mine.collect() if words_of(r.text)], frequencies, whole.items, whole.words / whole.items, stride, share)
+        classes: dict[int, list[tuple]] = {}
+        for r in mine.collect():
+            if n := len(words_of(r.text)):
+                classes.setdefault(max(32, 1 << (n - 1).bit_length()), []).append((r.item_id, r.text))
+        numbers = {t: k for k, t in enumerate(sorted(frequencies))}
+        index = [build(some, frequencies, whole.items, whole.words / whole.items, stride, share, numbers) for stride, some in sorted(classes.items())]
+        if not index:
+            continue
         part = rows.mapInArrow(_searcher(spark.sparkContext.broadcast(index), overlap, pa.schema([("id", rows_type(rows)), ("item_id", rows_type(texts))])), schema)
         out = part if out is None else out.union(part)
     return out.withColumnRenamed("id", id_col)
@@ -218,13 +237,14 @@ def rows_type(df: DataFrame) -> pa.DataType:
 
 def _searcher(shared, overlap: float, types: pa.Schema):
     def run(batches):
-        index: Index = shared.value
+        indexes: list[Index] = shared.value
         schema = pa.schema([types.field(0), types.field(1), *(pa.field(n, pa.float64()) for n in ("score", "share", "question_overlap", "answer_overlap"))])
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0), batch.column(1)):
-                for i, (s, q, r) in search(text.as_py(), index, overlap).items():
-                    out.append({"id": doc_id.as_py(), "item_id": index.items[i], "score": s, "share": s / index.own[i], "question_overlap": q, "answer_overlap": r})
+                for index, found in zip(indexes, search_all(text.as_py(), indexes, overlap)):
+                    for i, (s, q, r) in found.items():
+                        out.append({"id": doc_id.as_py(), "item_id": index.items[i], "score": s, "share": s / index.own[i], "question_overlap": q, "answer_overlap": r})
             yield pa.RecordBatch.from_pylist(out, schema)
 
     return run
