@@ -41,6 +41,20 @@ def test_language_id(spark, odd, empty):
     assert language_id.identify(empty, model).count() == 0
 
 
+def test_a_rare_language_keeps_its_entries(spark):
+    """Two languages of 600 texts and one of 12, all of the same letters, and a model of far fewer entries than there are."""
+    rng = np.random.default_rng(5)
+    lexicon = {lang: ["".join(rng.choice(list("abcdefgh"), 7)) for _ in range(n)] for lang, n in (("p", 400), ("q", 400), ("rare", 60))}
+    text = lambda lang: " ".join(rng.choice(lexicon[lang], 12))
+    rows = [(i, lang, text(lang)) for i, lang in enumerate(["p"] * 600 + ["q"] * 600 + ["rare"] * 12)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"), most_entries=1500)
+    scorer = language_id.Scorer(model)
+    own = {w for _, lang, t in rows if lang == "rare" for w in t.split()}
+    assert sum(map(len, model.index.values())) <= 1500 and len(own & set(model.index[0])) > 20
+    assert np.mean([scorer.predict(text("rare"))[0] == "rare" for _ in range(100)]) > 0.9
+    assert np.mean([scorer.predict(text("p"))[0] == "p" for _ in range(100)]) > 0.9
+
+
 def test_unseen_words_fall_back_to_ngrams():
     model = language_id.LanguageModel(["a", "b"], {0: {"known": 0}, 1: {"x": 0}, 2: {}, 3: {"^fo": 0}, 4: {}, 5: {}}, {0: np.float32([[-1, -9]]), 1: np.float32([[-9, -1]]), 3: np.float32([[-2, -8]])}, np.float32([-14, -14]))
     assert model.score("known").tolist() == [-1, -9]

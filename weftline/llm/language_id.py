@@ -10,9 +10,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
@@ -112,12 +114,14 @@ def _scorer(model: LanguageModel) -> Scorer:
     return _last[0]
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows_per_language: int = 4000, least_count: int = 2, most_entries: int = 250_000) -> LanguageModel:
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows_per_language: int = 4000, least_count: int = 2, most_entries: int = 400_000) -> LanguageModel:
     """Count words and n-grams by language over a sample of docs, all rows of which may be learned from.
 
     The sample has about rows_per_language rows of each language (a hash of the id picks them; a rarer language is taken
-    whole); entries seen fewer than least_count times are left out, and most_entries bounds the model. Rows with a null
-    text or language teach nothing.
+    whole); entries seen fewer than least_count times are left out. An n-gram counts once for each distinct word of a
+    language. most_entries bounds the model; where that is too few, each language has the same claim: its entries of an
+    order are ranked by its own counts, and the best ranks of every language and order stay. Rows with a null text or
+    language teach nothing.
     """
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -128,20 +132,31 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
 
     def count(batches):
         for batch in batches:
-            found: dict[tuple[str, int], Counter] = {}
+            found: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found.setdefault((lang, 0), Counter()).update(words_of(text))
-            for (lang, _), words in list(found.items()):
-                for n in ORDERS:
-                    grams = found.setdefault((lang, n), Counter())
-                    for word in words:  # each distinct word once: unseen words are rare ones
-                        grams.update(grams_of(word, n))
-            for (lang, n), counts in found.items():
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(counts), "n": [n] * len(counts), "entry": list(counts), "c": list(counts.values())}, pa.schema([("lang", pa.string()), ("n", pa.int32()), ("entry", pa.string()), ("c", pa.int64())]))
+                found.setdefault(lang, Counter()).update(words_of(text))
+            for lang, counts in found.items():
+                yield counts_of(lang, 0, counts)
+
+    def counts_of(lang: str, n: int, counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"lang": [lang] * len(counts), "n": [n] * len(counts), "entry": list(counts), "c": list(counts.values())}, pa.schema([("lang", pa.string()), ("n", pa.int32()), ("entry", pa.string()), ("c", pa.int64())]))
 
-    counted = rows.filter(keep).select("lang", "text").mapInArrow(count, "lang string, n int, entry string, c long").groupBy("n", "entry", "lang").agg(F.sum("c").alias("c"))
-    wide = counted.groupBy("n", "entry").agg(F.sum("c").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"))
-    entries = wide.filter(F.col("all") >= least_count).orderBy(F.desc("all"), "n", "entry").limit(most_entries).select("n", "entry", *[F.coalesce(F.col("by")[lang], F.lit(0)).cast("int").alias(f"c{i}") for i, lang in enumerate(languages)]).toPandas()
+    def count_grams(batches):
+        for batch in batches:
+            found: dict[tuple[str, int], Counter] = {}
+            for lang, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for n in ORDERS:  # each distinct word once: unseen words are rare ones
+                    found.setdefault((lang, n), Counter()).update(grams_of(word, n))
+            for (lang, n), counts in found.items():
+                yield counts_of(lang, n, counts)
+
+    kind = "lang string, n int, entry string, c long"
+    known = written(rows.filter(keep).select("lang", "text").mapInArrow(count, kind).groupBy("n", "entry", "lang").agg(F.sum("c").alias("c")), "language-words")
+    grams = known.select("lang", "entry").mapInArrow(count_grams, kind).groupBy("n", "entry", "lang").agg(F.sum("c").alias("c"))
+    ranked = Window.partitionBy("n", "lang").orderBy(F.desc("c"), "entry")  # of the sample alone, so of bounded size
+    counted = known.unionByName(grams).withColumn("rank", F.row_number().over(ranked))
+    wide = counted.groupBy("n", "entry").agg(F.sum("c").alias("all"), F.min("rank").alias("rank"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"))
+    entries = wide.filter(F.col("all") >= least_count).orderBy("rank", F.desc("all"), "n", "entry").limit(most_entries).select("n", "entry", *[F.coalesce(F.col("by")[lang], F.lit(0)).cast("int").alias(f"c{i}") for i, lang in enumerate(languages)]).toPandas()
     index, tables = {}, {}
     for n in (0, *ORDERS):
         part = entries[entries["n"] == n]
