@@ -332,6 +332,17 @@ def test_similar_groups_are_all_pairs_of_four_fifths(spark):
     assert got == want
 
 
+def test_texts_below_four_fifths_stay_apart(spark):
+    """Pairs of similarity 0.7, just below 0.8, 0.8 and 0.85; a pair links if, and only if, it has 0.8."""
+    rows, want = [], {}
+    for g, cut in enumerate([50] * 60 + [34] * 60 + [33] * 60 + [24] * 60):
+        words = [f"g{g}w{i}" for i in range(304)]  # 300 shingles; without the last k words (300 - k) / 300 are left, here k more are others
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[:-cut] + [f"g{g}x{i}" for i in range(cut)]))]
+        want |= {2 * g: 2 * g, 2 * g + 1: 2 * g + ((300 - cut) * 5 < 4 * (300 + cut))}
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) == 360
+
+
 def test_pipeline_stages_keep_columns_and_rules(spark, odd, tmp_path):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

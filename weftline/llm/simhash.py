@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import delete, written
 from .components import components
 
 MAX_BITS, SEGMENTS, WIDTH = 3, 4, 16
@@ -135,6 +135,13 @@ def parities(found: np.ndarray) -> np.ndarray:
     return np.packbits(counts & 1, bitorder="little").view(np.int64)
 
 
+def _drop(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            delete(df.sparkSession, folder)
+
+
 def _similar_pairs(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
     """Those pairs (a, b) of nodes whose whole shingle sets are similar, written.
 
@@ -151,7 +158,9 @@ def _similar_pairs(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> Da
     left, right = used.select(F.col("node").alias("a"), F.col("shingles").alias("x")), used.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - both
-    return written(pairs.join(left, "a").join(right, "b").filter(both * SIMILAR[1] >= union * SIMILAR[0]).select("a", "b"), "similar-links")
+    out = written(pairs.join(left, "a").join(right, "b").filter(both * SIMILAR[1] >= union * SIMILAR[0]).select("a", "b"), "similar-links")
+    _drop(pairs)
+    return out
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,7 +222,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", te
     members = sets.mapInArrow(prefixes, "shingle long, node long, n int")
     least, most = F.min("node"), F.max("node")
     met = members.groupBy("shingle").agg(least.alias("center"), most.alias("last")).filter("center <> last").select("shingle", "center")
-    members = written(members.join(written(met, "similar-shingles"), "shingle").distinct(), "similar-members")
+    met = written(met, "similar-shingles")
+    members = written(members.join(met, "shingle").distinct(), "similar-members")
     sketches = each.filter("shingles IS NOT NULL").select("node", F.size("shingles").alias("n"), *words).groupBy("node").agg(F.first("n").alias("n"), *[F.first(w).alias(w) for w in words])
     sketches = written(sketches, "similar-sketches")
     linked = _similar_pairs(members.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")), sketches, sets)
@@ -231,4 +241,6 @@ def similar_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", te
     rooted = nodes.join(found, "node").select("node", "root", "least")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(nodes.join(rooted.select("node", "root").join(named, "root").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "similar-named")
-    return each.select("doc_id", "node").join(named, "node").select(F.col("doc_id").alias(id_col), "component_id")
+    slim = written(each.select("doc_id", "node"), "similar-rows")
+    _drop(each, met, members, sketches, grouped, open_, linked, more, nodes)
+    return slim.join(named, "node").select(F.col("doc_id").alias(id_col), "component_id")
