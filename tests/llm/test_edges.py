@@ -364,6 +364,28 @@ def test_pipeline_stages_keep_columns_and_rules(spark, odd, tmp_path):
     assert near(spark, odd, sf).count() >= 5
 
 
+def test_pipeline_decides_by_row(spark, tmp_path):
+    """Null and repeated ids: what one row holds says nothing about another row of its id."""
+    sf = "/root/testdata/sf0.01"
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    dirty, clean_text, other = f"Words before. {item} Words after.", "a clean text of its own words " * 5, "quite another text with nothing in common at all " * 4
+    ids = [None, None, None, None, 5, 5, 5, 6, 6]
+    texts = [dirty, clean_text, clean_text, other, dirty, "only five has these words here " * 3, clean_text, "six words of six stand twice here", "six words of six stand twice here"]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in zip(ids, texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    _, near, clean, mix, _ = (f for _, f in corpus_pipeline.STAGES)
+    left = sorted((r.doc_id or 0, r.text) for r in clean(spark, docs, sf).collect())
+    assert left == sorted((i or 0, t) for i, t in zip(ids, texts) if t != dirty)
+    once = [(r.doc_id, r.text) for r in near(spark, docs, sf).collect()]
+    assert sorted(t for _, t in once) == sorted(set(texts)) and {i for i, t in once if t in (clean_text, dirty)} == {5} and {i for i, t in once if t == other} == {None}
+    many = spark.createDataFrame([(None if k % 2 else 1, f"{k} " + "word " * (k % 7 + 3), "en", "ab"[k % 2], 1) for k in range(400)], docs.schema)
+    size = F.size(F.split(F.trim("text"), " "))
+    target = {r.source: r.target for r in mixing.mix_sources(many).groupBy("source").agg(F.max("target").alias("target")).collect()}
+    got = {r.source: r.n for r in mix(spark, many, sf).groupBy("source").agg(F.sum(size).alias("n")).collect()}
+    assert all(abs(got[s] - t) < 0.02 * t for s, t in target.items())
+    rated = mixing.mix_sources(many, rows_per_block=50)
+    assert rated.count() == 400
+
+
 def test_entry_works_without_this_subpackage():
     import subprocess
     import sys
