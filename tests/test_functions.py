@@ -42,11 +42,15 @@ def test_numbers(spark):
 
 
 def test_verdicts(spark):
-    assert [one(spark, V.verdict, s) for s in ("partially right", "incorrect", "Correct!", "正确", "?")] == [V.PARTLY, V.WRONG, V.RIGHT, V.RIGHT, None]
+    assert [one(spark, V.verdict, s) for s in ("partially right", "incorrect", "correct!", "Correct!", "正确", "YES", "?")] == [V.PARTLY, V.WRONG, V.RIGHT, None, V.RIGHT, V.RIGHT, None]
     assert one(spark, lambda c: V.verdict(c, three=False), "partially right") == V.RIGHT
 
 
 def test_entities(spark):
-    got = one(spark, V.entities, 'text {"a": "1", "b": "", "c": "x: 2"} more')
-    assert [(r.name, r.content) for r in got] == [("a", "1"), ("c", "x: 2")]
+    got = one(spark, V.entities, '```json\n{"a": "1", "b": "", "c": "x: 2"}\n```')
+    assert [(r.name, r.content) for r in got] == [("a", "1"), ("b", ""), ("c", "x: 2")]
+    got = one(spark, V.entities, '[{"entities": {"a": "1"}, "knowledge": 2}, {"entities": {"a": "2"}}]')
+    assert [(r.name, r.content) for r in got] == [("a", "1"), ("a", "2")]
+    assert one(spark, V.entities, '{"entities": {}}') == []
+    assert [one(spark, V.entities, t) for t in ("{}", "[]", "[1]", '[{"a": "1"}]', '{"entities": {"a": 1}}', "text {", 'text {"a": "1"}')] == [None] * 7
     assert one(spark, V.entities, '{"a": 1}') is None

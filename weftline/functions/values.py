@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col, strip
+from .text import _col, strip, strip_fence
 
 RIGHT, WRONG, PARTLY, UNKNOWN = "正确", "错误", "部分正确", "未知"
 
@@ -24,10 +24,20 @@ def safe_div(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
-def ratio(raw: Column | str, count: Column, total: Column) -> Column:
-    """0.294, 29.4 or "29.4%" as a share, rounded to 6 places; else count / total."""
-    text, x = strip(_col(raw).cast("string")), lenient_number(raw)
-    return F.round(F.coalesce(F.when(text.endswith("%") | (x > 1), x / 100).otherwise(x), safe_div(count.cast("double"), total.cast("double"))), 6)
+def ratio(raw: Column | str, count: Column | None = None, total: Column | None = None) -> Column:
+    """A share, rounded to 6 places, of a cell: its first number (thousands commas aside), in hundredths where the cell has a percent sign or the number is above 1. An empty cell gives count / total, one without a number null."""
+    cell = _col(raw).cast("string")
+    x = F.nullif(F.regexp_extract(F.regexp_replace(cell, ",", ""), r"([-+]?[0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).cast("double")
+    found = F.when(F.contains(cell, F.lit("%")) | (x > 1 + 1e-9), x / 100).otherwise(x)
+    empty = cell.isNull() | (cell == "")
+    spare = safe_div(count.cast("double"), total.cast("double")) if count is not None and total is not None else F.lit(None).cast("double")
+    return F.round(F.when(empty, spare).otherwise(found), 6)
+
+
+def cell_text(c: Column | str) -> Column:
+    """A cell as text: a whole number without its point, nothing for NaN."""
+    text = strip(F.coalesce(_col(c).cast("string"), F.lit("")))
+    return F.when(text == "NaN", "").otherwise(F.regexp_replace(text, r"^(-?[0-9]+)\.0$", "$1"))
 
 
 def score_0_to_3(c: Column | str) -> Column:
@@ -41,10 +51,9 @@ def verdict_of_score(score: Column | str) -> Column:
     return F.when(s >= 2, RIGHT).when(s == 1, PARTLY).when(s == 0, WRONG)
 
 
-#: Synonyms that a judge's answer may contain.
-PART_WORDS = ["部分", "partial"]
-WRONG_WORDS = ["错误", "不正确", "incorrect", "wrong", "false", "no"]
-RIGHT_WORDS = ["正确", "correct", "right", "true", "yes"]
+#: What a judge's answer may contain, as it is written, and words that it may consist of in any case.
+THREE = {PARTLY: (["部分正确", "部分对", "不完全", "partial"], []), WRONG: (["不正确", "全部错误", "完全错误", "错误", "wrong", "incorrect"], []), RIGHT: (["全部正确", "完全正确", "正确", "correct", "right"], ["true", "yes"])}
+TWO = {WRONG: ["不正确", "全部错误", "完全错误", "错误", "错", "wrong", "incorrect", "false", "no"], RIGHT: ["全部正确", "完全正确", "正确", "对", "correct", "right", "true", "yes"]}
 
 
 def _any(text: Column, words: list[str]) -> Column:
@@ -54,11 +63,19 @@ def _any(text: Column, words: list[str]) -> Column:
     return out
 
 
-def verdict(text: Column | str, three: bool = True) -> Column:
-    """The verdict that a free answer names: partial first (with three labels), then wrong, then right, else null."""
-    low = F.lower(strip(_col(text)))
-    found = F.when(_any(low, WRONG_WORDS), WRONG).when(_any(low, RIGHT_WORDS), RIGHT)
-    return F.when(_any(low, PART_WORDS), PARTLY).otherwise(found) if three else found
+def verdict(text: Column | str, three: bool = True, score: Column | None = None) -> Column:
+    """The verdict that a free answer names, else null (or, of three labels, what the score says). An answer that is a label is that label; otherwise partly comes before wrong, and wrong before right."""
+    s = strip(_col(text).cast("string"))
+    low = F.lower(s)
+    if not three:
+        found = F.when(s.isin(*TWO), s)
+        for label, words in TWO.items():
+            found = found.when(low.isin(words) | _any(s, words), label)
+        return found
+    found = F.when(s.isin(*THREE), s)
+    for label, (parts, wholes) in THREE.items():
+        found = found.when(_any(s, parts) | low.isin(wholes), label)
+    return found if score is None else F.coalesce(found, verdict_of_score(score))
 
 
 def judge_order(key: Column | str) -> Column:
@@ -81,8 +98,18 @@ def json_object(text: Column | str) -> Column:
 
 
 def entities(text: Column | str) -> Column:
-    """array<struct<name, content>> of an object of strings; the last of equal names counts, at its first place. Null where a value isn't a string."""
-    body = json_object(text)
-    pairs = F.map_entries(F.from_json(body, "map<string,string>"))
-    strings = ~F.regexp_replace(body, r'"(?:[^"\\]|\\.)*"', '""').rlike(r":\s*[^\s\"]")
-    return F.when(strings, F.filter(F.transform(pairs, lambda p: F.struct(p["key"].alias("name"), p["value"].alias("content"))), lambda p: p["content"] != ""))
+    """array<struct<name, content>> of an extraction: {"entities": {...}}, a list of such objects, or an object of strings.
+
+    Null where the answer isn't JSON of such a shape, a list is empty, or a description isn't a string; then it is asked for
+    again. Entities come in the order of their names, item by item.
+    """
+    v = F.try_parse_json(strip_fence(text))
+    shape = F.schema_of_variant(v)
+    inner = lambda x: F.try_variant_get(x, "$.entities", "variant")
+    maps = lambda x: F.when(F.schema_of_variant(x).startswith("OBJECT"), F.try_variant_get(x, "$", "map<string,variant>"))
+    bare = maps(v)
+    of_object = F.when(F.map_contains_key(bare, "entities"), F.array(maps(inner(v)))).when(F.size(bare) > 0, F.array(bare))
+    found = F.when(shape.startswith("OBJECT"), of_object).when(shape.startswith("ARRAY"), F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: maps(inner(x))))
+    strings = F.forall(found, lambda m: m.isNotNull() & F.forall(F.map_values(m), lambda x: F.schema_of_variant(x) == "STRING"))
+    pairs = F.flatten(F.transform(found, lambda m: F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("name"), F.try_variant_get(e["value"], "$", "string").alias("content")))))
+    return F.when(strings & (F.size(found) > 0), pairs)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_filename
@@ -104,3 +104,23 @@ def stage_metrics(calls: DataFrame) -> DataFrame:
 def sample_rows(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows by the order of a hash of their key: reproducible, without replacement. n is the feature."""
     return rows.orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
+
+
+def sample_for_tasks(tasks: DataFrame, rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """tasks' columns, place, key: for each task `n` rows in the order of a hash of seed, task and key; where there are fewer rows, they are taken again in turn.
+
+    tasks: task (text), n. They are few, and held against all rows in one pass; a task keeps its n best of each.
+    """
+    ranked = Window.partitionBy("task").orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), "task", F.col(key).cast("string"))), key)
+    picked = rows.select(key).crossJoin(F.broadcast(tasks.select("task", "n"))).withColumn("_rank", F.row_number().over(ranked)).filter("_rank <= n")
+    held = picked.groupBy("task").agg(F.count("*").alias("_held"))
+    places = tasks.join(held, "task").withColumn("place", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    places = places.withColumn("_rank", (F.col("place") - 1) % F.col("_held") + 1)
+    return places.join(picked.select("task", "_rank", key), ["task", "_rank"]).drop("_rank", "_held")
+
+
+def question_tasks(spark, hop_counts: dict[int, int]) -> DataFrame:
+    """task, hop, number, n: so many questions of each number of hops, each of which needs as many documents as hops."""
+    rows = spark.createDataFrame([(h, c) for h, c in hop_counts.items() if c > 0], "hop int, count int")
+    each = rows.select("hop", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("number"))
+    return each.select(F.concat_ws("/", "hop", "number").alias("task"), "hop", "number", F.col("hop").alias("n"))

@@ -16,9 +16,9 @@ def _distance(a: str, b: str) -> str:
     return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double)))"
 
 
-def _hits(k: int, n: int = 5, where: str = "true") -> str:
+def _hits(k: int, where: str = "true") -> str:
     return f"""SELECT * FROM (SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (
-      SELECT q.vec_id AS query_id, e.vec_id AS id, {_distance('e.embedding', 'q.embedding')} AS distance FROM embeddings e, embeddings q WHERE q.vec_id < {n} AND {where})) WHERE rank <= {k}"""
+      SELECT q.vec_id AS query_id, e.vec_id AS id, {_distance('e.embedding', 'q.embedding')} AS distance FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND {where})) WHERE rank <= {k}"""
 
 
 _SIM = "greatest(0.0, least(1.0, 1 - distance * distance / 2))"
@@ -36,18 +36,73 @@ _DUAL = f"""SELECT query_id, chunk_id, greatest(a, b) AS score, CASE WHEN a IS N
   SELECT coalesce(c.query_id, n.query_id) AS query_id, coalesce(c.chunk_id, n.chunk_id) AS chunk_id, a, b FROM
   (SELECT query_id, id AS chunk_id, {_SIM} AS a FROM ({_hits(30)})) c FULL JOIN
   (SELECT query_id, id + id % 2 AS chunk_id, max({_SIM}) AS b FROM ({_hits(20)}) GROUP BY ALL) n ON c.query_id = n.query_id AND c.chunk_id = n.chunk_id)"""
-_UNION = f"""SELECT coalesce(d.chunk_id, k.chunk_id) AS chunk_id, greatest(d.score, k.score) AS score,
+_WORDS = """SELECT vec_id AS query_id, CASE vec_id // 100 % 3 WHEN 0 THEN ['blehe', 'thinhe', 'eringed'] WHEN 1 THEN ['blehe'] ELSE []::varchar[] END AS minority,
+  CASE vec_id // 100 % 3 WHEN 0 THEN ['tion', 'the', 'edand', 'oner'] WHEN 1 THEN ['tion', 'oner'] ELSE ['edand', 'the'] END AS majority FROM embeddings WHERE vec_id % 100 = 0"""
+_POOL = f"""SELECT *, 10.0 * n_minority + n_majority AS score FROM (SELECT query_id, id AS chunk_id, doc_id, len(list_filter(minority, lambda w: contains(lower(content), w))) AS n_minority,
+    len(list_filter(majority, lambda w: contains(lower(content), w))) AS n_majority FROM ({_CHUNKS}) c, ({_WORDS}) w) WHERE n_minority + n_majority > 0
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n_minority > 0 DESC, n_minority DESC, n_majority DESC, chunk_id) <= 50"""
+_RELEVANCE = "((doc_id * 37 + query_id) % 101) / 101.0"
+_PATH = f"""SELECT p.query_id, p.chunk_id, p.doc_id, p.score FROM ({_POOL}) p JOIN (SELECT query_id, doc_id FROM (SELECT DISTINCT query_id, doc_id FROM ({_POOL}))
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {_RELEVANCE} DESC, doc_id) <= 10) d ON p.query_id = d.query_id AND p.doc_id = d.doc_id"""
+_UNION = f"""SELECT coalesce(d.query_id, k.query_id) AS query_id, coalesce(d.chunk_id, k.chunk_id) AS chunk_id, greatest(d.score, k.score) AS score,
   CASE WHEN k.chunk_id IS NULL THEN match_type WHEN d.chunk_id IS NULL THEN 'keyword' ELSE match_type || '+keyword' END AS match_type
-  FROM (SELECT * FROM ({_DUAL}) WHERE query_id = 0) d FULL JOIN ({_KEYWORD}) k ON d.chunk_id = k.chunk_id"""
+  FROM ({_DUAL}) d FULL JOIN ({_PATH}) k ON d.query_id = k.query_id AND d.chunk_id = k.chunk_id"""
 
 
 def _materials(full: bool) -> str:
-    keep = "place <> 0" if full else "(place = 0 OR match_type IS NOT NULL)"
+    keep = "place <> 0 OR bodies = 0" if full else "place = 0 OR match_type IS NOT NULL"
     return f"""WITH u AS ({_UNION}), c AS ({_CHUNKS}),
-    d AS (SELECT doc_id, max(score) AS best, row_number() OVER (ORDER BY max(score) DESC, doc_id) AS material_id FROM u JOIN c ON u.chunk_id = c.id GROUP BY doc_id)
-    SELECT material_id, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place, id) AS position, id AS chunk_id,
+    d AS (SELECT query_id, doc_id, max(score) AS best, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, doc_id) AS material_id FROM u JOIN c ON u.chunk_id = c.id GROUP BY query_id, doc_id)
+    SELECT query_id, material_id, doc_id, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY place, id) AS position, id AS chunk_id,
       coalesce(match_type, '{'full_body_expand' if full else 'head'}') AS match_type, round(coalesce(score, best), 4) AS score
-    FROM (SELECT d.material_id, d.doc_id, d.best, c.id, c.place, u.match_type, u.score FROM d JOIN c ON c.doc_id = d.doc_id LEFT JOIN u ON u.chunk_id = c.id) WHERE {keep}"""
+    FROM (SELECT d.query_id, d.material_id, d.doc_id, d.best, c.id, c.place, u.match_type, u.score, count(*) FILTER (c.place <> 0) OVER (PARTITION BY d.query_id, d.doc_id) AS bodies
+      FROM d JOIN c ON c.doc_id = d.doc_id LEFT JOIN u ON u.chunk_id = c.id AND u.query_id = d.query_id) WHERE {keep}"""
+
+
+def _pick(column: str, values: list) -> str:
+    """The value at the column's place in a list, over and over."""
+    said = ", ".join("NULL" if v is None else str(v) if isinstance(v, int | float) else "'" + v.replace("'", "''") + "'" for v in values)
+    return f"([{said}])[1 + {column} % {len(values)}]"
+
+
+_RIGHT, _WRONG, _PARTLY = "正确", "错误", "部分正确"
+#: By hand, for queries.JUDGED_TEXTS: the verdict with two labels, and with three.
+_OF_TWO = [_RIGHT, _WRONG, _RIGHT, _WRONG, _RIGHT, _WRONG, _WRONG, _RIGHT, _RIGHT, _WRONG, _RIGHT, None, _RIGHT, _WRONG, None, None, _WRONG, None]
+_OF_THREE = [_RIGHT, None, None, _WRONG, _PARTLY, _WRONG, None, _RIGHT, None, _RIGHT, _PARTLY, None, _RIGHT, None, None, None, _WRONG, _PARTLY]
+#: By hand, for queries.WINNER_TEXTS: the side, and the system that is called by its name.
+_STATED = ["A", "B", "A", "A", "tie", "tie", None, "B", "tie", "A", "B", "tie", None, None, None, None, None, "B", None, "A"]
+_CALLED = [None] * 12 + ["hypergraph", "llm_only", None, None, None, None, "llm_only", None]
+_SWAPPED = "substr(md5(event_id::varchar), 2, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f')"
+_JUDGE = f"""SELECT event_id, stated, CASE WHEN stated = 'tie' THEN 'tie' WHEN stated IS NOT NULL THEN CASE WHEN (stated = 'A') <> swapped THEN 'hypergraph' ELSE 'llm_only' END ELSE called END AS judge
+  FROM (SELECT event_id, {_pick('event_id', _STATED)} AS stated, {_pick('event_id', _CALLED)} AS called, {_SWAPPED} AS swapped FROM events)"""
+#: By hand, for queries.JUDGE_ANSWERS: verdict and score of both sides, A's reason, B's dimensions, the named system's verdict, the winner.
+_JUDGED_SIDES = [
+    (_RIGHT, 3, "good", _WRONG, 0, "x=0,y=0", None, "A"), (_WRONG, 0, "", _RIGHT, 2, "x=2,y=2", None, "B"), (_RIGHT, 1, "", _WRONG, 0, "x=0,y=0", None, "tie"), (_WRONG, 0, "", _PARTLY, 1, "x=1,y=1", None, "B"),
+    (_PARTLY, 1, "", _RIGHT, 3, "d1=3", None, None), (None,) * 8, (None,) * 7 + ("A",), (None,) * 6 + (_WRONG, None),
+]
+_SIDE_COLUMNS = ["a_verdict", "a_score", "a_reason", "b_verdict", "b_score", "b_dimensions", "named_verdict", "better"]
+_STAGE_DOCS = f"SELECT id, content, {_pick('id', ['new', 'summary', 'chunk', 'new', 'build'])} AS status FROM ({_DOCS})"
+_STAGE_CHUNKS = f"""SELECT doc_id AS id, {_pick('doc_id', [' Head', 'body_1', 'body_2', None, 'body_3'])} AS name, {_pick('doc_id', ['flag', 'role', 'index', 'no', 'broken', None, 'false'])} AS kind, {_pick('doc_id', ['new', 'extract', 'build'])} AS status FROM documents"""
+_EDGES = f"SELECT id * 2 AS id, id AS doc_id, CASE WHEN id % 2 = 0 THEN id END AS chunk_id, md5('old ' || hash) AS content_md5 FROM ({_DOCS}) WHERE id % 3 <> 2 UNION ALL SELECT id * 2 + 1, id, NULL, md5('old ' || hash) FROM ({_DOCS}) WHERE id % 9 = 0"
+
+
+def _block(shift: int, verdict: str) -> str:
+    n = f"(d.doc_id + {shift})"
+    return f"""struct_pack(answer := CASE WHEN {n} % 6 <> 0 THEN ' a' || d.doc_id || ' ' ELSE '' END, raw_answer := CASE WHEN {n} % 4 <> 0 THEN 'raw' || d.doc_id END, query_status := ({n} % 11 <> 0)::bigint, query_error := CASE WHEN {n} % 13 = 0 THEN 'timeout' END,
+      llm_acc := CASE {verdict} WHEN 1 THEN '正确' WHEN 0 THEN '错误' END, score := {n} % 4, judge_error := CASE WHEN {n} % 17 = 0 THEN 'bad' END, latency := CASE WHEN {n} % 5 = 0 THEN 0.5 END)"""
+
+
+_RESULTS = f"""SELECT d.doc_id, d.doc_id % 19 <> 0 AND text <> '' AS question, d.lang, d.source, CASE WHEN d.doc_id % 3 <> 0 THEN {_block(0, 'quality')} END AS hg, CASE WHEN d.doc_id % 7 <> 0 THEN {_block(1, 'toxic')} END AS lo, {_block(2, 'toxic')} AS old
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
+_SYSTEMS = f"""SELECT doc_id, lang, source, 'hypergraph' AS system, coalesce(hg, old) AS b FROM ({_RESULTS}) UNION ALL SELECT doc_id, lang, source, 'llm_only', lo FROM ({_RESULTS})"""
+
+
+def _answer(b: str) -> str:
+    return f"trim(coalesce(nullif({b}.answer, ''), {b}.raw_answer, ''))"
+
+
+def _lost(b: str) -> str:
+    return f"({b}.query_error IS NOT NULL OR coalesce({b}.query_status = 0, false) OR {b}.judge_error IS NOT NULL)"
 
 
 _ENTITIES = "SELECT DISTINCT conv_id, turn, text, entity FROM (SELECT conv_id, turn, text, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS entity FROM conversations) WHERE length(entity) >= 4"
@@ -99,7 +154,6 @@ SQL = {
     "prior_slices": "SELECT conv_id, turn, md5(coalesce(string_agg(text, chr(10) ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS prior_md5 FROM conversations",
     "entity_longest": f"SELECT conv_id, entity, md5(text) AS description_md5, first_at FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id, entity) AS first_at, row_number() OVER (PARTITION BY conv_id, entity ORDER BY length(text) DESC, turn) AS n FROM ({_ENTITIES})) WHERE n = 1",
     "entity_degree": f"SELECT entity, count(DISTINCT conv_id) AS degree, count(*) AS n_nodes FROM ({_ENTITIES}) GROUP BY entity",
-    "llm_json_entities": "SELECT event_id, 'type' AS name, event_type AS content FROM events UNION ALL SELECT event_id, 'user', user_id::varchar FROM events",
     "llm_json_sum": "SELECT event_type, sum((props->>'$.k')::bigint)::bigint AS k_sum FROM events GROUP BY event_type",
     "vector_topk_l2": f"SELECT query_id, id AS vec_id, round(distance, 4) AS distance, rank FROM ({_hits(10)})",
     "vector_similarity": f"SELECT query_id, id AS vec_id, round({_SIM}, 4) AS score FROM ({_hits(10)})",
@@ -110,7 +164,6 @@ SQL = {
     "node_hits_to_chunk": f"SELECT query_id, chunk_id, round(score, 4) AS score, node_id FROM (SELECT query_id, label::bigint AS chunk_id, score, id AS node_id, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) AS n FROM (SELECT h.query_id, h.id, {_SIM} AS score, e.label FROM ({_hits(20)}) h JOIN embeddings e ON e.vec_id = h.id)) WHERE n = 1",
     "keyword_match": f"SELECT chunk_id, n_minority::bigint AS n_minority, n_majority::bigint AS n_majority, score::double AS score FROM ({_KEYWORD})",
     "merge_hits": f"SELECT query_id, chunk_id, round(score, 4) AS score, match_type FROM ({_DUAL})",
-    "union_hits": f"SELECT chunk_id, round(score, 4) AS score, match_type FROM ({_UNION})",
     "build_materials": _materials(False),
     "build_materials_full_body": _materials(True),
     "rerank_fallback": "SELECT row_number() OVER (ORDER BY s DESC, doc_id) AS material_id, doc_id, s AS material_score, true AS fallback FROM (SELECT doc_id // 4 AS doc_id, max(n_chars)::double AS s FROM documents GROUP BY 1) ORDER BY s DESC, doc_id LIMIT 4",
@@ -139,7 +192,6 @@ SQL = {
       FROM ({_verdicts(f"SELECT * FROM ({_JUDGED}) WHERE source <> 'src1'", 'source')}) x FULL JOIN ({_verdicts(f"SELECT * FROM ({_JUDGED}) WHERE source <> 'src2'", 'source', 'base_verdict')}) y ON x.source = y.source""",
     "pairwise_order": "SELECT item_id, substr(md5(item_id::varchar), 2, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') AS swapped FROM benchmark",
     "normalize_score": "SELECT event_id, greatest(0, least(3, round_even(round(value / 5, 1), 0)))::bigint AS score FROM events",
-    "normalize_judgment": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN '部分正确' WHEN 1 THEN '错误' WHEN 2 THEN '正确' WHEN 3 THEN '正确' END AS verdict FROM events",
     "stage_metrics": """SELECT event_type AS stage, sum((kind = 'real')::int)::bigint AS n_real, sum((kind = 'cached')::int)::bigint AS n_cached, sum((kind = 'skipped')::int)::bigint AS n_skipped,
       round(coalesce(sum(CASE WHEN kind = 'real' THEN value END), 0), 4) AS seconds, coalesce(sum(CASE WHEN kind = 'real' THEN (props->>'$.k')::bigint END), 0)::bigint AS tokens
       FROM (SELECT *, CASE WHEN event_id % 4 = 0 THEN 'cached' WHEN event_id % 7 = 0 THEN 'skipped' ELSE 'real' END AS kind FROM events) GROUP BY event_type""",
@@ -153,15 +205,67 @@ SQL = {
       l AS (SELECT event_type, 'questions' AS metric, questions AS v FROM m UNION ALL SELECT event_type, 'score', score FROM m UNION ALL SELECT event_type, 'best', best FROM m)
       SELECT metric, round(max(v) FILTER (event_type = 'click'), 4) AS a, round(max(v) FILTER (event_type = 'view'), 4) AS b, round(max(v) FILTER (event_type = 'click') - max(v) FILTER (event_type = 'view'), 4) AS delta FROM l GROUP BY metric""",
     "dimension_counts": "SELECT dimension, count(*) AS n FROM (SELECT lang AS dimension FROM documents UNION ALL SELECT source FROM documents UNION ALL SELECT 'hop' || (doc_id % 3) FROM documents) GROUP BY 1",
-    "pairwise_winner": """SELECT item_id, CASE item_id % 4 WHEN 0 THEN CASE WHEN s THEN 'base' ELSE 'graph' END WHEN 1 THEN CASE WHEN s THEN 'graph' ELSE 'base' END WHEN 2 THEN 'tie'
-      ELSE CASE WHEN item_id % 5 > item_id % 3 THEN 'graph' WHEN item_id % 5 < item_id % 3 THEN 'base' ELSE 'tie' END END AS winner
-      FROM (SELECT item_id, substr(md5(item_id::varchar), 2, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') AS s FROM benchmark)""",
     "sample_docs": "SELECT doc_id, lang FROM documents ORDER BY md5('44/' || doc_id), doc_id LIMIT 20",
     "metric_lines": "SELECT event_type AS name, count(*) AS n, sum(event_id % 100)::double AS total FROM events WHERE event_id % 10 > 1 GROUP BY 1",
     "error_kinds": "SELECT substr('failed after <n> s at <hex>: ' || regexp_replace(regexp_replace(url, '[0-9]+', '<n>', 'g'), '\\s+', ' ', 'g'), 1, 160) AS kind, count(*) AS n FROM pages GROUP BY 1",
-    "context_text": f"""SELECT material_id, md5('----- Material ' || material_id || ' | source: doc_' || m.doc_id || '.pdf -----' || chr(10) || string_agg(
+    "union_hits": f"SELECT query_id, chunk_id, round(score, 4) AS score, match_type FROM ({_UNION})",
+    "context_text": f"""SELECT query_id, material_id, md5('----- Material ' || material_id || ' | source: doc_' || m.doc_id || '.pdf -----' || chr(10) || string_agg(
         CASE WHEN chunk_id % 4 = 0 THEN '### Head' ELSE '### Index block ' || position || ' (match=' || match_type || ')' END || chr(10) || text, chr(10) ORDER BY position)) AS text_md5
-      FROM ({_materials(False)}) m JOIN documents d ON d.doc_id = chunk_id WHERE material_id <= 4 GROUP BY material_id, m.doc_id""",
+      FROM ({_materials(False)}) m JOIN documents d ON d.doc_id = chunk_id WHERE material_id <= 4 GROUP BY query_id, material_id, m.doc_id""",
+    "keyword_hits": f"SELECT query_id, chunk_id, n_minority::bigint AS n_minority, n_majority::bigint AS n_majority, score::double AS score FROM ({_POOL})",
+    "keyword_path": f"SELECT query_id, chunk_id, doc_id, score::double AS score FROM ({_PATH})",
+    "rerank_by_question": f"""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY {_RELEVANCE} DESC, doc_id) AS material_id, doc_id, round({_RELEVANCE}, 4)::double AS material_score, false AS fallback
+      FROM (SELECT DISTINCT query_id, c.doc_id FROM ({_UNION}) u JOIN ({_CHUNKS}) c ON c.id = u.chunk_id) QUALIFY material_id <= 4""",
+    "rerank_parse": """SELECT event_id, place, "at", score::double AS score FROM (SELECT event_id, unnest([0, 1, 2]) AS place, unnest([1, 0, 2]) AS "at", unnest([0.75, 0.5, 0.5]) AS score FROM events WHERE event_id % 4 = 0
+      UNION ALL SELECT event_id, unnest([0, 1]), unnest([1, 3]), unnest([2.5, 1.0]) FROM events WHERE event_id % 4 = 1 UNION ALL SELECT event_id, 0, 7, 0.25 FROM events WHERE event_id % 4 = 2)""",
+    "llm_json_entities": """WITH p AS (SELECT event_id, 'type' AS name, event_type AS content FROM events WHERE event_id % 9 <= 2 UNION ALL SELECT event_id, 'user', user_id::varchar FROM events WHERE event_id % 9 <= 2)
+      FROM p UNION ALL SELECT event_id, 'more', 'x' FROM events WHERE event_id % 9 = 2 UNION ALL SELECT event_id, 'one', 'a: 1, b' FROM events WHERE event_id % 9 = 8""",
+    "ratio_parse": f"""SELECT event_id, round(CASE WHEN event_id % 10 IN (5, 9) THEN event_id % 7 / 8.0 ELSE {_pick('event_id', [0.294, 0.294, 0.294, 0.294, 12.34, None, None, -0.5, 1.0, None])}::double END, 6) AS ratio FROM events""",
+    "normalize_judgment": f"""SELECT event_id, {_pick('event_id', _OF_TWO)} AS of_two, {_pick('event_id', _OF_THREE)} AS of_three,
+      coalesce({_pick('event_id', _OF_THREE)}, CASE event_id % 5 WHEN 0 THEN '错误' WHEN 1 THEN '部分正确' WHEN 2 THEN '正确' WHEN 3 THEN '正确' END) AS with_score FROM events""",
+    "pairwise_winner": f"""SELECT event_id, stated, judge, coalesce(judge, CASE WHEN event_id % 5 > event_id % 3 THEN 'hypergraph' WHEN event_id % 5 < event_id % 3 THEN 'llm_only' ELSE 'tie' END) AS winner FROM ({_JUDGE})""",
+    "judge_answers": f"""SELECT event_id, {", ".join(f"{_pick('event_id', [x[i] for x in _JUDGED_SIDES])}{'::bigint' if c.endswith('score') else '::varchar'} AS {c}" for i, c in enumerate(_SIDE_COLUMNS))} FROM events""",
+    "plan_parse": """SELECT event_id, p.place::bigint AS place, p.id, p.question, p.deps FROM events JOIN (VALUES (0, 0, 's1', 'one?', ''), (0, 1, '2', 'two?', 's1'), (0, 2, '3', 'three?', 's1,2'), (1, 0, '7', 'seven', ''), (2, 0, '1', 'only', '')) p(n, place, id, question, deps) ON event_id % 6 = n""",
+    "stage_pending": f"""SELECT 'summary' AS stage, count(*) AS n, sum(id)::bigint AS ids FROM ({_STAGE_DOCS}) WHERE status = 'new' UNION ALL SELECT 'chunk', count(*), sum(id)::bigint FROM ({_STAGE_DOCS}) WHERE status = 'summary'
+      UNION ALL SELECT 'chunk all', count(*), sum(id)::bigint FROM ({_STAGE_DOCS}) WHERE id IN (SELECT doc_id FROM ({_EDGES})) UNION ALL SELECT 'extract', count(*), sum(id)::bigint FROM ({_STAGE_CHUNKS}) WHERE status = 'new'
+      UNION ALL SELECT 'extract all', count(*), sum(id)::bigint FROM ({_STAGE_CHUNKS}) UNION ALL SELECT 'build', count(*), sum(id)::bigint FROM ({_STAGE_CHUNKS}) WHERE status = 'extract'""",
+    "stage_clear": f"""SELECT stage, status, count(*) AS n, sum(id)::bigint AS ids FROM (SELECT 'chunk' AS stage, id, CASE WHEN id IN (SELECT doc_id FROM ({_EDGES})) THEN 'summary' ELSE 'new' END AS status FROM ({_STAGE_DOCS})
+      UNION ALL SELECT 'summary', id, CASE WHEN status = 'build' THEN 'build' ELSE 'new' END FROM ({_STAGE_DOCS}) UNION ALL SELECT 'extract', id, 'new' FROM ({_STAGE_CHUNKS}) UNION ALL SELECT 'build', id, 'extract' FROM ({_STAGE_CHUNKS})) GROUP BY ALL""",
+    "stage_summary": f"""WITH d AS ({_STAGE_DOCS}), old AS (SELECT doc_id, count(*) AS n, min(id) AS id, min(content_md5) AS least_md5 FROM ({_EDGES}) GROUP BY doc_id)
+      SELECT d.id AS doc_id, CASE WHEN status = 'new' THEN 'summary' ELSE status END AS status, CASE WHEN status = 'new' THEN 1 ELSE n END AS n, old.id AS id,
+        CASE WHEN status = 'new' THEN md5(split_part(regexp_replace(content, '^\s+|\s+$', '', 'g'), chr(10), 1)) ELSE least_md5 END AS least_md5 FROM d LEFT JOIN old ON d.id = old.doc_id""",
+    "head_chunks": f"""SELECT id, coalesce(trim(lower(name)) = 'head', false) OR coalesce(kind IN ('flag', 'role'), false) OR id IN (SELECT chunk_id FROM ({_EDGES}) WHERE chunk_id IS NOT NULL) AS bound,
+      coalesce(trim(lower(name)) = 'head', false) OR coalesce(kind IN ('flag', 'role', 'index'), false) AS built FROM ({_STAGE_CHUNKS})""",
+    "summary_order": "SELECT doc_id, row_number() OVER (PARTITION BY doc_id // 4 ORDER BY doc_id) AS turn FROM documents",
+    "load_documents": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE 'doc_' || doc_id END AS name, md5(text) AS md5 FROM documents WHERE doc_id % 4 > 1 AND trim(text, ' ' || chr(10) || chr(9)) <> ''",
+    "resolve_ids": "SELECT * FROM (VALUES (5::bigint, 1::bigint), (3, 2), (9, 3), (0, 4)) t(doc_id, place)",
+    "sub_graph_export": f"""WITH c AS (SELECT doc_id, string_agg(name, ',' ORDER BY id) AS names, md5(string_agg(content, chr(10) ORDER BY id)) AS chunk_md5 FROM ({_CHUNKS}) GROUP BY doc_id),
+      n AS (SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS names FROM conversations GROUP BY conv_id), h AS (SELECT doc_id, count(*) AS n FROM ({_EDGES}) GROUP BY doc_id)
+      SELECT d.id // 4 AS doc_id, md5(content) AS doc_md5, coalesce(h.n, 0) AS n_hyperedges, coalesce(c.names, '') AS chunk_names, coalesce(n.names, '') AS node_names, coalesce(chunk_md5, md5('')) AS chunk_md5
+      FROM ({_DOCS}) d LEFT JOIN c ON c.doc_id = d.id // 4 LEFT JOIN n ON n.conv_id = d.id // 4 LEFT JOIN h ON h.doc_id = d.id // 4 WHERE d.id % 4 = 0""",
+    "stats_sheet": """SELECT lang AS sheet, '来源' AS field, source AS label, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY lang), 6)::double AS ratio FROM documents GROUP BY lang, source
+      UNION ALL SELECT lang, '难度', l, n, r FROM (SELECT DISTINCT lang FROM documents), (VALUES ('hard', 3, 0.75), ('easy', 1, 0.25)) v(l, n, r)""",
+    "design_sheet": "SELECT role AS key, conv_id::varchar AS value FROM conversations QUALIFY row_number() OVER (PARTITION BY role ORDER BY turn * 100000 + conv_id DESC) = 1",
+    "cache_deletes": "SELECT page_id FROM pages WHERE page_id % 10 <> 3 AND page_id % 7 <> 0",
+    "throughput": """WITH s AS (SELECT event_type, epoch(date_trunc('second', ts))::bigint AS sec, max(event_id)::double AS tokens, max(user_id)::double AS running FROM events GROUP BY ALL),
+      e AS (SELECT event_type, (max(sec) - min(sec))::double AS dt, arg_max(tokens, sec) - arg_min(tokens, sec) AS tokens_d, (arg_max(running, sec) + arg_min(running, sec)) / 2 AS running_avg FROM s GROUP BY event_type)
+      SELECT event_type, dt, tokens_d, round(tokens_d / dt, 6) AS tokens_ps, running_avg FROM e""",
+    "counters_by_label": "SELECT CASE WHEN event_id % 3 = 0 THEN 'total' ELSE event_type END AS finished_reason, max(event_id) AS value FROM events GROUP BY 1",
+    "sum_and_count": """SELECT event_type, round(sum(value), 2) AS sum, CASE WHEN event_type <> 'error' THEN count(*) ELSE 0 END::double AS count, CASE WHEN event_type <> 'error' THEN round(round(sum(value), 2) / count(*), 4) END AS mean FROM events GROUP BY event_type""",
+    "system_rows": f"SELECT doc_id, system, b.answer, b.query_status, b.query_error, b.llm_acc, b.score FROM ({_SYSTEMS})",
+    "detail_rows": f"""SELECT doc_id, hg.llm_acc AS hypergraph_verdict, hg.score AS hypergraph_score, {_answer('hg')} AS hypergraph_answer, lo.llm_acc AS llm_only_verdict, lo.score AS llm_only_score, {_answer('lo')} AS llm_only_answer,
+      hg.score - lo.score AS score_delta, hg.llm_acc IS NOT DISTINCT FROM lo.llm_acc AS same_verdict FROM ({_RESULTS})""",
+    "item_failures": f"""SELECT doc_id, NOT question OR hg IS NULL OR {_lost('hg')} OR lo IS NULL OR {_lost('lo')} AS failed, NOT question OR hg IS NULL OR {_lost('hg')} AS first_failed,
+      hg IS NOT NULL AND ({_answer('hg')} <> '' OR hg.query_error IS NOT NULL OR hg.query_status = 1 OR hg.latency IS NOT NULL) AS attempted,
+      CASE WHEN {_answer('hg')} <> '' AND {_answer('lo')} <> '' THEN 'pair' WHEN {_answer('hg')} <> '' THEN 'first' WHEN {_answer('lo')} <> '' THEN 'second' ELSE 'skip' END AS mode FROM ({_RESULTS})""",
+    "report_summary": f"""SELECT system, field, label, count(*) AS n, sum({_lost('b')}::int)::bigint AS n_failed, count(*) FILTER (b.llm_acc = '正确') AS n_right, 0::bigint AS n_partly, count(*) FILTER (b.llm_acc = '错误') AS n_wrong,
+      round(avg(b.score), 4) AS score_mean, round((count(*) FILTER (b.llm_acc = '正确'))::double / nullif(count(b.llm_acc), 0), 4) AS accuracy FROM (
+      SELECT system, b, 'all' AS field, 'all' AS label FROM ({_SYSTEMS}) UNION ALL SELECT system, b, 'lang', coalesce(nullif(trim(lang), ''), 'NA') FROM ({_SYSTEMS}) UNION ALL SELECT system, b, 'source', coalesce(nullif(trim(source), ''), 'NA') FROM ({_SYSTEMS})) GROUP BY ALL""",
+    "question_tasks": """SELECT task, place, doc_id FROM (SELECT task, n, doc_id, row_number() OVER (PARTITION BY task ORDER BY md5('44/' || task || '/' || doc_id), doc_id) AS place
+      FROM documents, (VALUES ('1/0', 1), ('1/1', 1), ('1/2', 1), ('2/0', 2), ('2/1', 2), ('3/0', 3), ('3/1', 3), ('3/2', 3), ('3/3', 3)) t(task, n)) WHERE place <= n""",
+    "sample_padded": """WITH p AS (SELECT task, n, n_nationkey, row_number() OVER (PARTITION BY task ORDER BY md5('44/' || task || '/' || n_nationkey), n_nationkey) AS rank, count(*) OVER (PARTITION BY task) AS held
+        FROM nation, (VALUES ('all', 60), ('few', 3)) t(task, n) WHERE n_regionkey = 1), q AS (SELECT * FROM p WHERE rank <= n)
+      SELECT q.task, i AS place, n_nationkey FROM q JOIN range(1, 61) r(i) ON i <= n AND (i - 1) % least(held, n) + 1 = rank""",
     "retrieve": f"SELECT * FROM ({_materials(False)}) WHERE material_id <= 4",
 }
 

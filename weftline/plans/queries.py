@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import judging as J
 from ..functions import text as X
 from ..functions import values as V
-from ..operators import agent, chunking, evaluation, hypergraph, models, report, retrieval, store, vectors
-from ..sources import metrics, remote
+from ..operators import agent, chunking, evaluation, hypergraph, models, report, retrieval, stages, store, vectors
+from ..sources import metrics, remote, tables
 
 #: Keywords that occur in the fixture's English text.
 MINORITY, MAJORITY = ["blehe", "thinhe", "eringed"], ["tion", "the", "edand", "oner"]
@@ -43,14 +44,14 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "events").select("event_id", "event_type", "user_id", V.score_0_to_3(F.col("value") / 10).alias("score")).withColumn("verdict", V.verdict_of_score("score"))
 
 
-def _queries(e: DataFrame, n: int = 5) -> DataFrame:
-    return e.filter(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+def _queries(e: DataFrame) -> DataFrame:
+    return e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
-def _hits(spark: SparkSession, sf: str, k: int, n: int = 5, dead: bool = False) -> DataFrame:
+def _hits(spark: SparkSession, sf: str, k: int, dead: bool = False) -> DataFrame:
     e = _t(spark, sf, "embeddings")
     gone = e.filter("vec_id % 7 = 0").select(F.col("vec_id").alias("id")) if dead else None
-    return vectors.top_k(e, _queries(e, n), k, gone, id_col="vec_id")
+    return vectors.top_k(e, _queries(e), k, gone, id_col="vec_id")
 
 
 # store
@@ -181,11 +182,6 @@ def entity_degree(spark, sf):
     return hypergraph.entity_degrees(_entities(spark, sf), "entity", "conv_id").select("entity", "degree", "n_nodes")
 
 
-def llm_json_entities(spark, sf):
-    e = _t(spark, sf, "events").select("event_id", F.concat(F.lit("```json\n{\"type\": \""), "event_type", F.lit("\", \"user\": \""), F.col("user_id").cast("string"), F.lit("\"}\n```")).alias("answer"))
-    return e.select("event_id", F.inline(V.entities("answer"))).select("event_id", "name", "content")
-
-
 def llm_json_sum(spark, sf):
     e = _t(spark, sf, "events").select("event_type", F.get_json_object(V.json_object("props"), "$.k").try_cast("long").alias("k"))
     return e.groupBy("event_type").agg(F.sum("k").alias("k_sum"))
@@ -242,9 +238,33 @@ def keyword_match(spark, sf):
     return k.select("chunk_id", F.col("n_minority").cast("long").alias("n_minority"), F.col("n_majority").cast("long").alias("n_majority"), "score")
 
 
-def _dual(spark, sf, n=5):
-    chunk = vectors.scored_hits(_hits(spark, sf, 30, n)).select("query_id", F.col("id").alias("chunk_id"), "score")
-    node = vectors.scored_hits(_hits(spark, sf, 20, n)).select("query_id", (F.col("id") + F.col("id") % 2).alias("chunk_id"), "score").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+def _words(spark, sf):
+    """Each question's keywords, as a model would name them: with blanks, repeats, single letters, and none at all."""
+    turn = F.floor(F.col("query_id") / 100) % 3
+    words = lambda *w: F.array(*[F.lit(x) for x in w]) if w else F.array().cast("array<string>")
+    minority = F.when(turn == 0, words(*MINORITY)).when(turn == 1, words(" BLEHE ", "blehe", "x")).otherwise(words())
+    majority = F.when(turn == 0, words(*MAJORITY)).when(turn == 1, words("Blehe", "tion", "TION ", "oner")).otherwise(words("edand", "the"))
+    return _queries(_t(spark, sf, "embeddings")).select("query_id", minority.alias("minority"), majority.alias("majority"))
+
+
+def keyword_hits(spark, sf):
+    k = retrieval.keyword_hits(_chunks(spark, sf), _words(spark, sf))
+    return k.select("query_id", "chunk_id", F.col("n_minority").cast("long").alias("n_minority"), F.col("n_majority").cast("long").alias("n_majority"), "score")
+
+
+def _keyword_path(spark, sf):
+    pool = retrieval.keyword_hits(_chunks(spark, sf), _words(spark, sf))
+    relevance = pool.select("query_id", "doc_id", ((F.col("doc_id") * 37 + F.col("query_id")) % 101 / 101.0).alias("relevance")).distinct()
+    return retrieval.keyword_path(pool, ["query_id"], 10, relevance)
+
+
+def keyword_path(spark, sf):
+    return _keyword_path(spark, sf).select("query_id", "chunk_id", "doc_id", "score")
+
+
+def _dual(spark, sf):
+    chunk = vectors.scored_hits(_hits(spark, sf, 30)).select("query_id", F.col("id").alias("chunk_id"), "score")
+    node = vectors.scored_hits(_hits(spark, sf, 20)).select("query_id", (F.col("id") + F.col("id") % 2).alias("chunk_id"), "score").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     return retrieval.merge_hits(chunk, node, ["query_id", "chunk_id"])
 
 
@@ -253,18 +273,17 @@ def merge_hits(spark, sf):
 
 
 def _union(spark, sf):
-    keyword = retrieval.keyword_match(_chunks(spark, sf), MINORITY, MAJORITY).select("chunk_id", "score")
-    # the paths' k bound the hits, and what follows reads them several times
-    return retrieval.union_hits(_dual(spark, sf, 1).drop("query_id"), keyword, ["chunk_id"]).persist()
+    keyword = _keyword_path(spark, sf).select("query_id", "chunk_id", "score")
+    return retrieval.union_hits(_dual(spark, sf), keyword, ["query_id", "chunk_id"])
 
 
 def union_hits(spark, sf):
-    return _union(spark, sf).select("chunk_id", F.round("score", 4).alias("score"), "match_type")
+    return _union(spark, sf).select("query_id", "chunk_id", F.round("score", 4).alias("score"), "match_type")
 
 
 def _materials(spark, sf, full):
-    m = retrieval.materials(_union(spark, sf), _chunks(spark, sf), full)
-    return m.select(F.col("material_id").cast("long").alias("material_id"), "doc_id", F.col("position").cast("long").alias("position"), "chunk_id", "match_type", F.round("score", 4).alias("score"))
+    m = retrieval.materials(_union(spark, sf), _chunks(spark, sf), full, by=("query_id",))
+    return m.select("query_id", F.col("material_id").cast("long").alias("material_id"), "doc_id", F.col("position").cast("long").alias("position"), "chunk_id", "match_type", F.round("score", 4).alias("score"))
 
 
 def build_materials(spark, sf):
@@ -275,6 +294,21 @@ def build_materials_full_body(spark, sf):
     return _materials(spark, sf, True)
 
 
+def rerank_by_question(spark, sf):
+    docs = _union(spark, sf).join(_chunks(spark, sf).select(F.col("id").alias("chunk_id"), "doc_id"), "chunk_id").groupBy("query_id", "doc_id").agg(F.max("score").alias("material_score"))
+    best = retrieval.rerank(docs, (F.col("doc_id") * 37 + F.col("query_id")) % 101 / 101.0, 4, ["query_id"])
+    return best.select("query_id", F.col("material_id").cast("long").alias("material_id"), "doc_id", F.round("material_score", 4).alias("material_score"), "fallback")
+
+
+def rerank_parse(spark, sf):
+    """Answers of reranking services in several shapes."""
+    e = F.col("event_id").cast("string")
+    raw = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('{"results": [{"index": 0, "relevance_score": 0.5}, {"index": 1, "relevance_score": 0.75}, {"index": 2, "relevance_score": 0.5}, {"index": '), e, F.lit(', "x": 1}]}')))
+    raw = raw.when(F.col("event_id") % 4 == 1, '{"data": [{"index": 3, "score": 1}, {"index": 1, "score": 2.5}]}').when(F.col("event_id") % 4 == 2, '[{"index": 7, "score": 0.25}, 5]').otherwise("no json")
+    rows = _t(spark, sf, "events").select("event_id", F.posexplode(retrieval.rerank_results(raw)).alias("place", "r"))
+    return rows.select("event_id", F.col("place").cast("long").alias("place"), F.col("r.index").cast("long").alias("at"), F.col("r.score").alias("score"))
+
+
 def rerank_fallback(spark, sf):
     docs = _t(spark, sf, "documents").groupBy(F.floor(F.col("doc_id") / 4).alias("doc_id")).agg(F.max("n_chars").cast("double").alias("material_score"))
     return retrieval.rerank(docs, None, 4).select(F.col("material_id").cast("long").alias("material_id"), "doc_id", "material_score", "fallback")
@@ -374,11 +408,6 @@ def normalize_score(spark, sf):
     return _t(spark, sf, "events").select("event_id", V.score_0_to_3(F.round(F.col("value") / 5, 1)).cast("long").alias("score"))
 
 
-def normalize_judgment(spark, sf):
-    answer = F.concat(F.lit("Verdict: "), F.when(F.col("event_id") % 5 == 0, "Partially correct").when(F.col("event_id") % 5 == 1, "INCORRECT").when(F.col("event_id") % 5 == 2, "正确").when(F.col("event_id") % 5 == 3, "Yes").otherwise("?"))
-    return _t(spark, sf, "events").select("event_id", V.verdict(answer).alias("verdict"))
-
-
 def stage_metrics(spark, sf):
     kind = F.when(F.col("event_id") % 4 == 0, "cached").when(F.col("event_id") % 7 == 0, "skipped").otherwise("real")
     calls = _t(spark, sf, "events").select(F.col("event_type").alias("stage"), kind.alias("kind"), F.col("value").alias("seconds"), F.get_json_object("props", "$.k").try_cast("long").alias("tokens"))
@@ -393,9 +422,265 @@ def model_cache_join(spark, sf):
 
 
 def retrieve(spark, sf):
-    """The flagship: vector, node and keyword paths, merged into the materials of four documents."""
-    rows = retrieval.materials(_union(spark, sf), _chunks(spark, sf))
-    return rows.filter("material_id <= 4").select(F.col("material_id").cast("long").alias("material_id"), "doc_id", F.col("position").cast("long").alias("position"), "chunk_id", "match_type", F.round("score", 4).alias("score"))
+    """The flagship: for every question the vector, node and keyword paths, merged into the materials of its four best documents."""
+    rows = retrieval.materials(_union(spark, sf), _chunks(spark, sf), by=("query_id",))
+    return rows.filter("material_id <= 4").select("query_id", F.col("material_id").cast("long").alias("material_id"), "doc_id", F.col("position").cast("long").alias("position"), "chunk_id", "match_type", F.round("score", 4).alias("score"))
+
+
+# models' answers
+
+
+def _case(column, values):
+    """The value at the column's place in a list, over and over."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(column) % len(values) + 1).cast("int"))
+
+
+def llm_json_entities(spark, sf):
+    """Extractions in every shape that is taken, and in some that aren't."""
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    pair = F.concat(F.lit('{"type": "'), kind, F.lit('", "user": "'), user, F.lit('"}'))
+    n = F.col("event_id") % 9
+    answer = F.when(n == 0, F.concat(F.lit("```json\n"), pair, F.lit("\n```"))).when(n == 1, F.concat(F.lit('{"entities": '), pair, F.lit(', "knowledge": [1]}')))
+    answer = answer.when(n == 2, F.concat(F.lit('[{"entities": '), pair, F.lit('}, {"entities": {"more": "x"}}]'))).when(n == 3, F.concat(F.lit('{"type": "'), kind, F.lit('", "user": '), user, F.lit("}")))
+    answer = answer.when(n == 4, F.concat(F.lit('[{"entities": '), pair, F.lit("}, 3]"))).when(n == 5, "{}").when(n == 6, "[]").when(n == 7, F.concat(F.lit("It says "), pair)).otherwise('{"entities": {"one": "a: 1, b"}}')
+    return _t(spark, sf, "events").select("event_id", F.inline(V.entities(answer))).select("event_id", "name", "content")
+
+
+def ratio_parse(spark, sf):
+    raw = _case("event_id", ["29.4%", "about 29.4% of all", "0.294", "29.4", "1,234 of 5", "", "none", "-0.5", "100%", None])
+    e = _t(spark, sf, "events")
+    return e.select("event_id", V.ratio(raw, F.col("event_id") % 7, F.lit(8)).alias("ratio"))
+
+
+#: What judges answer.
+JUDGED_TEXTS = ["正确", " 错 ", "对", "不正确", "部分正确", "Verdict: wrong", "INCORRECT", "Yes", "yes, it is", "I know it is right", "不完全对", "?", "true", "False", "", None, "完全错误", "partial"]
+WINNER_TEXTS = ["A", "回答 B", "answer_a", "It is a tie", "tie", "Both", "A is worse than B", "B wins", "两者相当", "甲更好", "乙", "neither", "超图", "baseline", "", None, "B is a better answer", "Answer-B", "LLM only", "回答A更好"]
+
+
+def normalize_judgment(spark, sf):
+    text = _case("event_id", JUDGED_TEXTS)
+    score = F.when(F.col("event_id") % 5 < 4, F.col("event_id") % 5)
+    return _t(spark, sf, "events").select("event_id", V.verdict(text, three=False).alias("of_two"), V.verdict(text).alias("of_three"), V.verdict(text, score=score).alias("with_score"))
+
+
+def pairwise_winner(spark, sf):
+    """The judge's winner by side or by name, else the one with the higher score."""
+    e = _t(spark, sf, "events").select("event_id", _case("event_id", WINNER_TEXTS).alias("said"))
+    e = e.select("event_id", report.stated_winner("said").alias("stated"), report.resolved_winner("said", V.judge_order("event_id")).alias("judge"))
+    return e.select("event_id", "stated", "judge", report.pair_winner(F.col("judge"), F.col("event_id") % 5, F.col("event_id") % 3, "hypergraph", "llm_only").alias("winner"))
+
+
+JUDGE_ANSWERS = [
+    '{"answer_a": {"judgment": "正确", "score": 3, "reason": " good "}, "answer_b": {"judgment": "错误"}, "better": "A"}',
+    '{"answers": [{"id": "A", "llm_acc": "错误"}, {"label": "回答B", "score": "2"}], "winner": "回答B"}',
+    '{"judgment_a": "正确", "b_judgment": "错误", "scoreA": 1, "prefer": "tie"}',
+    '```json\n{"A": {"score": 0}, "B": {"judgment": "部分正确"}, "comparison": {"better": "B"}}\n```',
+    'Here: {"answers": {"A": {"score": 1}, "B": {"score": 9, "dimension_scores": [{"name": "d1", "score": "3"}, {"dimension": " ", "score": 1}, 5]}}} done',
+    "no json at all",
+    '{"A": {"judgment": "?"}, "comparison": "甲"}',
+    '{"超图": {"judgment": "正确"}, "baseline": {"judgment": "错误", "score": 1}}',
+]
+
+
+def judge_answers(spark, sf):
+    """Both sides' verdicts and the winner, from judges' answers of many shapes."""
+    said = _t(spark, sf, "events").select("event_id", _case("event_id", JUDGE_ANSWERS).alias("answer"))
+    e = J.judged_pairs(said, "answer", ["event_id"], dimensions=F.array(F.lit("x"), F.lit("y")))
+    dims = lambda c: F.array_join(F.transform(c["dimension_scores"], lambda d: F.concat_ws("=", d["dimension"], d["score"].cast("string"))), ",")
+    return e.select("event_id", *[F.col(f"{s}.llm_acc").alias(f"{s}_verdict") for s in "ab"], *[F.col(f"{s}.score").cast("long").alias(f"{s}_score") for s in "ab"], F.col("a.judge_reason").alias("a_reason"), dims(F.col("b")).alias("b_dimensions"), F.col("llm_only.llm_acc").alias("named_verdict"), report.stated_winner("better").alias("better"))
+
+
+PLANS = [
+    '{"steps": [{"id": "s1", "question": "one?"}, {"question": " two? ", "depends_on": ["s1", " "]}, {"id": 0, "query": "three?", "deps": ["s1", 2]}]}',
+    'Plan:\n{"steps": [], "plan": [{"id": 7, "question": "seven"}, {"question": ""}, "no step"]}',
+    '```\n{"plan": [{"query": "only"}]}\n```',
+    '[{"question": "in a list"}]',
+    "no plan",
+    '{"steps": {"question": "not a list"}}',
+]
+
+
+def plan_parse(spark, sf):
+    rows = _t(spark, sf, "events").select("event_id", F.posexplode(J.parse_plan(_case("event_id", PLANS))).alias("place", "s"))
+    return rows.select("event_id", F.col("place").cast("long").alias("place"), F.col("s.id").alias("id"), F.col("s.question").alias("question"), F.array_join("s.depends_on", ",").alias("deps"))
+
+
+# stages
+
+
+def _stage_docs(spark, sf):
+    return _docs(spark, sf).select("id", "name", "content", _case("id", ["new", "summary", "chunk", "new", "build"]).alias("status"))
+
+
+def _hyperedges(spark, sf):
+    """Two of three documents have a hyperedge, some of them two; every other one is bound to a chunk."""
+    d = _docs(spark, sf).filter("id % 3 <> 2")
+    one = d.select((F.col("id") * 2).alias("id"), F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("chunk_id"), F.lit("head").alias("name"), F.concat(F.lit("old "), "hash").alias("content"))
+    return one.unionByName(one.filter("doc_id % 9 = 0").withColumns({"id": F.col("id") + 1, "chunk_id": F.lit(None).cast("long")}))
+
+
+def _stage_chunks(spark, sf):
+    extra = _case("doc_id", ['{"is_head": true}', '{"role": " HEAD "}', '{"chunk_index": 0}', '{"is_head": 0, "chunk_index": 1}', "broken", None, '{"is_head": "false", "role": "body"}'])
+    d = _t(spark, sf, "documents")
+    return d.select(F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 4).alias("doc_id"), _case("doc_id", [" Head", "body_1", "body_2", None, "body_3"]).alias("name"), F.col("text").alias("content"), extra.alias("extra"), _case("doc_id", ["new", "extract", "build"]).alias("status"))
+
+
+def stage_pending(spark, sf):
+    """How many rows each stage has still to do, and with everything asked for."""
+    docs, chunks, edges = _stage_docs(spark, sf), _stage_chunks(spark, sf), _hyperedges(spark, sf)
+    parts = {
+        "summary": stages.pending(docs, "summary"), "chunk": stages.pending_chunking(docs, edges), "chunk all": stages.pending_chunking(docs, edges, everything=True), "extract": stages.pending(chunks, "extract"),
+        "extract all": stages.pending(chunks, "extract", everything=True), "build": stages.pending(chunks, "build"),
+    }
+    out = None
+    for name, rows in parts.items():
+        part = rows.agg(F.lit(name).alias("stage"), F.count("*").alias("n"), F.sum("id").alias("ids"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def stage_clear(spark, sf):
+    """Statuses after each stage is undone."""
+    docs, chunks, edges = _stage_docs(spark, sf), _stage_chunks(spark, sf), _hyperedges(spark, sf)
+    cleared = {"chunk": stages.clear_chunks(docs, edges), "summary": stages.clear_summaries(docs), "extract": stages.clear_extracts(chunks).filter("extra IS NULL"), "build": stages.clear_build(chunks)}
+    out = None
+    for name, rows in cleared.items():
+        part = rows.groupBy("status").agg(F.count("*").alias("n"), F.sum("id").alias("ids")).withColumn("stage", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def stage_summary(spark, sf):
+    """New documents are summarised by a model (here: their first line) into a hyperedge, or into the one they have."""
+    docs, edges, _ = stages.summarise(_stage_docs(spark, sf), _hyperedges(spark, sf), models.stub_model)
+    per = edges.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min(F.md5("content")).alias("least_md5")).withColumnRenamed("doc_id", "of")
+    return docs.withColumnRenamed("id", "doc_id").join(per, F.col("doc_id") == F.col("of"), "left").select("doc_id", "status", "n", "id", "least_md5")
+
+
+def head_chunks(spark, sf):
+    """Heads as retrieval and export tell them, and as building does."""
+    chunks = _stage_chunks(spark, sf)
+    bound = stages.with_head_flag(chunks, _hyperedges(spark, sf)).select("id", F.col("head").alias("bound"))
+    return bound.join(stages.with_head_flag(chunks).select("id", F.col("head").alias("built")), "id")
+
+
+def summary_order(spark, sf):
+    """Slices in the order in which their summaries build on each other."""
+    w = Window.partitionBy(X.family_base("name")).orderBy(*stages.summary_order()[1:])
+    return _slices(spark, sf).select(F.col("id").alias("doc_id"), F.row_number().over(w).cast("long").alias("turn"))
+
+
+# tables
+
+
+def load_documents(spark, sf):
+    d = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), _case("doc_id", ["a", " ", None]).alias("name"), F.when(F.col("doc_id") % 4 == 0, " \n ").when(F.col("doc_id") % 4 == 1, None).otherwise(F.col("text")).alias("content"))
+    return tables.documents(d).select(F.col("id").alias("doc_id"), "name", F.md5("content").alias("md5"))
+
+
+def resolve_ids(spark, sf):
+    return tables.resolve_ids(_docs(spark, sf), [5, 3, 5], ["doc_9.pdf", "doc_3.pdf", "doc_0.pdf"]).select("doc_id", F.col("place").cast("long").alias("place"))
+
+
+def sub_graph_export(spark, sf):
+    docs = _docs(spark, sf).filter("id % 4 = 0").select(F.floor(F.col("id") / 4).alias("id"), "name", "content")
+    nodes = _t(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("conv_id").alias("doc_id"), F.col("role").alias("name"), F.col("text").alias("content"))
+    g = tables.sub_graphs(docs, _hyperedges(spark, sf), _chunks(spark, sf), nodes)
+    names = lambda c: F.array_join(F.transform(c, lambda x: x["name"]), ",")
+    return g.select("doc_id", F.md5("doc.content").alias("doc_md5"), F.size("hyperedges").cast("long").alias("n_hyperedges"), names("chunks").alias("chunk_names"), names("nodes").alias("node_names"), F.md5(F.array_join(F.transform("chunks", lambda x: x["content"]), "\n")).alias("chunk_md5"))
+
+
+def stats_sheet(spark, sf):
+    """A statistics sheet for each language: its title, a table under a general header, its total, and a table that names itself."""
+    per = _t(spark, sf, "documents").groupBy(F.col("lang").alias("sheet"), "source").agg(F.count("*").alias("n"))
+    at = F.row_number().over(Window.partitionBy("sheet").orderBy("source"))
+    items = per.select("sheet", (at + 3).alias("row"), F.concat(F.lit(" "), "source", F.lit(" ")).alias("a"), F.col("n").cast("double").cast("string").alias("b"), F.lit(None).cast("string").alias("c"))
+    fixed = [(0, "A title of more than eight letters", None, None), (1, "按来源分布", None, None), (2, "类别", "数量", "占比"), (900, "总问题数", "1,177", None), (901, "", " ", None), (902, "难度", "count", "%"), (903, "hard", "3", "75%"), (904, "easy", "1.0", "0.25"), (905, "not an item", "many", None), (906, "after it", "5", None)]
+    heads = spark.createDataFrame(fixed, "row int, a string, b string, c string")
+    sheet = items.unionByName(per.select("sheet").distinct().crossJoin(F.broadcast(heads)))
+    return tables.distributions(sheet)
+
+
+def design_sheet(spark, sf):
+    c = _t(spark, sf, "conversations").select(F.col("turn").alias("row"), F.concat(F.lit(" "), "role").alias("a"), F.col("conv_id").cast("double").alias("b"), "conv_id")
+    per = tables.design_entries(c.select((F.col("row") * 100000 + F.col("conv_id")).alias("row"), "a", "b"))
+    return per
+
+
+def cache_deletes(spark, sf):
+    c = _t(spark, sf, "pages").select(F.col("page_id").cast("string").alias("key"), F.concat(F.lit('{"name": "p'), (F.col("page_id") % 10).cast("string"), F.lit('.pdf", "n": 1}')).alias("input"))
+    names = spark.createDataFrame([("p3.pdf",), ("p3.pdf",), ("q",)], "name string")
+    return tables.drop_cached(c, names, c.filter("key % 7 = 0").select("key")).select(F.col("key").cast("long").alias("page_id"))
+
+
+# counters
+
+
+def throughput(spark, sf):
+    e = _t(spark, sf, "events").select("event_type", F.unix_timestamp("ts").alias("at"), F.col("event_id").cast("double").alias("tokens"), F.col("user_id").cast("double").alias("running"))
+    first = e.groupBy("event_type", "at").agg(F.max("tokens").alias("tokens"), F.max("running").alias("running"))
+    out = tables.throughput(first, ["event_type"], "at", ["tokens"], ["running"])
+    return out.select("event_type", "dt", "tokens_d", F.round("tokens_ps", 6).alias("tokens_ps"), "running_avg")
+
+
+def counters_by_label(spark, sf):
+    line = F.concat(F.lit("requests_total"), F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit('{model="m",finished_reason="'), "event_type", F.lit('"}'))), F.lit(" "), F.col("event_id").cast("string"), F.lit(".0"))
+    m = metrics.exposition(_t(spark, sf, "events").select(line.alias("value")))
+    return tables.counter_by_label(m, "requests_total", "finished_reason")
+
+
+def sum_and_count(spark, sf):
+    e = _t(spark, sf, "events").groupBy("event_type").agg(F.round(F.sum("value"), 2).alias("s"), F.count("*").alias("c"))
+    lines = e.select("event_type", F.inline(F.array(F.struct(F.lit("latency_sum").alias("name"), F.col("s").alias("value")), F.struct(F.lit("latency_count").alias("name"), F.when(F.col("event_type") != "error", F.col("c")).otherwise(0).cast("double").alias("value")))))
+    return tables.sum_and_count(lines, ["event_type"], "latency").select("event_type", F.round("sum", 2).alias("sum"), "count", F.round("mean", 4).alias("mean"))
+
+
+# evaluation files
+
+
+def _results(spark, sf):
+    """Evaluation results of two systems; older rows have the first one's fields at the top."""
+    d, labels = _t(spark, sf, "documents"), _t(spark, sf, "labels").withColumnRenamed("doc_id", "l_id")
+    j = d.join(labels, d.doc_id == F.col("l_id"), "left")
+    n = F.col("doc_id")
+
+    def block(shift: int, verdict: str):
+        return [
+            F.when((n + shift) % 6 != 0, F.concat(F.lit(" a"), n.cast("string"), F.lit(" "))).otherwise("").alias("answer"), F.when((n + shift) % 4 != 0, F.concat(F.lit("raw"), n.cast("string"))).alias("raw_answer"),
+            ((n + shift) % 11 != 0).cast("long").alias("query_status"), F.when((n + shift) % 13 == 0, "timeout").alias("query_error"), _verdict(verdict).alias("llm_acc"), ((n + shift) % 4).alias("score"), F.lit("r").alias("judge_reason"),
+            F.lit(1).cast("long").alias("judge_status"), F.when((n + shift) % 17 == 0, "bad").alias("judge_error"), F.when((n + shift) % 5 == 0, 0.5).alias("query_latency_s"),
+        ]
+
+    return j.select("doc_id", F.when(n % 19 != 0, F.col("text")).alias("question"), "lang", "source", F.when(n % 3 != 0, F.struct(*block(0, "quality"))).alias("hypergraph"), F.when(n % 7 != 0, F.struct(*block(1, "toxic"))).alias("llm_only"), *block(2, "toxic"))
+
+
+def system_rows(spark, sf):
+    r = report.system_rows(_results(spark, sf), ["hypergraph", "llm_only"], ["doc_id"], legacy="hypergraph")
+    return r.select("doc_id", "system", "answer", "query_status", "query_error", "llm_acc", "score")
+
+
+def detail_rows(spark, sf):
+    return report.detail_rows(_results(spark, sf), "hypergraph", "llm_only", ["doc_id"])
+
+
+def item_failures(spark, sf):
+    hg, lo = F.col("hypergraph"), F.col("llm_only")
+    return _results(spark, sf).select("doc_id", report.item_failed(F.col("question"), hg, lo).alias("failed"), report.item_failed(F.col("question"), hg).alias("first_failed"), report.attempted(hg).alias("attempted"), report.judging_mode(hg, lo).alias("mode"))
+
+
+def report_summary(spark, sf):
+    rows = report.system_rows(_results(spark, sf), ["hypergraph", "llm_only"], ["doc_id", "lang", "source"], legacy="hypergraph")
+    return report.summary_report(rows, ["lang", "source"]).withColumns({"accuracy": F.round("accuracy", 4), "score_mean": F.round("score_mean", 4)})
+
+
+def question_tasks(spark, sf):
+    tasks = evaluation.question_tasks(spark, {1: 3, 2: 2, 3: 4})
+    return evaluation.sample_for_tasks(tasks, _t(spark, sf, "documents").select("doc_id"), "doc_id", 44).select("task", F.col("place").cast("long").alias("place"), "doc_id")
+
+
+def sample_padded(spark, sf):
+    tasks = spark.createDataFrame([("all", 60), ("few", 3)], "task string, n int")
+    return evaluation.sample_for_tasks(tasks, _t(spark, sf, "nation").filter("n_regionkey = 1").select("n_nationkey"), "n_nationkey", 44).select("task", F.col("place").cast("long").alias("place"), "n_nationkey")
 
 
 # reports
@@ -427,12 +712,6 @@ def dimension_counts(spark, sf):
     return report.dimension_counts(rows, "dimensions")
 
 
-def pairwise_winner(spark, sf):
-    stated = F.when(F.col("item_id") % 4 == 0, "Answer A is better").when(F.col("item_id") % 4 == 1, "b").when(F.col("item_id") % 4 == 2, "It is a tie").otherwise("")
-    rows = _t(spark, sf, "benchmark").select("item_id", report.named_winner(report.stated_winner(stated), V.judge_order("item_id"), "graph", "base").alias("judge"))
-    return rows.select("item_id", report.pair_winner(F.col("judge"), F.col("item_id") % 5, F.col("item_id") % 3, "graph", "base").alias("winner"))
-
-
 def sample_docs(spark, sf):
     return evaluation.sample_rows(_t(spark, sf, "documents").select("doc_id", "lang"), "doc_id", 20, 44)
 
@@ -449,8 +728,8 @@ def error_kinds(spark, sf):
 
 def context_text(spark, sf):
     c = _chunks(spark, sf).select(F.col("id").alias("chunk_id"), "content", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source"))
-    rows = retrieval.materials(_union(spark, sf), _chunks(spark, sf)).filter("material_id <= 4").join(c, "chunk_id")
-    return retrieval.context_text(rows).select(F.col("material_id").cast("long").alias("material_id"), F.md5("text").alias("text_md5"))
+    rows = retrieval.materials(_union(spark, sf), _chunks(spark, sf), by=("query_id",)).filter("material_id <= 4").join(c, "chunk_id")
+    return retrieval.context_text(rows, ("query_id",)).select("query_id", F.col("material_id").cast("long").alias("material_id"), F.md5("text").alias("text_md5"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -459,5 +738,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     vector_topk_l2 vector_similarity vector_topk_tombstoned vector_dedupe_hits vector_compact deleted_stats node_hits_to_chunk keyword_match merge_hits union_hits build_materials
     build_materials_full_body rerank_fallback plan_normalize ready_steps sources_distinct usage_sum doc_recall verdict_summary verdict_by_hop recall_vs_accuracy system_comparison crosstab
     group_metrics score_hist category_coverage category_distribution category_compare_outer pairwise_order normalize_score normalize_judgment stage_metrics model_cache_join retrieve
-    eval_failures eval_remaining latency_long metric_table dimension_counts pairwise_winner sample_docs metric_lines error_kinds context_text"""
+    keyword_hits keyword_path rerank_by_question rerank_parse ratio_parse judge_answers plan_parse stage_pending stage_clear stage_summary head_chunks summary_order
+    load_documents resolve_ids sub_graph_export stats_sheet design_sheet cache_deletes throughput counters_by_label sum_and_count system_rows detail_rows item_failures report_summary
+    question_tasks sample_padded eval_failures eval_remaining latency_long metric_table dimension_counts pairwise_winner sample_docs metric_lines error_kinds context_text"""
     return {n: globals()[n] for n in names.split()}
