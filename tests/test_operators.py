@@ -3,8 +3,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weftline.operators import agent, chunking, models, retrieval, store, vectors
-from weftline.sources import remote
+from weftline.operators import agent, chunking, models, retrieval, stages, store, vectors
+from weftline.sources import remote, tables
 from weftline.streaming import ingest
 
 
@@ -130,3 +130,41 @@ def test_family_closure_follows_a_chain_of_any_length(spark):
     docs = spark.createDataFrame([(i, f"d{i}.pdf", f"d{i + 1}.pdf") for i in range(55)] + [(99, "other.pdf", None)], "id long, name string, source_name string")
     found = store.family_closure(docs, docs.filter("id = 0").select("name"))
     assert sorted(r.id for r in found.collect()) == list(range(55))
+
+
+def test_stages_run_and_resume(spark):
+    """Documents through summary, chunks, entities and nodes with stub models; what fails stays for the next run."""
+    docs = spark.createDataFrame([(1, "a.pdf", "First line.\nMore of it.", "new"), (2, "b.pdf", "bad document", "new"), (3, "c.pdf", "Done before.", "chunk")], "id long, name string, content string, status string")
+    edges = spark.createDataFrame([(7, 1, None, "head", "old"), (9, 3, None, "head", "kept")], "id long, doc_id long, chunk_id long, name string, content string")
+
+    def model(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("bad")
+        return [t.split("\n")[0] for t in texts]
+
+    docs, edges, asked = stages.summarise(docs, edges, model)
+    assert {(r.doc_id, r.status) for r in asked.collect()} == {(1, 1), (2, 0)}
+    assert {(r.id, r.status) for r in docs.collect()} == {(1, "summary"), (2, "new"), (3, "chunk")}
+    assert {(r.id, r.doc_id, r.content) for r in edges.collect()} == {(7, 1, "First line."), (9, 3, "kept")}
+    docs, made = stages.chunk(docs, edges)
+    assert {(r.doc_id, r.name) for r in made.collect()} == {(1, "head"), (1, "body_1")} and docs.filter("id = 1").first().status == "chunk"
+    chunks = made.select(F.monotonically_increasing_id().alias("id"), "doc_id", "name", "content", F.lit(None).cast("string").alias("extra"), F.lit("new").alias("status"))
+    chunks, _ = stages.extract(chunks, lambda texts: ['{"entities": {"x": "one", "y": "two"}}' if "More" in t else "no json" for t in texts])
+    assert {(r.name, r.status) for r in chunks.collect()} == {("head", "new"), ("body_1", "extract")}
+    chunks, found, links = stages.build(chunks, edges)
+    assert {(r.name, r.content, r.hyperedge_id) for r in found.collect()} == {("x", "one", 7), ("y", "two", 7)} and links.count() == 2
+    assert {(r.name, r.status) for r in chunks.collect()} == {("head", "new"), ("body_1", "build")}
+
+
+def test_full_body_of_a_doc_with_a_head_only(spark):
+    chunks = spark.createDataFrame([(1, 5, "head"), (2, 6, "head"), (3, 6, "body_1"), (4, 6, "body_2")], "id long, doc_id long, name string")
+    hits = spark.createDataFrame([("q", 1, 0.5, "chunk"), ("q", 2, 0.9, "node"), ("r", 3, 0.1, "chunk")], "query_id string, chunk_id long, score double, match_type string")
+    got = {(r.query_id, r.material_id, r.doc_id, r.chunk_id, r.match_type) for r in retrieval.materials(hits, chunks, True, ("query_id",)).collect()}
+    assert got == {("q", 1, 6, 3, "full_body_expand"), ("q", 1, 6, 4, "full_body_expand"), ("q", 2, 5, 1, "chunk"), ("r", 1, 6, 3, "chunk"), ("r", 1, 6, 4, "full_body_expand")}
+
+
+def test_resolving_unknown_names_raises(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+    assert [(r.doc_id, r.place) for r in tables.resolve_ids(docs, [2], ["a", "b"]).orderBy("place").collect()] == [(2, 1), (1, 2)]
+    with pytest.raises(ValueError):
+        tables.resolve_ids(docs, [], ["z"])

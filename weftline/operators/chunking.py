@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -52,42 +54,47 @@ def _windows(unit: str, most: int, overlap: int, count: Callable[[str], int]) ->
     return [*out, rest] if rest else out
 
 
-def _tail(units: list[str], overlap: int, most: int, count: Callable[[str], int]) -> list[str]:
-    if not overlap or not units:
-        return []
-    last = count(units[-1])
-    budget = max(overlap, last) if last <= max(overlap, 2 * most // 3) else overlap
-    kept, left = [], budget
-    for u in reversed(units):
-        if count(u) > left:
-            break
-        kept, left = [u, *kept], left - count(u)
-    return kept or [t for t in [_fit(units[-1], budget, count, tail=True)] if t]
+def _overlap(texts: list[str], sizes: list[int], overlap: int, most: int, count: Callable[[str], int]) -> tuple[list[str], list[int]]:
+    """What the next chunk takes over, with its sizes: as many of the last texts as the overlap has room for (one more than it, if that is at most two thirds of a chunk), or the end of the last one."""
+    if not overlap or not texts:
+        return [], []
+    room = max(overlap, sizes[-1]) if 3 * sizes[-1] <= 2 * most or sizes[-1] <= overlap else overlap
+    n = bisect_right(list(accumulate(reversed(sizes))), room)
+    if n:
+        return texts[-n:], sizes[-n:]
+    part = _fit(texts[-1], room, count, tail=True)
+    return ([part], [count(part)]) if part else ([], [])
 
 
 def pack(units: list[str], most: int = 512, ratio: float = 0.1, count: Callable[[str], int] = count_tokens) -> list[str]:
-    """Chunks of consecutive units; a chunk starts with the tail of the one before it."""
+    """Chunks of consecutive units; a chunk starts with the end of the one before it, its lead.
+
+    Units are counted once. Each chunk's last piece is found in the running total of the sizes; a lead that would keep the
+    next piece out is cut to what that leaves room for.
+    """
     overlap = int(most * overlap_ratio(ratio))
     pieces = [p for u in units for p in (_windows(u, most, overlap, count) if count(u) > most else [u])]
-    out, now, held = [], [], 0
-    for piece in pieces:
-        n = count(piece)
-        if now and held + n > most:
-            out.append(join_units(now))
-            now = _tail(now, overlap, most, count)
-            held = sum(map(count, now))
-            if now and held + n > most:
-                now = [] if n >= most else [t for t in [_fit(join_units(now), most - n, count, tail=True)] if t]
-                held = sum(map(count, now))
-        now, held = [*now, piece], held + n
-        if held >= most:
-            out.append(join_units(now))
-            now = _tail(now, overlap, most, count)
-            held = sum(map(count, now))
-    rest = join_units(now)
-    if rest and (not out or out[-1] != rest):
-        out.append(rest)
-    return out
+    sizes = list(map(count, pieces))
+    total = [0, *accumulate(sizes)]
+    out: list[str] = []
+    lead, lead_sizes, at = [], [], 0
+    while at < len(pieces):
+        room = most - sum(lead_sizes)
+        stop = max(at if lead else at + 1, bisect_right(total, total[at] + room) - 1)
+        texts, held = lead + pieces[at:stop], lead_sizes + sizes[at:stop]
+        full = stop > at and sum(held) >= most
+        last = stop == len(pieces) and not full
+        if not last or not out or out[-1] != join_units(texts):
+            out.append(join_units(texts))
+        if last:
+            return out
+        lead, lead_sizes = _overlap(texts, held, overlap, most, count)
+        if not full and sum(lead_sizes) + sizes[stop] > most:
+            part = _fit(join_units(lead), most - sizes[stop], count, tail=True) if sizes[stop] < most else ""
+            lead, lead_sizes = ([part], [count(part)]) if part else ([], [])
+        at = stop
+    rest = join_units(lead)
+    return [*out, rest] if rest and (not out or out[-1] != rest) else out
 
 
 def chunks(docs: DataFrame, heads: DataFrame, most: int = 512, ratio: float = 0.1, count: Callable[[str], int] = count_tokens, batch_col: str = "content") -> DataFrame:

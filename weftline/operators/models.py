@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -26,21 +27,40 @@ def stub_embedding(texts: list[str], size: int = 16) -> list[list[float]]:
     return [[b / 255 for b in hashlib.sha256(t.encode()).digest()[:size]] for t in texts]
 
 
-def answers(prompts: DataFrame, model: TextModel, cache: DataFrame | None = None, arguments: str = "") -> DataFrame:
-    """Adds key, answer, status (1, or 0 for a failed batch) and cache_hit. Only prompts that the cache (key, answer) lacks are asked, equal ones once."""
+def answers(prompts: DataFrame, model: TextModel, cache: DataFrame | None = None, arguments: str = "", shared: str | None = None) -> DataFrame:
+    """Adds key, answer, status (1, or 0 where the model failed) and cache_hit. Only prompts that the cache (key, answer) lacks are asked, equal ones once.
+
+    What was asked is written to `shared` (by default the session's checkpoint folder), so that using the result twice, or
+    losing an executor, asks nothing again; without such a folder every use of the result asks. Where a batch fails, its
+    prompts are asked one by one, so that one bad prompt costs only its own answer. Of several cached answers to a prompt the
+    least counts.
+    """
+    spark = prompts.sparkSession
     keyed = prompts.withColumn("key", cache_key(F.col("prompt"), F.lit(arguments)))
-    known = cache.select("key", "answer") if cache is not None else prompts.sparkSession.createDataFrame([], "key string, answer string")
+    known = cache.groupBy("key").agg(F.min("answer").alias("answer")) if cache is not None else spark.createDataFrame([], "key string, answer string")
     missing = keyed.select("key", "prompt").dropDuplicates(["key"]).join(known, "key", "left_anti")
 
+    def asked_one(text: str) -> tuple[str, int]:
+        try:
+            return model([text])[0], 1
+        except Exception as e:  # a failed call is a result: its error, with status 0
+            return f"{type(e).__name__}: {e}", 0
+
     def ask(frames):
         for f in frames:
+            texts = f["prompt"].tolist()
             try:
-                out, status = model(f["prompt"].tolist()), 1
-            except Exception as e:  # a failed call is a result: its error, with status 0
-                out, status = [f"{type(e).__name__}: {e}"] * len(f), 0
-            yield pd.DataFrame({"key": f["key"], "answer": out, "status": status})
-
-    asked = missing.mapInPandas(ask, "key string, answer string, status int").withColumn("cache_hit", F.lit(False))
+                found = [(a, 1) for a in model(texts)]
+            except Exception:
+                found = [asked_one(t) for t in texts]
+            yield pd.DataFrame({"key": f["key"], "answer": [a for a, _ in found], "status": [s for _, s in found]})
+
+    asked = missing.mapInPandas(ask, "key string, answer string, status int")
+    if folder := shared or spark.conf.get("spark.checkpoint.dir", None):
+        path = f"{folder.rstrip('/')}/answers-{uuid.uuid4().hex}"
+        asked.write.parquet(path)
+        asked = spark.read.schema(asked.schema).parquet(path)
+    asked = asked.withColumn("cache_hit", F.lit(False))
     return keyed.join(asked.unionByName(known.select("key", "answer", F.lit(1).alias("status"), F.lit(True).alias("cache_hit"))), "key", "left")
 
 

@@ -233,7 +233,7 @@ SQL = {
       UNION ALL SELECT 'summary', id, CASE WHEN status = 'build' THEN 'build' ELSE 'new' END FROM ({_STAGE_DOCS}) UNION ALL SELECT 'extract', id, 'new' FROM ({_STAGE_CHUNKS}) UNION ALL SELECT 'build', id, 'extract' FROM ({_STAGE_CHUNKS})) GROUP BY ALL""",
     "stage_summary": f"""WITH d AS ({_STAGE_DOCS}), old AS (SELECT doc_id, count(*) AS n, min(id) AS id, min(content_md5) AS least_md5 FROM ({_EDGES}) GROUP BY doc_id)
       SELECT d.id AS doc_id, CASE WHEN status = 'new' THEN 'summary' ELSE status END AS status, CASE WHEN status = 'new' THEN 1 ELSE n END AS n, old.id AS id,
-        CASE WHEN status = 'new' THEN md5(split_part(regexp_replace(content, '^\s+|\s+$', '', 'g'), chr(10), 1)) ELSE least_md5 END AS least_md5 FROM d LEFT JOIN old ON d.id = old.doc_id""",
+        CASE WHEN status = 'new' THEN md5(split_part(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), chr(10), 1)) ELSE least_md5 END AS least_md5 FROM d LEFT JOIN old ON d.id = old.doc_id""",
     "head_chunks": f"""SELECT id, coalesce(trim(lower(name)) = 'head', false) OR coalesce(kind IN ('flag', 'role'), false) OR id IN (SELECT chunk_id FROM ({_EDGES}) WHERE chunk_id IS NOT NULL) AS bound,
       coalesce(trim(lower(name)) = 'head', false) OR coalesce(kind IN ('flag', 'role', 'index'), false) AS built FROM ({_STAGE_CHUNKS})""",
     "summary_order": "SELECT doc_id, row_number() OVER (PARTITION BY doc_id // 4 ORDER BY doc_id) AS turn FROM documents",
