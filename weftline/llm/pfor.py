@@ -1,6 +1,6 @@
 """Patched frame-of-reference files of token ids.
 
-A file holds whole documents, one after the other:
+A file is a row of sections, and a section holds whole documents, one after the other:
 
     magic "WFPFOR01" | n_docs u32 | n_ids u64 | block_len u32 | n_blocks u32 | payload bytes u64
     has_id u8[n_docs] | doc_id i64[n_docs] | doc_len u32[n_docs]
@@ -52,7 +52,7 @@ def _unpack(packed: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(spread, axis=1).view(kind).reshape(-1, BLOCK).astype(np.uint32)
 
 
-def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, step: int = 2048) -> bytes:
+def encode_section(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, step: int = 2048) -> bytes:
     n_blocks = -(-len(ids) // BLOCK)
     starts, minimums = np.zeros(n_blocks, "<u8"), np.zeros(n_blocks, "<u4")
     widths, n_exceptions = np.zeros(n_blocks, np.uint8), np.zeros(n_blocks, "<u2")
@@ -87,11 +87,11 @@ def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray,
     return whole + struct.pack("<I", zlib.crc32(whole))
 
 
-def decode_file(data: bytes, step: int = 2048) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """doc_ids, lengths, ids, as encode_file() got them. Raises ValueError where the file isn't whole."""
+def decode_section(data: memoryview, step: int = 2048) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """doc_ids, lengths, ids, as encode_section() got them. Raises ValueError where the section isn't whole."""
     magic, n_docs, n_ids, block_len, n_blocks, size = HEAD.unpack_from(data)
-    if magic != MAGIC or block_len != BLOCK or zlib.crc32(memoryview(data)[:-4]) != struct.unpack_from("<I", data, len(data) - 4)[0]:
-        raise ValueError("not a whole file of token ids")
+    if magic != MAGIC or block_len != BLOCK or zlib.crc32(data[:-4]) != struct.unpack_from("<I", data, len(data) - 4)[0]:
+        raise ValueError("not a whole section of token ids")
     at = HEAD.size
 
     def take(kind: str, n: int) -> np.ndarray:
@@ -115,3 +115,17 @@ def decode_file(data: bytes, step: int = 2048) -> tuple[list[int | None], np.nda
         out[b, where] = payload[p + 2 * k : p + 6 * k].view("<u4")
     out += minimums[:, None]
     return [int(d) if h else None for h, d in zip(has, doc_ids)], lengths, out.reshape(-1)[:n_ids]
+
+
+def decode_file(data: bytes):
+    """The sections of a file, each decoded as it is asked for."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        if len(view) - at < HEAD.size:
+            raise ValueError("not a whole section of token ids")
+        _, n_docs, _, _, n_blocks, size = HEAD.unpack_from(view, at)
+        stop = at + HEAD.size + 13 * n_docs + 15 * n_blocks + size + 4
+        if stop > len(view):
+            raise ValueError("not a whole section of token ids")
+        yield decode_section(view[at:stop])
+        at = stop

@@ -55,12 +55,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return read_token_files(spark, manifest)
+    return read_token_files(manifest)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = write_warc(resolve_revisits(table(spark, sf_dir, "pages"), min_bytes=0))
-    return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    archives = write_warc(resolve_revisits(table(spark, sf_dir, "pages"), min_bytes=0))
+    return read_warc(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

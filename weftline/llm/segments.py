@@ -22,6 +22,8 @@ _UNSAFE = f"{_WIDE} | {_WIDE}"
 #: Letters of which byte-level BPE makes one word, then marks of which it makes another; a part of the segments only, but the most frequent.
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
+_PLAIN_CHARS = re.compile(r"[ A-Za-zÀ-ÖØ-öø-ÿ.,;:!?]*")
+
 _loaded: dict[tuple[str, str], "SegmentEncoder"] = {}
 
 
@@ -69,7 +71,7 @@ class SegmentEncoder:
     """boundary: "drop" where the tokenizer drops white space (any space is a safe cut), "lead" where a space goes with
     the word after it (byte-level BPE; texts with a space beside other white space are encoded whole)."""
 
-    def __init__(self, path: str, boundary: str, memo_limit: int = 500_000):
+    def __init__(self, path: str, boundary: str, memo_limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -83,7 +85,11 @@ class SegmentEncoder:
         parts = json.loads(self.tokenizer.to_str())
         byte_level = parts["pre_tokenizer"] or {}
         self.direct = self.lead and parts["normalizer"] is None and byte_level.get("type") == "ByteLevel" and byte_level["use_regex"] and not byte_level["add_prefix_space"] and parts["post_processor"] is None
-        self.model, self.words = self.tokenizer.model, {}
+        added = [t for t in parts["added_tokens"] or []]
+        #: An added token of plain characters is found inside words, one with a space across a cut: such tokenizers get whole texts or segments.
+        self.direct = self.direct and not any(_PLAIN_CHARS.fullmatch(t["content"]) for t in added)
+        self.whole = any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+        self.model = self.tokenizer.model
         self.letters = {ord(c): m for c, m in _byte_letters().items()}
 
     def _ids(self, segments: list[str]) -> list[bytes]:
@@ -110,23 +116,25 @@ class SegmentEncoder:
         found = _PLAIN.fullmatch(segment)
         if not found:
             return False
-        ids = []
-        for part in found.groups():
-            if part and (known := self.words.get(part)) is None:
-                if len(self.words) > self.memo_limit:
-                    self.words.clear()
-                known = array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
-                self.words[part] = known
-            ids.append(known if part else b"")
-        into[segment] = b"".join(ids)
+        word, marks = (self._part(p, into) if p else b"" for p in found.groups())
+        into[segment] = word + marks
         return True
 
+    def _part(self, part: str, into: dict[str, bytes]) -> bytes:
+        known = self.memo.get(part) or into.get(part)
+        if known is None:
+            into[part] = known = array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        return known
+
     def encode(self, texts: pa.Array, lengths_only: bool = False) -> tuple[np.ndarray | None, np.ndarray]:
         """All ids of the texts one after the other (None if lengths_only), and the number of ids of each text. Null is empty."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         n = len(texts)
         if not n:
             return np.empty(0, np.uint32), np.zeros(0, np.int64)
+        if self.whole:
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return None if lengths_only else np.concatenate(found), np.array([len(f) for f in found], np.int64)
         pieces = pc.split_pattern(texts, " ")
         starts = pieces.offsets.to_numpy().astype(np.int64)
         starts -= starts[0]

@@ -7,14 +7,15 @@ import gzip
 import hashlib
 import io
 import re
+import uuid
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path
-from .files import write_file
+from .common import new_path, written
+from .files import dealt, read_file, write_file
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -67,20 +68,22 @@ def record(page_id, url, payload, payload_bytes, sha1, refers_to, refers_to_url,
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write_warc(resolved: DataFrame, path: str | None = None, date: str = "2000-01-01T00:00:00Z", file_bytes: int = 32_000_000, level: int = 4) -> str:
-    """Write what resolve_revisits() gives as .warc.gz files (a gzip member per record) and return their folder.
+def write_warc(resolved: DataFrame, path: str | None = None, date: str = "2000-01-01T00:00:00Z", file_bytes: int = 32_000_000, level: int = 4) -> DataFrame:
+    """Write what resolve_revisits() gives as .warc.gz files (a gzip member per record) and return their manifest: file, n_records.
 
-    A task writes files of about file_bytes bytes, one after the other; each is moved into place when whole.
+    A task writes files of about file_bytes bytes, one after the other; each is moved into place when whole. Every attempt
+    of a task names its files anew, and the manifest has those of the attempts that count, so neither a lost executor nor
+    a folder that is written to twice gives a record twice.
     """
     spark, root = resolved.sparkSession, path or new_path(resolved.sparkSession, "warc")
 
     def write(batches):
-        task, part, members, held, n = TaskContext.get().partitionId(), 0, [], 0, 0
+        name, part, members, held, n = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", 0, [], 0, 0
 
         def flush():
-            file = f"{root}/pages-{task:06d}-{part:04d}.warc.gz"
+            file = f"{root}/pages-{name}-{part:04d}.warc.gz"
             info = f"software: weftline\r\nformat: WARC File Format 1.1\r\nrecords: {n}\r\n".encode()
-            first = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:x-file:{task}-{part}>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n".encode() + info + b"\r\n\r\n"
+            first = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:x-file:{name}-{part}>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n".encode() + info + b"\r\n\r\n"
             write_file(file, b"".join([gzip.compress(first, level, mtime=0), *members]))
             return pa.RecordBatch.from_pydict({"file": [file], "n_records": [n]})
 
@@ -95,8 +98,7 @@ def write_warc(resolved: DataFrame, path: str | None = None, date: str = "2000-0
             yield flush()
 
     files = resolved.select("page_id", "url", "payload", "payload_bytes", "sha1", "refers_to", "refers_to_url").mapInArrow(write, "file string, n_records long")
-    files.agg(F.sum("n_records")).collect()
-    return root
+    return written(files, "warc-manifest")
 
 
 def parse(data: bytes):
@@ -114,15 +116,18 @@ def parse(data: bytes):
         yield headers, stream.read(int(headers["content-length"]))
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row per response or revisit record. A payload that doesn't match its digest raises."""
+def read_warc(archives: DataFrame) -> DataFrame:
+    """One row per response or revisit record of the archives, a table with a column `file`: write_warc()'s manifest, or other archives' paths.
+
+    A payload that doesn't match its digest raises, as does a file that is missing.
+    """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def read(batches):
         for batch in batches:
-            for data in batch.column(0):
+            for file in batch.column(0).to_pylist():
                 rows = []
-                for headers, block in parse(data.as_buffer().to_pybytes()):
+                for headers, block in parse(read_file(file)):
                     kind = headers["warc-type"]
                     if kind not in ("response", "revisit"):
                         continue
@@ -134,9 +139,4 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     rows.append({"page_id": _page_id(headers["warc-record-id"]), "url": headers.get("warc-target-uri"), "payload_bytes": n, "payload_digest": digest, "record_type": kind, "refers_to": _page_id(headers.get("warc-refers-to"))})
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    import pyarrow.fs as fs
-
-    system, local = fs.FileSystem.from_uri(path)
-    if system.get_file_info(local).type == fs.FileType.NotFound:  # no record was written
-        return spark.createDataFrame([], RECORD_SCHEMA)
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("content").mapInArrow(read, RECORD_SCHEMA)
+    return dealt(archives.select("file")).mapInArrow(read, RECORD_SCHEMA)
