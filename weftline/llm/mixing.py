@@ -79,7 +79,9 @@ def solve_dual(histogram: DataFrame, sources: list[dict], cap: float, tolerance:
             if not s["low"] < step < s["high"]:
                 step = (s["low"] + s["high"]) / 2 if s["low"] > -math.inf else 2 * s["at"] - 1
             s["at"] = step
-    return done | {k: v["at"] for k, v in open_.items()}
+    if open_:
+        raise RuntimeError(f"{len(open_)} sources' multipliers didn't settle in {most} steps")
+    return done
 
 
 def _close_gap(copies: np.ndarray, size: np.ndarray, rate: np.ndarray, wanted: float, most: int, rounds: int = 8, pairs_up_to: int = 512, near: float = 0.002) -> np.ndarray:
@@ -145,13 +147,14 @@ def mix_sources(
 
     weights maps the list of sources, by code point with null last, to their weights. A null or empty text has size 0 and
     is never taken; a null source is a source of its own; repeated rows are rounded as rows of their own; an empty table
-    gives no rows. Rounding goes by blocks of about rows_per_block rows that a hash of the id picks (of a row number where it is null; of the columns `by`, where given), so a source of any
-    size is spread over tasks, and reruns agree.
+    gives no rows. Rounding goes by blocks of about rows_per_block rows that a hash of the id picks (of the columns `by`,
+    where given), so a source of any size is spread over tasks, and reruns agree. Where more rows than a block has are of
+    one id, or of none, a row number spreads them too.
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    slim = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).alias("nameless"), (F.xxhash64(*by) if by else F.lit(None).cast("long")).alias("seed")), "mix-sizes")
+    slim = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(*(by or [id_col])).alias("order"), F.monotonically_increasing_id().alias("turn")), "mix-sizes")
     counts = slim.groupBy("source", "size").agg(F.count("*").alias("n"))
     per_source = counts.groupBy("source").agg(F.sum("n").alias("rows"), F.sum(F.col("size") * F.col("n")).alias("words")).limit(MAX_SOURCES + 1).collect()
     if len(per_source) > MAX_SOURCES:
@@ -166,10 +169,11 @@ def mix_sources(
         [(s["no"], s["source"], s["words"], s["target"], multipliers[s["no"]], s["words"] / s["rows"], -(-s["rows"] // rows_per_block)) for s in sources],
         "source_no int, known_source string, source_size long, target double, at double, mean double, blocks long",
     )
-    seed = ["seed"] if by else ["doc_id", "nameless"]
+    often = written(slim.groupBy("order").agg(F.count("*").alias("n")).filter(F.col("n") > rows_per_block).select(F.col("order").alias("often")), "mix-often")
+    placed = slim.join(often, F.col("order") == F.col("often"), "left").withColumn("turn", F.when(F.col("often").isNotNull(), F.col("turn"))).drop("often")
     tilt = F.when(F.col("size") == 0, 0.0).when(F.col("at") == float("-inf"), 0.0).when(F.col("at") == float("inf"), float(cap)).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("at") * F.col("size") / F.col("mean"), F.lit(50.0)))))
-    rated = slim.join(F.broadcast(known), slim.source.eqNullSafe(F.col("known_source"))).select(
-        "doc_id", "source_no", "size", tilt.alias("rate"), F.xxhash64(*seed).alias("order"), F.pmod(F.xxhash64(*seed, F.lit("block")), F.col("blocks")).alias("block")
+    rated = placed.join(F.broadcast(known), placed.source.eqNullSafe(F.col("known_source"))).select(
+        "doc_id", "source_no", "size", tilt.alias("rate"), "order", F.pmod(F.xxhash64("order", "turn", F.lit("block")), F.col("blocks")).alias("block")
     )
     rounded = rated.groupBy("source_no", "block").applyInPandas(lambda block: _round_block(block, math.floor(cap)), f"doc_id {id_type}, size long, source_no int, rate double, copies int")
     return rounded.join(F.broadcast(known), "source_no").select(
