@@ -14,6 +14,7 @@ item's question and its answer: `overlap` of the word pairs of either.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -122,8 +123,19 @@ def _numbers(words: list[str], terms: dict[str, int]) -> np.ndarray:
     return np.fromiter(map(terms.get, words, repeat(-1)), np.int64, len(words))
 
 
-def _search_words(words: list[str], ids: np.ndarray, index: Index, overlap: float, found: dict) -> None:
-    """Put (score, question overlap, answer overlap) of the best passage of each item that is copied into `found`."""
+def _search_words(words: list[str], ids: np.ndarray, index: Index, overlap: float, found: dict, slots: int = 1_000_000) -> None:
+    """Put (score, question overlap, answer overlap) of the best passage of each item that is copied into `found`.
+
+    The first look goes over as many passages at a time as make about `slots` pairs of passage and block.
+    """
+    stride, n_blocks = index.stride, len(index.block_needs)
+    step = stride * max(1, slots // n_blocks)
+    for a in range(0, max(1, len(words)), step):
+        _search_stretch(words[a : a + step + 2 * stride], ids[a : a + step + 2 * stride], index, overlap, found, step // stride)
+
+
+def _search_stretch(words: list[str], ids: np.ndarray, index: Index, overlap: float, found: dict, most: int) -> None:
+    """_search_words() for passages 0 to most."""
     known = np.flatnonzero(ids >= 0)
     if not len(known):
         return
@@ -134,7 +146,7 @@ def _search_words(words: list[str], ids: np.ndarray, index: Index, overlap: floa
     own = np.bincount(slot, index.first_weights[place], n_slots)
     bound = own.copy()
     bound[:-n_blocks] += own[n_blocks:]  # passage j has the words of strides j and j + 1
-    hits = np.flatnonzero(bound.reshape(-1, n_blocks) >= index.block_needs - 1e-9)
+    hits = np.flatnonzero(bound.reshape(-1, n_blocks)[: most + 1] >= index.block_needs - 1e-9)
     for passage, blocks in _grouped(hits, n_blocks):
         a, b = passage * stride, min(len(words), (passage + 2) * stride)
         terms = np.unique(ids[a:b])
@@ -213,20 +225,22 @@ def contaminated(
     shards = -(-whole.words // index_words)
     out = None
     for shard in range(shards):
-        mine = texts.filter(F.pmod(F.xxhash64("text"), F.lit(shards)) == shard)
+        mine = texts.select("text").distinct().filter(F.pmod(F.xxhash64("text"), F.lit(shards)) == shard)  # copies of an item are searched for once
         own_terms = mine.select("text").mapInArrow(count, "term string, n long").filter("term IS NOT NULL").select("term").distinct()
         frequencies = {r.term: r.n for r in own_terms.join(terms, "term").collect()}
         classes: dict[int, list[tuple]] = {}
         for r in mine.collect():
             if n := len(words_of(r.text)):
-                classes.setdefault(max(32, 1 << (n - 1).bit_length()), []).append((r.item_id, r.text))
+                classes.setdefault(max(32, 1 << (n - 1).bit_length()), []).append((hashlib.sha256(r.text.encode()).hexdigest(), r.text))
         numbers = {t: k for k, t in enumerate(sorted(frequencies))}
         index = [build(some, frequencies, whole.items, whole.words / whole.items, stride, share, numbers) for stride, some in sorted(classes.items())]
         if not index:
             continue
-        part = rows.mapInArrow(_searcher(spark.sparkContext.broadcast(index), overlap, pa.schema([("id", rows_type(rows)), ("item_id", rows_type(texts))])), schema)
+        part = rows.mapInArrow(_searcher(spark.sparkContext.broadcast(index), overlap, rows_type(rows)), schema.replace(f"item_id {item_type}", "text_key string"))
         out = part if out is None else out.union(part)
-    return out.withColumnRenamed("id", id_col)
+    named = texts.select("item_id", F.sha2("text", 256).alias("key"))
+    out = out.join(named, F.col("text_key") == F.col("key"))
+    return out.select(F.col("id").alias(id_col), "item_id", "score", "share", "question_overlap", "answer_overlap")
 
 
 def rows_type(df: DataFrame) -> pa.DataType:
@@ -235,16 +249,16 @@ def rows_type(df: DataFrame) -> pa.DataType:
     return to_arrow_type(df.schema[0].dataType)
 
 
-def _searcher(shared, overlap: float, types: pa.Schema):
+def _searcher(shared, overlap: float, id_type: pa.DataType):
     def run(batches):
         indexes: list[Index] = shared.value
-        schema = pa.schema([types.field(0), types.field(1), *(pa.field(n, pa.float64()) for n in ("score", "share", "question_overlap", "answer_overlap"))])
+        schema = pa.schema([("id", id_type), ("text_key", pa.string()), *(pa.field(n, pa.float64()) for n in ("score", "share", "question_overlap", "answer_overlap"))])
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 for index, found in zip(indexes, search_all(text.as_py(), indexes, overlap)):
                     for i, (s, q, r) in found.items():
-                        out.append({"id": doc_id.as_py(), "item_id": index.items[i], "score": s, "share": s / index.own[i], "question_overlap": q, "answer_overlap": r})
+                        out.append({"id": doc_id.as_py(), "text_key": index.items[i], "score": s, "share": s / index.own[i], "question_overlap": q, "answer_overlap": r})
             yield pa.RecordBatch.from_pylist(out, schema)
 
     return run
