@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import delete, written
 from .components import components
+from .segments import slices_by_bytes
 
 MAX_BITS, SEGMENTS, WIDTH = 3, 4, 16
 
@@ -80,7 +81,7 @@ def links(prints: DataFrame) -> DataFrame:
     for i, chain in enumerate(chains):
         here = here | ((start == i) & chain & ~first)  # a pair that several chains find counts at the first
         first = first | chain
-    return exact.join(near, (F.col("k") == F.col("j")) & (a < b) & (F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS) & here).select("a", "b")
+    return exact.join(near, (F.col("k") == F.col("j")) & (a < b) & here & (F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,7 +103,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
 
 
 SIMILAR = (4, 5)  # a Jaccard similarity of 4/5, in whole numbers so that no rounding decides
-SAMPLED, COMMON, MOST_COMMON = 8, 3, 1_000_000
+SAMPLED, COMMON, MOST_COMMON = 32, 2, 1_000_000
 PARITIES = 16  # words of 64 parities
 
 
@@ -142,24 +143,24 @@ def _drop(*tables: DataFrame) -> None:
             delete(df.sparkSession, folder)
 
 
-def _similar_pairs(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+def _similar_pairs(pairs: DataFrame, sketches: DataFrame, sets_of) -> DataFrame:
     """Those pairs (a, b) of nodes whose whole shingle sets are similar, written.
 
     Sets of n and m elements that are similar differ in at most (n + m) / 9 of them; the parities rule out most others
-    before the sets are fetched, and rule out no similar ones.
+    before the sets are fetched, and rule out no similar ones. sets_of gives the sets of a table of nodes.
     """
     a, b = (sketches.select(*[F.col(c).alias(f"{side}_{c}") for c in sketches.columns]).withColumnRenamed(f"{side}_node", side) for side in "ab")
     differ = sum((F.bit_count(F.col(f"a_w{i}").bitwiseXOR(F.col(f"b_w{i}"))) for i in range(1, PARITIES)), F.bit_count(F.col("a_w0").bitwiseXOR(F.col("b_w0"))))
     lengths = (F.col("a_n") * SIMILAR[1] >= F.col("b_n") * SIMILAR[0]) & (F.col("b_n") * SIMILAR[1] >= F.col("a_n") * SIMILAR[0])
     few = differ * (SIMILAR[1] + SIMILAR[0]) <= (F.col("a_n") + F.col("b_n")) * (SIMILAR[1] - SIMILAR[0])
     pairs = written(pairs.distinct().join(a, "a").join(b, "b").filter(lengths & few).select("a", "b"), "similar-candidates")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    used = sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    left, right = used.select(F.col("node").alias("a"), F.col("shingles").alias("x")), used.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    # a pair takes one set along; the other is joined where it is counted
     both = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - both
     out = written(pairs.join(left, "a").join(right, "b").filter(both * SIMILAR[1] >= union * SIMILAR[0]).select("a", "b"), "similar-links")
-    _drop(pairs)
+    _drop(pairs, sets)
     return out
 
 
@@ -169,9 +170,10 @@ def similar_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", te
     Exact: 64 bits can't tell such texts apart from others (at 0.8 a tenth to a fifth of a SimHash's bits differ, at 0.7
     little more), so candidates come from prefix filtering, and the distinct shingles of each decide. In any order of all
     shingles, two similar sets share one among the first fifth of each. The order puts common shingles last (a sample
-    tells them; it bears on the time, not on the result). First all that share a shingle are held against one of them;
-    what that links is one group. Then all pairs from different groups that share a shingle are compared, none left out,
-    so that only a large group of near copies is spared its pairs.
+    tells them; it bears on the time, not on the result). First each text is held against one of those that it shares a
+    shingle with; what that links is one group. Then all pairs from different groups that share a shingle are compared,
+    none left out, so that only a large group of near copies is spared its pairs. Whole sets are compared by 32 bits of
+    each shingle's hash: of two texts of 300 words one pair in 50,000 counts a shingle too many.
 
     Texts of equal sets are one node. A null or empty text groups with other such texts; null ids are kept but never name
     a component (one of null ids only has a null component_id); repeated rows are in one component; an empty table gives
@@ -179,68 +181,78 @@ def similar_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", te
     """
     import xxhash
 
-    words = [f"w{i}" for i in range(PARITIES)]
+    spark, words = docs.sparkSession, [f"w{i}" for i in range(PARITIES)]
+    id_type = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def hashes(batches):
-        seen: set[int] = set()  # of one task; a node's set is written once there
+    def some_shingles(batches):
         for batch in batches:
-            nodes, sets, odd = [], [], []
-            for text in batch.column(1):
-                found = shingle_set(text.as_py(), shingle)
-                node = xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
-                nodes.append(node)
-                odd.append(parities(found))
-                sets.append(None if node in seen or not len(found) else found)
-                seen.add(node)
-            odd = np.array(odd, np.int64).reshape(-1, PARITIES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64())), *(pa.array(odd[:, i]) for i in range(PARITIES))], ["doc_id", "node", "shingles", *words])
-
-    spark = docs.sparkSession
-    id_type = docs.schema[id_col].dataType.simpleString()
-    each = written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(hashes, f"doc_id {id_type}, node long, shingles array<long>, " + ", ".join(f"{w} long" for w in words)), "shingle-sets")
-    sets = each.filter("shingles IS NOT NULL").select("node", "shingles")
-    sampled = sets.filter(F.pmod("node", F.lit(SAMPLED)) == 0).select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), shingle))], ["shingle"])
+
+    sampled = rows.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text").distinct().mapInArrow(some_shingles, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
     common = sampled.filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toPandas()["shingle"].to_numpy(np.int64)
     by_hash = np.argsort(common)
     shared = spark.sparkContext.broadcast((common[by_hash], len(common) - by_hash))  # the commonest has the highest rank
 
-    def prefixes(batches):
+    def prefix(found: np.ndarray) -> np.ndarray:
         common, ranks = shared.value
+        rank = np.zeros(len(found), np.int64)
+        if len(common):
+            at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+            rank = np.where(common[at] == found, ranks[at], 0)
+        return found[np.argsort(rank, kind="stable")[: prefix_length(len(found))]]
+
+    def hashes(batches):
+        seen: set[int] = set()  # of one task; a node's set is written once there
         for batch in batches:
-            out = []
-            for found in batch.column(1):
-                found = found.values.to_numpy()
-                rank = np.zeros(len(found), np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-                    rank = np.where(common[at] == found, ranks[at], 0)
-                out.append(found[np.argsort(rank, kind="stable")[: prefix_length(len(found))]])
-            sizes, n = [len(o) for o in out], [len(f) for f in batch.column(1)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(np.repeat(np.array(n, np.int32), sizes))], ["shingle", "node", "n"])
-
-    members = sets.mapInArrow(prefixes, "shingle long, node long, n int")
+            for start, stop in slices_by_bytes(batch.column(1), 2_000_000):
+                nodes, sizes, firsts, sets, odd = [], [], [], [], []
+                for text in batch.column(1).slice(start, stop - start):
+                    found = shingle_set(text.as_py(), shingle)
+                    node = xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
+                    new = node not in seen and len(found) > 0
+                    seen.add(node)
+                    nodes.append(node)
+                    sizes.append(len(found))
+                    odd.append(parities(found))
+                    firsts.append(prefix(found) if new else None)
+                    sets.append(found.astype(np.int32) if new else None)
+                odd = np.array(odd, np.int64).reshape(-1, PARITIES)
+                arrays = [batch.column(0).slice(start, stop - start), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(odd[:, i]) for i in range(PARITIES))], ["doc_id", "node", "n", "prefix", "shingles", *words])
+
+    each = written(rows.mapInArrow(hashes, f"doc_id {id_type}, node long, n int, prefix array<long>, shingles array<int>, " + ", ".join(f"{w} long" for w in words)), "shingle-sets")
+    known = each.filter("shingles IS NOT NULL")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return written(known.select("node", "shingles").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "similar-sets")
+
+    members = known.select("node", "n", F.explode("prefix").alias("shingle")).repartition("shingle")  # one shuffle for what follows
     least, most = F.min("node"), F.max("node")
     met = members.groupBy("shingle").agg(least.alias("center"), most.alias("last")).filter("center <> last").select("shingle", "center")
-    met = written(met, "similar-shingles")
     members = written(members.join(met, "shingle").distinct(), "similar-members")
-    sketches = each.filter("shingles IS NOT NULL").select("node", F.size("shingles").alias("n"), *words).groupBy("node").agg(F.first("n").alias("n"), *[F.first(w).alias(w) for w in words])
-    sketches = written(sketches, "similar-sketches")
-    linked = _similar_pairs(members.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")), sketches, sets)
+    sketches = written(known.groupBy("node").agg(F.first("n").alias("n"), *[F.first(w).alias(w) for w in words]), "similar-sketches")
+    # a first look links each text with the one that it shares most with, of those that come first where it meets others
+    shared_with = members.filter("node <> center").groupBy("node", "center").agg(F.count("*").alias("times"))
+    first_look = shared_with.groupBy("node").agg(F.max_by("center", F.struct("times", "center")).alias("center"))
+    linked = _similar_pairs(first_look.select(F.col("center").alias("a"), F.col("node").alias("b")), sketches, sets_of)
     grouped = components(linked).select(F.col("node").alias("in_group"), "root")
     grouped = members.join(grouped, F.col("node") == F.col("in_group"), "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"))
     grouped = written(grouped, "similar-groups")
+    _drop(members)
     apart = grouped.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle")
     open_ = written(grouped.join(apart, "shingle", "left_semi"), "similar-open")
+    _drop(grouped)
     a, b = (open_.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "root")]) for side in "ab")
     near = (F.col("n_a") * SIMILAR[1] >= F.col("n_b") * SIMILAR[0]) & (F.col("n_b") * SIMILAR[1] >= F.col("n_a") * SIMILAR[0])
     crossing = a.join(b, "shingle").filter((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & near)
-    more = _similar_pairs(crossing.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), sketches, sets)
+    more = _similar_pairs(crossing.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), sketches, sets_of)
     found = components(linked.union(more))
     nodes = written(each.groupBy("node").agg(F.min("doc_id").alias("least")), "similar-nodes")
     rooted = nodes.join(found, "node").select("node", "root", "least")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(nodes.join(rooted.select("node", "root").join(named, "root").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "similar-named")
     slim = written(each.select("doc_id", "node"), "similar-rows")
-    _drop(each, met, members, sketches, grouped, open_, linked, more, nodes)
+    _drop(each, sketches, open_, linked, more, nodes)
     return slim.join(named, "node").select(F.col("doc_id").alias(id_col), "component_id")
