@@ -247,7 +247,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", te
     a, b = (open_.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "root")]) for side in "ab")
     near = (F.col("n_a") * SIMILAR[1] >= F.col("n_b") * SIMILAR[0]) & (F.col("n_b") * SIMILAR[1] >= F.col("n_a") * SIMILAR[0])
     crossing = a.join(b, "shingle").filter((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & near)
-    more = _similar_pairs(crossing.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), sketches, sets_of)
+    # what two sets share beyond the shorter prefix is at most the rest of one of them, so their prefixes must share the difference
+    meetings = crossing.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("times"))
+    rest = F.greatest(*[F.floor((SIMILAR[0] * n + SIMILAR[1] - 1) / SIMILAR[1]) - 1 for n in (F.col("n_a"), F.col("n_b"))])
+    enough = (F.col("times") + rest) * (SIMILAR[0] + SIMILAR[1]) >= (F.col("n_a") + F.col("n_b")) * SIMILAR[0]
+    more = _similar_pairs(meetings.filter(enough).select("a", "b"), sketches, sets_of)
     found = components(linked.union(more))
     nodes = written(each.groupBy("node").agg(F.min("doc_id").alias("least")), "similar-nodes")
     rooted = nodes.join(found, "node").select("node", "root", "least")
