@@ -12,6 +12,7 @@ from . import language_id, quality
 from .common import held_out, table
 from .decontaminate import contaminated
 from .fingerprint import fingerprints_with_next
+from .lexical import ranked_documents
 from .mixing import cyclic_weights, mix_sources
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
@@ -67,5 +68,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
