@@ -62,4 +62,4 @@ SELECT * FROM r WHERE rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": OP9, "op13_ranked_search": OP13}
+    return {"op9_warc": OP9, "op11_exact_topk": OP11, "op13_ranked_search": OP13}

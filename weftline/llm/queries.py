@@ -12,6 +12,7 @@ from . import language_id, quality
 from .common import held_out, table
 from .decontaminate import contaminated
 from .fingerprint import fingerprints_with_next
+from .inner_product import top_inner_products
 from .lexical import ranked_documents
 from .mixing import cyclic_weights, mix_sources
 from .simhash import near_duplicates
@@ -68,6 +69,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
