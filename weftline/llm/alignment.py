@@ -5,8 +5,8 @@ lies between two cuts is a group of A ids and B ids, and every A token of a grou
 Few groups make up most of a corpus, so each is interned: its links are expanded once, and what is counted of
 the corpus is joined back to the documents by the group.
 
-A text is cut at single spaces, which no token of either vocabulary crosses, so groups never do either. Each worker encodes
-a piece once and keeps its groups, in a memo bounded by bytes.
+A text is cut at single spaces, which no token of either vocabulary crosses, so groups never do either. Of each chunk of
+documents every distinct piece is encoded once, many of them as one text.
 """
 
 from __future__ import annotations
@@ -30,7 +30,9 @@ from .segments import _WIDE, _byte_letters, cut_long, slices_by_bytes
 
 #: Spaces where a text must not be cut: beside other white space, or at either end.
 _UNSAFE = f"^{_WIDE}|{_WIDE} | {_WIDE}| $"
-CHUNK_BYTES, MEMO_BYTES = 4_000_000, 64_000_000
+CHUNK_BYTES, MEMO_BYTES, RUN_BYTES = 8_000_000, 64_000_000, 50_000
+#: Groups of so many ids at most are told apart by numpy, longer ones one by one.
+_SHORT = 8
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 _loaded: dict[tuple[str, str], "Aligner"] = {}
@@ -43,9 +45,21 @@ def aligner(a_path: str, b_path: str) -> "Aligner":
     return _loaded[a_path, b_path]
 
 
+@dataclass
+class Pieces:
+    """For each piece of text whether its tokens give it back, its counts, and its groups: sizes[i] of them from starts[i] on."""
+
+    good: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_links: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    groups: np.ndarray
+
+
 class Aligner:
-    """Encodes pieces of text by both tokenizers and cuts them into groups. Pieces, groups and pairs of ids have numbers,
-    which hold until forget()."""
+    """Encodes pieces of text by both tokenizers and cuts them into groups. Groups and pairs of ids have numbers, which hold until forget()."""
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,71 +72,104 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         letters = {m: ord(c) for c, m in _byte_letters().items()}
-        plain = {t["id"]: t["content"].encode() for t in json.loads(self.a.to_str())["added_tokens"] or []}
-        self.a_bytes = {i: plain[i] if i in plain else bytes(letters[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=True).items() if i in plain or all(c in letters for c in t)}
+        self.a_bytes = [b""] * self.a.get_vocab_size(with_added_tokens=True)
+        for token, i in self.a.get_vocab(with_added_tokens=False).items():
+            self.a_bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        for token in json.loads(self.a.to_str())["added_tokens"] or []:
+            self.a_bytes[token["id"]] = token["content"].encode()
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(t)) and self.b.is_byte(i) else t.replace("▁", " ").encode() for i, t in enumerate(names)]
+        self.a_size, self.b_size = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
         #: A piece that goes on after a later space could cross a cut.
         self.cuts = not any(re.search("[^▁]▁", t) for t in names)
         self.forget()
 
     def forget(self) -> None:
         self.held = 0
-        self.pieces: dict[bytes, int] = {}
-        self.stats: list[tuple[int, int, int, int, bool]] = []  # n_a, n_b, n_groups, n_links, good
-        self.texts: list[str] = []  # a piece's groups as text
-        self.of_piece: list[np.ndarray] = []  # a piece's groups, by number
         self.groups: dict[str, int] = {}
+        self.keys: list[str] = []
         self.of_group: list[np.ndarray] = []  # a group's pairs, by number
         self.pairs: dict[tuple[int, int], int] = {}
 
-    def numbers(self, pieces: list[bytes]) -> np.ndarray:
-        """The numbers of pieces, each without its leading space; new ones are encoded."""
-        new = [p for p in dict.fromkeys(pieces) if p not in self.pieces]
-        for i in range(0, len(new), 4096):
-            part = [p.decode("utf-8", "replace") for p in new[i : i + 4096]]
-            for p, a, b in zip(new[i:], self.a.encode_batch([" " + t for t in part], add_special_tokens=False), self.b.encode(part, num_threads=1)):
-                self.pieces[p] = self._take(b" " + p, a.ids, b)
-        return np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces))
-
-    def whole(self, text: bytes) -> int:
-        """The number of a whole text, which isn't kept by its bytes; a long one is encoded in parts where it may be cut."""
-        a, b = [], []
-        for part in cut_long(" " + text.decode("utf-8", "replace"), 200_000) if self.cuts else [" " + text.decode("utf-8", "replace")]:
-            a += self.a.encode(part, add_special_tokens=False).ids
-            b += self.b.encode(part[1:])
-        return self._take(b" " + text, a, b)
-
-    def _take(self, text: bytes, a: list[int], b: list[int]) -> int:
-        a_parts, b_parts = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
-        good = b"".join(a_parts) == text == b"".join(b_parts)
-        found = self._groups(a, b, list(map(len, a_parts)), list(map(len, b_parts))) if good else []
-        self.stats.append((len(a), len(b), len(found), sum(len(x) * len(y) for x, y in found), good))
-        keys = [f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in found]
-        for key, (x, y) in zip(keys, found):
-            if key not in self.groups:
-                self.groups[key] = len(self.of_group)
-                links = [(i, j) for i in dict.fromkeys(x) for j in dict.fromkeys(y)]
-                self.of_group.append(np.array([self.pairs.setdefault(p, len(self.pairs)) for p in links], np.int64))
-                self.held += 200 + len(key) + 100 * len(links)
-        self.texts.append(";".join(keys))
-        self.of_piece.append(np.array([self.groups[k] for k in keys], np.int64))
-        self.held += 300 + 2 * len(text) + 8 * len(keys) + len(self.texts[-1])
-        return len(self.stats) - 1
-
-    @staticmethod
-    def _groups(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> list[tuple[list[int], list[int]]]:
-        out, i, j, a_end, b_end, a_from, b_from = [], 0, 0, 0, 0, 0, 0
-        while i < len(a) or j < len(b):
-            if a_end <= b_end and i < len(a):
-                a_end, i = a_end + a_sizes[i], i + 1
-            else:
-                b_end, j = b_end + b_sizes[j], j + 1
-            if a_end == b_end:
-                out.append((a[a_from:i], b[b_from:j]))
-                a_from, b_from = i, j
+    def _tokens(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of texts that begin with a space, by A and B; None where they don't give the text back."""
+        said = [t.decode("utf-8", "replace") for t in texts]
+        out: list[tuple[np.ndarray, np.ndarray] | None] = []
+        for text, a, b in zip(texts, self.a.encode_batch(said, add_special_tokens=False), self.b.encode([t[1:] for t in said], num_threads=1)):
+            same = b"".join(map(self.a_bytes.__getitem__, a.ids)) == text == b"".join(map(self.b_bytes.__getitem__, b))
+            out.append((np.array(a.ids, np.int64), np.array(b, np.int64)) if same else None)
         return out
 
+    def _run(self, pieces: list[bytes], of: list[int]) -> list[tuple[list[int], tuple[np.ndarray, np.ndarray] | None]]:
+        """Tokens of a run of pieces, encoded as one text; if that isn't given back, of its halves, down to single pieces."""
+        got = self._tokens([b" " + b" ".join([pieces[i] for i in of])])[0]
+        if got is not None or len(of) == 1:
+            return [(of, got)]
+        half = len(of) // 2
+        return self._run(pieces, of[:half]) + self._run(pieces, of[half:])
+
+    def cut(self, pieces: list[bytes], whole: list[bytes]) -> Pieces:
+        """Of pieces without their leading spaces, between which a text may be cut, and then of whole texts."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
+        run = np.cumsum(sizes) // RUN_BYTES
+        units: list[tuple[list[int], tuple[np.ndarray, np.ndarray] | None]] = []
+        for of in np.split(np.arange(len(pieces)), np.flatnonzero(np.diff(run)) + 1) if pieces else []:
+            units += self._run(pieces, of.tolist())
+        for i, text in enumerate(whole, len(pieces)):
+            parts = cut_long(" " + text.decode("utf-8", "replace"), 200_000) if self.cuts else [" " + text.decode("utf-8", "replace")]
+            got = self._tokens([p.encode() for p in parts]) if b"".join(p.encode() for p in parts) == b" " + text else [None]
+            units.append(([i], None if any(g is None for g in got) else (np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))))
+
+        n = len(pieces) + len(whole)
+        lengths = np.concatenate([sizes, np.fromiter(map(len, whole), np.int64, len(whole)) + 1])
+        fine = [(of, got) for of, got in units if got is not None]
+        order = np.array([i for of, _ in fine for i in of], np.int64)
+        a, b = (np.concatenate([np.empty(0, np.int64), *(got[k] for _, got in fine)]) for k in range(2))
+        a_ends, b_ends, ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]), np.cumsum(lengths[order])
+        cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)  # every token has a byte at least
+        na, nb = (np.bincount(np.searchsorted(cuts, x), minlength=len(cuts)) for x in (a_ends, b_ends))
+        of = order[np.searchsorted(ends, cuts)]  # the piece of each group; units stand in the order of their pieces
+        count = lambda weights: np.bincount(of, weights, n).astype(np.int64)
+        good = np.zeros(n, bool)
+        good[order] = True
+        per = count(None)
+        return Pieces(good, count(na), count(nb), count(na * nb), np.cumsum(per) - per, per, self._interned(a, b, na, nb))
+
+    def _interned(self, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+        """The numbers of groups, which stand one after the other in a and b."""
+        out = np.empty(len(na), np.int64)
+        a_from, b_from = np.cumsum(na) - na, np.cumsum(nb) - nb
+        short = np.flatnonzero(na + nb <= _SHORT)
+        rows = np.zeros((len(short), _SHORT + 2), np.int64)
+        rows[:, 0], rows[:, 1] = na[short], nb[short]
+        for k in range(_SHORT):
+            has = np.flatnonzero(rows[:, 0] > k)
+            rows[has, 2 + k] = a[a_from[short[has]] + k]
+            has = np.flatnonzero(rows[:, 1] > k)
+            rows[has, 2 + rows[has, 0] + k] = b[b_from[short[has]] + k]
+        mixed = np.zeros(len(rows), np.uint64)
+        for k in range(rows.shape[1]):
+            mixed = (mixed ^ rows[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        _, first, back = np.unique(mixed, return_index=True, return_inverse=True)
+        if (rows[first][back] != rows).any():  # two groups mixed to one number
+            _, first, back = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+        numbers = [self._number(r[2 : 2 + r[0]], r[2 + r[0] : 2 + r[0] + r[1]]) for r in rows[first].tolist()]
+        out[short] = np.array(numbers, np.int64)[back] if numbers else 0
+        for g in np.flatnonzero(na + nb > _SHORT).tolist():
+            out[g] = self._number(a[a_from[g] : a_from[g] + na[g]].tolist(), b[b_from[g] : b_from[g] + nb[g]].tolist())
+        return out
+
+    def _number(self, a: list[int], b: list[int]) -> int:
+        key = f"{','.join(map(str, a))}|{','.join(map(str, b))}"
+        if key not in self.groups:
+            self.groups[key] = len(self.keys)
+            self.keys.append(key)
+            links = [(i, j) for i in dict.fromkeys(a) for j in dict.fromkeys(b)]
+            self.of_group.append(np.array([self.pairs.setdefault(p, len(self.pairs)) for p in links], np.int64))
+            self.held += 400 + 2 * len(key) + 200 * len(links)
+        return self.groups[key]
+
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places starts[i], starts[i] + 1, ... of each i, sizes[i] of them, one after the other."""
@@ -159,37 +206,33 @@ def encoded(enc: Aligner, texts: pa.Array) -> Chunk:
     empty = pc.binary_length(texts).to_numpy() == 0
     whole = np.flatnonzero((pc.match_substring_regex(texts.view(pa.large_string()), _UNSAFE).to_numpy(zero_copy_only=False) if enc.cuts else np.ones(n, bool)) & ~empty)
     doc = np.repeat(np.arange(n), np.diff(starts))
-    cut = ~np.isin(doc, whole) & ~empty[doc]
-    used = np.unique(index[cut])
-    number = np.zeros(len(coded.dictionary), np.int64)
-    number[used] = enc.numbers(coded.dictionary.take(pa.array(used)).to_pylist())
-    doc, piece = np.concatenate([doc[cut], whole]), np.concatenate([number[index[cut]], np.array([enc.whole(texts[int(i)].as_py()) for i in whole], np.int64)])
+    skipped = empty.copy()
+    skipped[whole] = True
+    kept = ~skipped[doc]
+    used, index = np.unique(index[kept], return_inverse=True)
+    found = enc.cut(coded.dictionary.take(pa.array(used)).to_pylist(), texts.take(pa.array(whole)).to_pylist())
+    doc, piece = np.concatenate([doc[kept], whole]), np.concatenate([index, len(used) + np.arange(len(whole))])
     order = np.argsort(doc, kind="stable")
     doc, piece = doc[order], piece[order]
-
-    every = np.array(enc.stats, np.int64).reshape(-1, 5)
     bad = np.zeros(n, bool)
-    bad[doc[every[piece, 4] == 0]] = True
+    bad[doc[~found.good[piece]]] = True
     doc, piece = doc[~bad[doc]], piece[~bad[doc]]
-    stats = np.zeros((n, 4), np.int64)
-    np.add.at(stats, doc, every[piece, :4])
-    ends = np.searchsorted(doc, np.arange(n + 1))
-    names = piece.tolist()
-    digests = [hashlib.sha256(";".join(map(enc.texts.__getitem__, names[a:b])).encode()).hexdigest() if b > a else "" for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-
-    flat, at, sizes = _joined(enc.of_piece)
-    key, often = np.unique(doc * len(at) + piece, return_counts=True) if len(doc) else (np.empty(0, np.int64),) * 2
-    doc, piece = key // max(1, len(at)), key % max(1, len(at))
-    group = flat[_spread(at[piece], sizes[piece])]
-    width = max(1, len(enc.of_group))
-    key, back = np.unique(np.repeat(doc, sizes[piece]) * width + group, return_inverse=True)
-    times = np.bincount(back, np.repeat(often, sizes[piece]), len(key)).astype(np.int64)
+    sizes = found.sizes[piece]
+    group = found.groups[_spread(found.starts[piece], sizes)]
+    stats = np.stack([np.bincount(doc, x[piece], n).astype(np.int64) for x in (found.n_a, found.n_b, found.sizes, found.n_links)], axis=1)
+    doc = np.repeat(doc, sizes)
+    ends = np.searchsorted(doc, np.arange(n + 1)).tolist()
+    names = np.array([*enc.keys, ""], object)[group]
+    digests = [hashlib.sha256(";".join(names[a:b]).encode()).hexdigest() if b > a else "" for a, b in zip(ends[:-1], ends[1:])]
+    width = max(1, len(enc.keys))
+    key, times = np.unique(doc * width + group, return_counts=True)
     doc, group = key // width, key % width
     flat, at, sizes = _joined(enc.of_group)
     width = max(1, len(enc.pairs))
-    held = np.unique(np.repeat(doc, sizes[group]) * width + flat[_spread(at[group], sizes[group])]) % width
-    pairs, docs = np.unique(held, return_counts=True)
-    return Chunk(stats, digests, np.searchsorted(doc, np.arange(n + 1)), group, times, pairs, docs)
+    held = np.sort(np.repeat(doc, sizes[group]) * width + flat[_spread(at[group], sizes[group])])
+    docs = np.bincount(held[np.diff(held, prepend=-1) != 0] % width)
+    pairs = np.flatnonzero(docs)
+    return Chunk(stats, digests, np.searchsorted(doc, np.arange(n + 1)), group, times, pairs, docs[pairs])
 
 
 @dataclass
@@ -242,8 +285,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
                     "doc", n, chunk=pa.array([name] * n), id=batch.column(0).slice(lo, n), groups_sha256=pa.array(c.digests, pa.string()), at=pa.ListArray.from_arrays(offsets, pa.array(place, pa.int32())), times=pa.ListArray.from_arrays(offsets, pa.array(c.times)),
                     **{x: pa.array(c.stats[:, k]) for k, x in enumerate(("n_a", "n_b", "n_groups", "n_links"))},
                 )
-                keys = list(enc.groups)
-                yield batch_of("group", len(held), chunk=pa.array([name] * len(held), pa.string()), place=pa.array(np.arange(len(held)), pa.int32()), key=pa.array([keys[g] for g in held.tolist()], pa.string()))
+                yield batch_of("group", len(held), chunk=pa.array([name] * len(held), pa.string()), place=pa.array(np.arange(len(held)), pa.int32()), key=pa.array([enc.keys[g] for g in held.tolist()], pa.string()))
         yield pair_batch(enc, np.pad(counts, (0, len(enc.pairs) - len(counts))))
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
