@@ -85,10 +85,15 @@ def truncate(text: Column | str, limit: int, mark: str = "...[truncated]") -> Co
     return F.when(F.char_length(c) <= limit, c).otherwise(F.concat(F.regexp_replace(F.substring(c, 1, limit - 20), r"(?U)\s+$", ""), F.lit(mark)))
 
 
+def folded(c: Column | str) -> Column:
+    """Case folded as Unicode says: ß is ss, a final sigma a sigma. lower() alone keeps both."""
+    return F.translate(F.lower(F.upper(_col(c))), "ς", "σ")
+
+
 def contains_folded(text: Column | str, word: Column) -> Column:
     """Case-insensitive containment; false on an empty text or word."""
     c = _col(text)
-    return F.coalesce((c != "") & (word != "") & F.contains(F.lower(c), F.lower(word)), F.lit(False))
+    return F.coalesce((c != "") & (word != "") & F.contains(folded(c), folded(word)), F.lit(False))
 
 
 def with_instruction(query: Column | str, instruction: str) -> Column:

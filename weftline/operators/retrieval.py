@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_folded, strip
+from ..functions.text import contains_folded, folded, strip
 from .hypergraph import chunk_order
-from .vectors import QUERY_BLOCK
+from .keyword_index import KeywordIndex, keyword_order
+from .keyword_index import keyword_hits as indexed_hits
 
 
 def keyword_list(words: list[str]) -> list[str]:
@@ -33,11 +34,7 @@ def keyword_match(chunks: DataFrame, minority: list[str], majority: list[str], k
 
     rows = chunks.select(F.col("id").alias("chunk_id"), "doc_id", hits(rare).alias("n_minority"), hits(common).alias("n_majority")).filter("n_minority + n_majority > 0")
     rows = rows.withColumn("score", (10 * F.col("n_minority") + F.col("n_majority")).cast("double"))
-    return rows.orderBy(*_keyword_order()).limit(k)
-
-
-def _keyword_order() -> list[Column]:
-    return [F.desc(F.col("n_minority") > 0), F.desc("n_minority"), F.desc("n_majority"), F.desc("score"), F.asc("chunk_id")]
+    return rows.orderBy(*keyword_order()).limit(k)
 
 
 def keyword_lists(words: DataFrame) -> DataFrame:
@@ -45,30 +42,18 @@ def keyword_lists(words: DataFrame) -> DataFrame:
 
     def tidy(c: str) -> Column:
         kept = F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), strip), lambda w: F.char_length(w) >= 2)
-        return F.filter(kept, lambda w, i: F.array_position(F.transform(kept, F.lower), F.lower(w)) == i + 1)
+        return F.filter(kept, lambda w, i: F.array_position(F.transform(kept, folded), folded(w)) == i + 1)
 
     rare = words.select("query_id", tidy("minority").alias("minority"), tidy("majority").alias("majority"))
-    return rare.withColumn("majority", F.filter("majority", lambda w: ~F.array_contains(F.transform("minority", F.lower), F.lower(w))))
+    return rare.withColumn("majority", F.filter("majority", lambda w: ~F.array_contains(F.transform("minority", folded), folded(w))))
 
 
-def keyword_hits(chunks: DataFrame, words: DataFrame, k: int = 50) -> DataFrame:
+def keyword_hits(chunks: DataFrame, words: DataFrame, k: int = 50, index: KeywordIndex | None = None) -> DataFrame:
     """query_id, chunk_id, doc_id, n_minority, n_majority, score: keyword_match() for every question of words (query_id, minority, majority).
 
-    The questions go over all chunks in blocks, each broadcast, as in vectors.top_k(); a task keeps its best k of each.
+    With an index of the chunks (keyword_index.build_index) only chunks that can hold a keyword are read.
     """
-    tidy = keyword_lists(words)
-    blocks = max(1, -(-tidy.count() // QUERY_BLOCK))
-    n = lambda c: F.size(F.filter(c, lambda w: F.contains(F.col("_low"), F.lower(w))))
-    rows = chunks.select(F.col("id").alias("chunk_id"), "doc_id", F.lower("content").alias("_low")).filter("_low <> ''")
-    out = None
-    for b in range(blocks):
-        mine = tidy if blocks == 1 else tidy.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        scored = rows.crossJoin(F.broadcast(mine)).select("query_id", "chunk_id", "doc_id", n("minority").alias("n_minority"), n("majority").alias("n_majority")).filter("n_minority + n_majority > 0")
-        scored = scored.withColumn("score", (10 * F.col("n_minority") + F.col("n_majority")).cast("double"))
-        w = Window.partitionBy("query_id").orderBy(*_keyword_order())
-        part = scored.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return indexed_hits(chunks, keyword_lists(words), k, index)
 
 
 def keyword_path(pool: DataFrame, keys: list[str], k: int, relevance: DataFrame | None = None) -> DataFrame:

@@ -6,34 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import safe_div, similarity
+from .nearest import FOUND, best_of, scan, usable
 
 #: More query vectors than this are searched in several blocks.
-QUERY_BLOCK = 2_000
-
-
-def squared_l2(a: Column | str, b: Column | str) -> Column:
-    diff = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.aggregate(diff, F.lit(0.0), lambda acc, x: acc + x)
+QUERY_BLOCK = 100_000
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, dead: DataFrame | None = None, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """query_id, id, distance (squared L2), rank: the k nearest live vectors of each query, ties by id.
 
-    queries: query_id, query. They are held against every vector in blocks of QUERY_BLOCK, each broadcast; every task
-    keeps only its best k rows of a query before they are shuffled. k = 0 gives no rows.
+    queries: query_id, query; ids are whole numbers. Every query is held against every vector of its number of components, a
+    wave of QUERY_BLOCK queries at a time; every task keeps only its best k rows of a query before they are shuffled. Rows
+    whose vector is null or holds a null or non-finite component are left out. k = 0 gives no rows.
     """
-    live = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("_v"))
+    live = usable(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")), "v")
     if dead is not None:
         live = live.join(dead.select(F.col("id")), "id", "left_anti")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    out = None
-    for b in range(blocks):
-        mine = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        scored = live.crossJoin(F.broadcast(mine.select("query_id", "query"))).select("query_id", "id", squared_l2("_v", "query").alias("distance"))
-        w = Window.partitionBy("query_id").orderBy("distance", "id")
-        part = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        out = part if out is None else out.unionByName(part)
-    return out
+    asked = usable(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<double>").alias("query")), "query")
+    if k <= 0:
+        return vectors.sparkSession.createDataFrame([], f"{FOUND}, rank int")
+    return best_of(scan(live, asked, k, QUERY_BLOCK), k)
 
 
 def scored_hits(hits: DataFrame) -> DataFrame:

@@ -157,6 +157,9 @@ SQL = {
     "llm_json_sum": "SELECT event_type, sum((props->>'$.k')::bigint)::bigint AS k_sum FROM events GROUP BY event_type",
     "vector_topk_l2": f"SELECT query_id, id AS vec_id, round(distance, 4) AS distance, rank FROM ({_hits(10)})",
     "vector_similarity": f"SELECT query_id, id AS vec_id, round({_SIM}, 4) AS score FROM ({_hits(10)})",
+    "vector_topk_all_cells": f"SELECT query_id, id AS vec_id, round(distance, 4) AS distance, rank FROM ({_hits(10)})",
+    "vector_topk_half": f"SELECT query_id, id AS vec_id, round(distance, 4) AS distance, rank FROM ({_hits(10)})",
+    "vector_topk_bytes": f"SELECT query_id, id AS vec_id, round(distance, 4) AS distance, rank FROM ({_hits(10, where='e.vec_id % 7 <> 0')})",
     "vector_topk_tombstoned": f"SELECT query_id, id AS vec_id, rank FROM ({_hits(10, where='e.vec_id % 7 <> 0')})",
     "vector_dedupe_hits": f"SELECT query_id, id, round(distance, 4) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (SELECT query_id, id % 50 AS id, min(distance) AS distance FROM ({_hits(20)}) GROUP BY ALL)) WHERE rank <= 5",
     "vector_compact": "SELECT vec_id, label FROM embeddings WHERE vec_id % 5 <> 0",
@@ -212,6 +215,9 @@ SQL = {
     "context_text": f"""SELECT query_id, material_id, md5('----- Material ' || material_id || ' | source: doc_' || m.doc_id || '.pdf -----' || chr(10) || string_agg(
         CASE WHEN chunk_id % 4 = 0 THEN '### Head' ELSE '### Index block ' || position || ' (match=' || match_type || ')' END || chr(10) || text, chr(10) ORDER BY position)) AS text_md5
       FROM ({_materials(False)}) m JOIN documents d ON d.doc_id = chunk_id WHERE material_id <= 4 GROUP BY query_id, material_id, m.doc_id""",
+    "keyword_index_hits": f"SELECT query_id, chunk_id, n_minority::bigint AS n_minority, n_majority::bigint AS n_majority, score::double AS score FROM ({_POOL})",
+    "keyword_containing": """SELECT word, count(*) AS n, sum(doc_id)::bigint AS ids FROM documents d JOIN
+      (SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-zà-öø-ÿ]+')) AS word FROM benchmark) WHERE length(word) >= 2) w ON contains(lower(d.text), word) GROUP BY word""",
     "keyword_hits": f"SELECT query_id, chunk_id, n_minority::bigint AS n_minority, n_majority::bigint AS n_majority, score::double AS score FROM ({_POOL})",
     "keyword_path": f"SELECT query_id, chunk_id, doc_id, score::double AS score FROM ({_PATH})",
     "rerank_by_question": f"""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY {_RELEVANCE} DESC, doc_id) AS material_id, doc_id, round({_RELEVANCE}, 4)::double AS material_score, false AS fallback

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import judging as J
 from ..functions import text as X
 from ..functions import values as V
-from ..operators import agent, chunking, evaluation, hypergraph, models, report, retrieval, stages, store, vectors
+from ..operators import agent, chunking, evaluation, hypergraph, keyword_index, models, report, retrieval, stages, store, vector_index, vectors
 from ..sources import metrics, remote, tables
+from ..storage import written
 
 #: Keywords that occur in the fixture's English text.
 MINORITY, MAJORITY = ["blehe", "thinhe", "eringed"], ["tion", "the", "edand", "oner"]
@@ -202,6 +203,44 @@ def vector_topk_tombstoned(spark, sf):
     return _hits(spark, sf, 10, dead=True).select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long").alias("rank"))
 
 
+#: Cells that a query looks into of every hundred; the fixtures' vectors are spread evenly, so it takes many.
+PROBED = 65
+
+
+def _index(spark, sf, bits=16):
+    return vector_index.build_index(_t(spark, sf, "embeddings"), id_col="vec_id", bits=bits)
+
+
+def vector_topk_ivf(spark, sf):
+    """The nearest vectors that an inverted file of cells finds; tests hold them against vector_topk_l2."""
+    index = _index(spark, sf)
+    hits = vector_index.search(index, _queries(_t(spark, sf, "embeddings")), 10, probes=-(-index.cells * PROBED // 100))
+    return hits.select("query_id", F.col("id").alias("vec_id"), F.round("distance", 4).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+def vector_topk_all_cells(spark, sf):
+    """With all cells looked into, the inverted file is exact."""
+    index = _index(spark, sf)
+    hits = vector_index.search(index, _queries(_t(spark, sf, "embeddings")), 10, probes=index.cells)
+    return hits.select("query_id", F.col("id").alias("vec_id"), F.round("distance", 4).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+def _coded(spark, sf, bits, dead=None):
+    e = _t(spark, sf, "embeddings")
+    hits = vector_index.search_exact(_index(spark, sf, bits), _queries(e), 10, dead)
+    return hits.select("query_id", F.col("id").alias("vec_id"), F.round("distance", 4).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+def vector_topk_half(spark, sf):
+    """Exact search over codes of half precision."""
+    return _coded(spark, sf, 16)
+
+
+def vector_topk_bytes(spark, sf):
+    """Exact search over codes of a byte a component, but for tombstones."""
+    return _coded(spark, sf, 8, _t(spark, sf, "embeddings").filter("vec_id % 7 = 0").select(F.col("vec_id").alias("id")))
+
+
 def vector_dedupe_hits(spark, sf):
     h = _hits(spark, sf, 20)
     twice = h.select("query_id", (F.col("id") % 50).alias("id"), "distance")
@@ -252,8 +291,23 @@ def keyword_hits(spark, sf):
     return k.select("query_id", "chunk_id", F.col("n_minority").cast("long").alias("n_minority"), F.col("n_majority").cast("long").alias("n_majority"), "score")
 
 
+def keyword_index_hits(spark, sf):
+    """keyword_hits through an index of the chunks."""
+    chunks = _chunks(spark, sf)
+    k = retrieval.keyword_hits(chunks, _words(spark, sf), index=keyword_index.build_index(chunks))
+    return k.select("query_id", "chunk_id", F.col("n_minority").cast("long").alias("n_minority"), F.col("n_majority").cast("long").alias("n_majority"), "score")
+
+
+def keyword_containing(spark, sf):
+    """In which documents each word of every item stands, as part of a word or by itself, through an index."""
+    d = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    words = _t(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-zà-öø-ÿ]+")).alias("word")).filter("length(word) >= 2").distinct()
+    found = keyword_index.containing(keyword_index.build_index(d), d, words)
+    return found.groupBy("word").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
 def _keyword_path(spark, sf):
-    pool = retrieval.keyword_hits(_chunks(spark, sf), _words(spark, sf))
+    pool = written(retrieval.keyword_hits(_chunks(spark, sf), _words(spark, sf)), "pool")
     relevance = pool.select("query_id", "doc_id", ((F.col("doc_id") * 37 + F.col("query_id")) % 101 / 101.0).alias("relevance")).distinct()
     return retrieval.keyword_path(pool, ["query_id"], 10, relevance)
 
@@ -263,8 +317,9 @@ def keyword_path(spark, sf):
 
 
 def _dual(spark, sf):
-    chunk = vectors.scored_hits(_hits(spark, sf, 30)).select("query_id", F.col("id").alias("chunk_id"), "score")
-    node = vectors.scored_hits(_hits(spark, sf, 20)).select("query_id", (F.col("id") + F.col("id") % 2).alias("chunk_id"), "score").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    hits = written(vectors.scored_hits(_hits(spark, sf, 30)), "hits")  # one pass over the vectors for both paths
+    chunk = hits.select("query_id", F.col("id").alias("chunk_id"), "score")
+    node = hits.filter("rank <= 20").select("query_id", (F.col("id") + F.col("id") % 2).alias("chunk_id"), "score").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     return retrieval.merge_hits(chunk, node, ["query_id", "chunk_id"])
 
 
@@ -274,7 +329,7 @@ def merge_hits(spark, sf):
 
 def _union(spark, sf):
     keyword = _keyword_path(spark, sf).select("query_id", "chunk_id", "score")
-    return retrieval.union_hits(_dual(spark, sf), keyword, ["query_id", "chunk_id"])
+    return written(retrieval.union_hits(_dual(spark, sf), keyword, ["query_id", "chunk_id"]), "union")  # the materials read it twice
 
 
 def union_hits(spark, sf):
@@ -735,7 +790,7 @@ def context_text(spark, sf):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = """doc_insert_dedup doc_name_antijoin search_eq count_by keyset_page in_list_semi partial_update_last_wins cascade_delete family_base family_closure slice_plan
     object_key download_plan file_dedup_pref sentence_split join_units chunk_pack head_body_order prior_slices entity_longest entity_degree llm_json_entities llm_json_sum
-    vector_topk_l2 vector_similarity vector_topk_tombstoned vector_dedupe_hits vector_compact deleted_stats node_hits_to_chunk keyword_match merge_hits union_hits build_materials
+    vector_topk_l2 vector_topk_ivf vector_topk_all_cells vector_topk_half vector_topk_bytes keyword_index_hits keyword_containing vector_similarity vector_topk_tombstoned vector_dedupe_hits vector_compact deleted_stats node_hits_to_chunk keyword_match merge_hits union_hits build_materials
     build_materials_full_body rerank_fallback plan_normalize ready_steps sources_distinct usage_sum doc_recall verdict_summary verdict_by_hop recall_vs_accuracy system_comparison crosstab
     group_metrics score_hist category_coverage category_distribution category_compare_outer pairwise_order normalize_score normalize_judgment stage_metrics model_cache_join retrieve
     keyword_hits keyword_path rerank_by_question rerank_parse ratio_parse judge_answers plan_parse stage_pending stage_clear stage_summary head_chunks summary_order
