@@ -101,10 +101,30 @@ def with_instruction(query: Column | str, instruction: str) -> Column:
     return F.when(c.startswith("Instruct:"), c).otherwise(F.concat(F.lit(f"Instruct: {instruction}\nQuery:"), c))
 
 
+#: Labels that an answer's parts begin with.
+_ANSWER = r"(?iU)(?:^|\n)\s*(?:Answer|回答|结论)\s*[:：]\s*"
+_THOUGHT = r"(?iU)^\s*(?:Thought|思考)\s*[:：]\s*"
+
+
+def thought_and_answer(text: Column | str) -> Column:
+    """struct<thought, answer>: the answer stands after the last label for one at the start of a line, the thought before it.
+
+    Without such a label a text that begins with one for a thought is all thought, any other all answer.
+    """
+    c = strip(F.coalesce(_col(text), F.lit("")))
+    after = F.element_at(F.split(c, _ANSWER, -1), -1)
+    label = F.element_at(F.regexp_extract_all(c, F.lit(_ANSWER), F.lit(0)), -1)
+    labelled = c.rlike(_ANSWER)
+    before = strip(F.substring(c, F.lit(1), F.char_length(c) - F.char_length(after) - F.char_length(F.when(labelled, label).otherwise(""))))
+    bare = lambda x: strip(F.regexp_replace(x, _THOUGHT, ""))
+    thinks = c.rlike(_THOUGHT)
+    thought = F.when(labelled, bare(before)).when(thinks, bare(c)).otherwise("")
+    answer = F.when(labelled, strip(after)).when(thinks, "").otherwise(c)
+    return F.struct(thought.alias("thought"), answer.alias("answer"))
+
+
 def answer_section(text: Column | str) -> Column:
-    """What stands after the last `Answer:` label, or all of it."""
-    c = _col(text)
-    return strip(F.regexp_replace(c, r"(?s)^.*\bAnswer\s*[:：]", ""))
+    return thought_and_answer(text)["answer"]
 
 
 def error_kind(message: Column | str) -> Column:
@@ -113,6 +133,18 @@ def error_kind(message: Column | str) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(c, r"[0-9]+", "<n>"), r"\s+", " "), 1, 160)
 
 
-def question_id(raw: Column | str) -> Column:
-    digits = F.regexp_extract(_col(raw).cast("string"), r"([0-9]+)", 1)
-    return F.when(digits == "", strip(_col(raw).cast("string"))).otherwise(F.concat(F.lit("Q"), F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits)))
+def error_fingerprint(message: Column | str, kind: Column) -> Column:
+    """An error's type and its message with file names, attempts and page counts replaced, 160 characters of it at most."""
+    c = F.coalesce(_col(message), F.lit(""))
+    for pattern, put in ((r"(?iU)for\s+\S+\.pdf", "for <file>.pdf"), (r"(?iU)attempt\s+\d+\s*/\s*\d+", "attempt ?/?"), (r"(?U)pages=\d+", "pages=?"), (r"(?U)\s+", " ")):
+        c = F.regexp_replace(c, pattern, put)
+    return F.concat(kind, F.lit("|"), F.substring(strip(c), 1, 160))
+
+
+def question_id(raw: Column | str, number: Column | None = None) -> Column:
+    """Q and four digits at least for an id of digits, with or without a Q before them; any other id as it is; for none Q and the row's number."""
+    c = strip(F.coalesce(_col(raw).cast("string"), F.lit("")))
+    padded = lambda d: F.concat(F.lit("Q"), F.when(F.length(d) < 4, F.lpad(d, 4, "0")).otherwise(d))
+    digits = F.regexp_replace(F.regexp_extract(c, "^[Qq]?([0-9]+)$", 1), "^0+(?=.)", "")
+    blank = padded(number.cast("string")) if number is not None else c
+    return F.when(c == "", blank).when(digits == "", c).otherwise(padded(digits))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_filename
 from ..functions.values import PARTLY, RIGHT, UNKNOWN, WRONG, safe_div
+from ..storage import written
 
 
 def _n(condition: Column) -> Column:
@@ -109,10 +110,13 @@ def sample_rows(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 def sample_for_tasks(tasks: DataFrame, rows: DataFrame, key: str, seed: int) -> DataFrame:
     """tasks' columns, place, key: for each task `n` rows in the order of a hash of seed, task and key; where there are fewer rows, they are taken again in turn.
 
-    tasks: task (text), n. They are few, and held against all rows in one pass; a task keeps its n best of each.
+    tasks: task (text), n. They are few, and held against all rows in one pass; a task keeps as many rows of each as any asks
+    for before they are shuffled.
     """
+    most = tasks.agg(F.max("n")).first()[0] or 0
     ranked = Window.partitionBy("task").orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), "task", F.col(key).cast("string"))), key)
-    picked = rows.select(key).crossJoin(F.broadcast(tasks.select("task", "n"))).withColumn("_rank", F.row_number().over(ranked)).filter("_rank <= n")
+    picked = rows.select(key).crossJoin(F.broadcast(tasks.select("task", "n"))).withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= most).filter("_rank <= n")
+    picked = written(picked, "sample")
     held = picked.groupBy("task").agg(F.count("*").alias("_held"))
     places = tasks.join(held, "task").withColumn("place", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     places = places.withColumn("_rank", (F.col("place") - 1) % F.col("_held") + 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 
 def chunk_order(name: Column | str, index: Column | None = None) -> Column:
     """chunk_index, or what the name says (head 0, body_N N), or 10^9."""
@@ -32,7 +34,7 @@ def longest_descriptions(rows: DataFrame, keys: list[str], description: str, ord
 
 def nodes(entities: DataFrame) -> DataFrame:
     """doc_id, chunk_id, name, content, embedding_content: one node per chunk and entity; hyperedge_id is filled on enrichment."""
-    return entities.select("doc_id", "chunk_id", "name", F.col("description").alias("content"), F.concat_ws("\n", "name", "description").alias("embedding_content"))
+    return entities.select("doc_id", "chunk_id", "name", F.col("description").alias("content"), strip(F.concat_ws("\n", "name", "description")).alias("embedding_content"))
 
 
 def entity_degrees(nodes: DataFrame, entity: str, edge: str) -> DataFrame:

@@ -14,7 +14,7 @@ from ..functions.judging import truthy
 from ..functions.text import family_base, slice_index, strip
 from ..functions.values import entities
 from .chunking import chunks as packed
-from .hypergraph import nodes
+from .hypergraph import chunk_order, longest_descriptions, nodes
 from .models import TextModel, answers
 
 #: Which status a stage takes up.
@@ -105,15 +105,55 @@ def extract(chunks: DataFrame, model: TextModel, cache: DataFrame | None = None)
 
 
 def build(chunks: DataFrame, hyperedges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(chunks, nodes, edges): a node for each entity of each extracted chunk, tied to its document's first hyperedge."""
-    due = pending(chunks, "build")
-    found = due.select("doc_id", F.col("id").alias("chunk_id"), F.inline(entities(F.get_json_object("extra", "$.extract")))).withColumnRenamed("content", "description")
-    edge_of = hyperedges.groupBy("doc_id").agg(F.min("id").alias("hyperedge_id"))
-    made = nodes(found).join(edge_of, "doc_id", "left")
-    edges = made.filter("hyperedge_id IS NOT NULL").select("doc_id", "hyperedge_id", "chunk_id", "name")
+    """(chunks, nodes, edges): a node for each entity of each extracted chunk, tied to its document's first hyperedge.
+
+    Of an entity that a chunk's answer names more than once the longest description counts (the first of equal length), and one
+    without a description makes no node. The chunks of a document without a hyperedge stay as they are until it has one.
+    enriched_hyperedges() gives the hyperedges what they take from the heads.
+    """
+    due, edge_of = _due_chunks(chunks, hyperedges)
+    made = nodes(_chunk_entities(due)).join(edge_of.withColumnRenamed("_of", "doc_id"), "doc_id")
+    edges = made.select("doc_id", "hyperedge_id", "chunk_id", "name")
     return moved(chunks, due.select("id"), "build"), made, edges
 
 
+def _due_chunks(chunks: DataFrame, hyperedges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    edge_of = hyperedges.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_of")).agg(F.min("id").alias("hyperedge_id"))
+    return pending(chunks, "build").join(edge_of, F.col("doc_id") == F.col("_of"), "left_semi"), edge_of
+
+
+def _chunk_entities(due: DataFrame) -> DataFrame:
+    """doc_id, chunk_id, name, description: each entity of each chunk once."""
+    pairs = entities(F.get_json_object("extra", "$.extract"))
+    found = due.select("doc_id", F.col("id").alias("chunk_id"), F.posexplode(pairs).alias("_at", "_e")).select("doc_id", "chunk_id", "_at", F.col("_e.name").alias("name"), F.col("_e.content").alias("content"))
+    return longest_descriptions(found, ["doc_id", "chunk_id", "name"], "content", "_at")
+
+
+def enriched_hyperedges(chunks: DataFrame, hyperedges: DataFrame) -> DataFrame:
+    """The hyperedges, those of documents that build() takes up bound to the head chunk, with its entities in their extra.
+
+    The head is the first chunk in order that is one by name, flag, role or index, else the first. What an extra held stays,
+    but for is_head, role, entities and source_chunk_id; source stays or becomes summary.
+    """
+    due, edge_of = _due_chunks(chunks, hyperedges)
+    order = chunk_order(F.lower(strip(F.coalesce("name", F.lit("")))), F.get_json_object("extra", "$.chunk_index").try_cast("int"))
+    ranked = with_head_flag(due).select("doc_id", "id", F.struct((~F.col("head")).alias("_body"), order.alias("_order"), "id").alias("_rank"), "extra")
+    head = ranked.groupBy("doc_id").agg(F.min_by("id", "_rank").alias("id"), F.min_by("extra", "_rank").alias("extra"))
+    own = _chunk_entities(head).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first_at", "name", "description"))).alias("_e"))
+    own = own.select("doc_id", F.map_from_entries(F.transform("_e", lambda e: F.struct(e["name"], e["description"]))).alias("_entities"))
+    named = head.select("doc_id", F.col("id").alias("_head")).join(own, "doc_id", "left").join(edge_of, F.col("doc_id") == F.col("_of")).select(F.col("hyperedge_id").alias("_edge"), "_head", "_entities")
+    old = hyperedges if "extra" in hyperedges.columns else hyperedges.withColumn("extra", F.lit(None).cast("string"))
+    rows = old.join(named, F.col("id") == F.col("_edge"), "left")
+    before = F.try_parse_json("extra")
+    held = F.when(F.schema_of_variant(before).startswith("OBJECT"), F.try_variant_get(before, "$", "map<string,variant>"))
+    source = F.coalesce(F.nullif(F.try_variant_get(before, "$.source", "string"), F.lit("")), F.lit("summary"))
+    kept = F.map_filter(held, lambda k, v: ~k.isin("is_head", "role", "source", "entities", "source_chunk_id"))
+    new = F.to_json(F.struct(F.lit(True).alias("is_head"), F.lit("head").alias("role"), source.alias("source"), F.coalesce("_entities", F.create_map().cast("map<string,string>")).alias("entities"), F.col("_head").alias("source_chunk_id")))
+    joined = F.when(F.size(kept) > 0, F.concat(F.regexp_replace(F.to_json(kept), r"\}$", ","), F.substring(new, F.lit(2), F.char_length(new)))).otherwise(new)
+    taken = F.col("_edge").isNotNull()
+    return rows.withColumns({"chunk_id": F.when(taken, F.col("_head")).otherwise(F.col("chunk_id")), "extra": F.when(taken, joined).otherwise(F.col("extra"))}).drop("_edge", "_head", "_entities")
+
+
 # undoing
 
 

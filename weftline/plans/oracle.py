@@ -215,6 +215,11 @@ SQL = {
     "context_text": f"""SELECT query_id, material_id, md5('----- Material ' || material_id || ' | source: doc_' || m.doc_id || '.pdf -----' || chr(10) || string_agg(
         CASE WHEN chunk_id % 4 = 0 THEN '### Head' ELSE '### Index block ' || position || ' (match=' || match_type || ')' END || chr(10) || text, chr(10) ORDER BY position)) AS text_md5
       FROM ({_materials(False)}) m JOIN documents d ON d.doc_id = chunk_id WHERE material_id <= 4 GROUP BY query_id, material_id, m.doc_id""",
+    "vectorize_stage": """SELECT doc_id, CASE WHEN said = '' THEN 'undone' ELSE 'done' END AS embedding_status, CASE WHEN said <> '' THEN 16 END AS n,
+      CASE WHEN said <> '' THEN round((16 * (strpos('0123456789abcdef', substr(sha256(said), 1, 1)) - 1) + strpos('0123456789abcdef', substr(sha256(said), 2, 1)) - 1) / 255.0, 4) END AS first
+      FROM (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'e' || doc_id ELSE text END AS said FROM documents)""",
+    "lifetime_metrics": """SELECT event_type AS stage, count(*) AS sessions, sum(n0)::bigint AS n_real, sum(n1)::bigint AS n_cached, sum(n2)::bigint AS n_skipped, sum(tokens)::bigint AS tokens, round(sum(seconds), 2) AS seconds
+      FROM (SELECT event_type, user_id, count(*) FILTER (event_id % 3 = 0) AS n0, count(*) FILTER (event_id % 3 = 1) AS n1, count(*) FILTER (event_id % 3 = 2) AS n2, sum(event_id) AS tokens, round(sum(value), 2) AS seconds FROM events GROUP BY ALL) GROUP BY ALL""",
     "keyword_index_hits": f"SELECT query_id, chunk_id, n_minority::bigint AS n_minority, n_majority::bigint AS n_majority, score::double AS score FROM ({_POOL})",
     "keyword_containing": """SELECT word, count(*) AS n, sum(doc_id)::bigint AS ids FROM documents d JOIN
       (SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-zà-öø-ÿ]+')) AS word FROM benchmark) WHERE length(word) >= 2) w ON contains(lower(d.text), word) GROUP BY word""",

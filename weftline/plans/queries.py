@@ -13,6 +13,7 @@ from ..functions import values as V
 from ..operators import agent, chunking, evaluation, hypergraph, keyword_index, models, report, retrieval, stages, store, vector_index, vectors
 from ..sources import metrics, remote, tables
 from ..storage import written
+from . import runs
 
 #: Keywords that occur in the fixture's English text.
 MINORITY, MAJORITY = ["blehe", "thinhe", "eringed"], ["tion", "the", "edand", "oner"]
@@ -796,4 +797,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     keyword_hits keyword_path rerank_by_question rerank_parse ratio_parse judge_answers plan_parse stage_pending stage_clear stage_summary head_chunks summary_order
     load_documents resolve_ids sub_graph_export stats_sheet design_sheet cache_deletes throughput counters_by_label sum_and_count system_rows detail_rows item_failures report_summary
     question_tasks sample_padded eval_failures eval_remaining latency_long metric_table dimension_counts pairwise_winner sample_docs metric_lines error_kinds context_text"""
-    return {n: globals()[n] for n in names.split()}
+    return {n: globals()[n] for n in names.split()} | runs.queries()

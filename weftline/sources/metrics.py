@@ -1,14 +1,10 @@
-"""Metric texts and question sheets as rows."""
+"""Metric texts as rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import question_id, strip
-
-#: Header names of question sheets and the fields they stand for.
-HEADERS = {"问题": "question", "question": "question", "标准答案": "expected_answer", "answer": "expected_answer", "评分维度": "score_dimensions", "推理路径": "reasoning_path", "备注": "note", "编号": "raw_id", "id": "raw_id"}
 
 
 def exposition(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -16,12 +12,3 @@ def exposition(lines: DataFrame, column: str = "value") -> DataFrame:
     pattern = r"^([A-Za-z_:][A-Za-z0-9_:]*)(\{[^}]*\})?\s+(\S+)"
     rows = lines.filter(~F.col(column).startswith("#")).select(F.regexp_extract(column, pattern, 1).alias("name"), F.regexp_extract(column, pattern, 2).alias("labels"), F.regexp_extract(column, pattern, 3).try_cast("double").alias("value"))
     return rows.filter("name <> '' AND value IS NOT NULL")
-
-
-def questions(sheet: DataFrame) -> DataFrame:
-    """A sheet's question rows under their field names; unknown headers are kept as category columns, blank cells are NA, rows without a question go."""
-    fields = {c: HEADERS.get(c.replace("\n", "").replace(" ", "").lower()) for c in sheet.columns}
-    known = [F.col(f"`{c}`").cast("string").alias(f) for c, f in fields.items() if f]
-    other = [F.coalesce(F.nullif(strip(F.col(f"`{c}`").cast("string")), F.lit("")), F.lit("NA")).alias(c.replace("\n", "")) for c, f in fields.items() if not f]
-    rows = sheet.select(*known, *other).filter(F.coalesce(strip("question"), F.lit("")) != "")
-    return rows.withColumn("id", question_id("raw_id")) if "raw_id" in rows.columns else rows

@@ -26,18 +26,34 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """Write df once and read it again: what uses it, however often, doesn't compute it anew, nor does a lost executor."""
-    path = new_path(df.sparkSession, label)
+    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}" if folder else new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _at(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, target = _at(spark, path)
+    return store.exists(target)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    store, target = _at(spark, path)
+    return store.exists(target) and store.getFileStatus(target).isDirectory()
+
+
+def files(spark: SparkSession, path: str) -> dict[str, int]:
+    """Path and bytes of each file in a folder."""
+    store, target = _at(spark, path)
+    return {f.getPath().toString(): f.getLen() for f in store.listStatus(target) if f.isFile()} if store.exists(target) else {}
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    store, target = _at(spark, path)
+    store.delete(target, True)
