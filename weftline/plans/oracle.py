@@ -106,6 +106,9 @@ def _lost(b: str) -> str:
 
 
 _ENTITIES = "SELECT DISTINCT conv_id, turn, text, entity FROM (SELECT conv_id, turn, text, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS entity FROM conversations) WHERE length(entity) >= 4"
+_BUILT = """SELECT doc_id, turn, chunk_id, unnest([one, two]) AS name, unnest([role, CASE WHEN length(b) > length(a) THEN b ELSE a END]) AS content FROM (
+  SELECT conv_id AS doc_id, turn, conv_id * 1000 + turn AS chunk_id, role, coalesce(w[1], 'none1') AS one, coalesce(w[2], 'none2') AS two, substr(text, 1, 20) AS a, substr(text, 1, 15 + 3 * turn) AS b
+  FROM (SELECT *, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) >= 4) AS raw, list_transform(list_filter(list_zip(raw, range(1, len(raw) + 1)), lambda p: list_position(raw, p[1]) = p[2]), lambda p: p[1]) AS w FROM conversations))"""
 _PLAN = """SELECT plan_id, position, id, CASE WHEN turn = 0 OR turn - 1 > top THEN '' ELSE (turn - 1)::varchar END AS deps, turn FROM (
   SELECT conv_id AS plan_id, turn, turn::varchar AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, max(turn) OVER (PARTITION BY conv_id) AS top
   FROM conversations WHERE trim(text) <> '') WHERE position <= 6"""
@@ -215,6 +218,32 @@ SQL = {
     "context_text": f"""SELECT query_id, material_id, md5('----- Material ' || material_id || ' | source: doc_' || m.doc_id || '.pdf -----' || chr(10) || string_agg(
         CASE WHEN chunk_id % 4 = 0 THEN '### Head' ELSE '### Index block ' || position || ' (match=' || match_type || ')' END || chr(10) || text, chr(10) ORDER BY position)) AS text_md5
       FROM ({_materials(False)}) m JOIN documents d ON d.doc_id = chunk_id WHERE material_id <= 4 GROUP BY query_id, material_id, m.doc_id""",
+    "thought_answer": """SELECT conv_id, turn, md5(CASE turn % 5 WHEN 0 THEN role WHEN 1 THEN role || chr(10) || ' 回答： ' || said WHEN 3 THEN trim(said) ELSE '' END) AS thought_md5,
+      md5(CASE turn % 5 WHEN 1 THEN role WHEN 2 THEN trim(role || ' Answer: ' || said) WHEN 3 THEN '' ELSE trim(said) END) AS answer_md5
+      FROM (SELECT conv_id, turn, role, regexp_replace(text, '\\s+', ' ', 'g') AS said FROM conversations)""",
+    "question_ids": """SELECT doc_id, CASE doc_id % 6 WHEN 2 THEN lang || doc_id WHEN 0 THEN 'Q' || n0 WHEN 1 THEN 'Q' || n0 WHEN 3 THEN 'Q' || n0 ELSE 'Q' || n1 END AS question_id
+      FROM (SELECT doc_id, lang, repeat('0', greatest(0, 4 - length(doc_id::varchar))::bigint) || doc_id AS n0, repeat('0', greatest(0, 4 - length((doc_id + 1)::varchar))::bigint) || (doc_id + 1) AS n1 FROM documents)""",
+    "error_fingerprints": """SELECT CASE WHEN page_id % 4 = 0 THEN 'ValueError' ELSE 'TimeoutError' END || '|' || substr('Timeout for ' || CASE WHEN page_id % 2 = 0 THEN '<file>.pdf' ELSE url || '.txt' END || ' attempt ?/? pages=? code ' || page_id % 3, 1, 160) AS fingerprint, count(*) AS n FROM pages GROUP BY 1""",
+    "build_nodes": f"""SELECT doc_id, chunk_id, doc_id * 2 AS hyperedge_id, name, md5(content) AS content_md5, md5(trim(name || chr(10) || content, chr(10) || chr(13) || chr(9) || ' ')) AS embedding_md5 FROM ({_BUILT})
+      WHERE content <> '' AND turn % 4 <> 3 AND doc_id % 3 <> 2""",
+    "build_hyperedges": f"""SELECT e.id, e.doc_id, h.head_id AS chunk_id, CASE WHEN h.head_id IS NOT NULL THEN CASE WHEN e.doc_id % 2 = 0 THEN 'given' ELSE 'summary' END WHEN e.doc_id % 2 = 0 THEN 'given' END AS source, h.head_id, h.n AS n_entities
+      FROM (SELECT DISTINCT conv_id * 2 + k AS id, conv_id AS doc_id, k FROM conversations, (SELECT unnest([0, 1]) AS k) WHERE conv_id % 3 <> 2) e
+      LEFT JOIN (SELECT doc_id, min(chunk_id) AS head_id, count(*) FILTER (content <> '' AND first) AS n FROM (SELECT *, chunk_id = min(chunk_id) OVER (PARTITION BY doc_id) AS first FROM ({_BUILT}) WHERE turn % 4 <> 3) GROUP BY 1) h ON h.doc_id = e.doc_id AND e.k = 0""",
+    "build_statuses": """SELECT CASE WHEN turn % 4 = 3 THEN 'new' WHEN conv_id % 3 = 2 THEN 'extract' ELSE 'build' END AS status, count(*) AS n, sum(conv_id * 1000 + turn)::bigint AS ids FROM conversations GROUP BY 1""",
+    "slice_prior": """WITH d AS (SELECT doc_id, doc_id // 4 AS fam, doc_id % 4 AS i, CASE WHEN doc_id % 13 = 6 THEN '  ' ELSE text END AS content,
+        'doc_' || (doc_id // 4) || '.pdf' || CASE WHEN doc_id % 4 > 0 THEN '_' || (doc_id % 4) ELSE '' END AS name,
+        CASE WHEN doc_id % 3 = 0 THEN '，源页约 ' || ((doc_id % 4) * 12 + 1) || '-' || ((doc_id % 4) * 12 + 12) ELSE '' END AS pages FROM documents WHERE doc_id % 11 <> 5),
+      p AS (SELECT b.doc_id, count(a.doc_id) AS n, coalesce(string_agg('【前文第 ' || (a.i + 1) || ' 段 / ' || a.name || a.pages || '】' || chr(10) || regexp_replace(a.content, '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10) ORDER BY a.i), '') AS prior
+        FROM d b LEFT JOIN d a ON a.fam = b.fam AND a.i < b.i AND regexp_replace(a.content, '^\\s+|\\s+$', '', 'g') <> '' GROUP BY 1)
+      SELECT doc_id, n AS n_prior, md5(prior) AS prior_md5, md5(CASE WHEN prior = '' THEN content ELSE (i + 1) || '/' || (i + 1) || chr(10) || prior || chr(10) || content END) AS prompt_md5 FROM d JOIN p USING (doc_id)""",
+    "question_sheets": """WITH d AS (SELECT source AS file, doc_id, lang, ascii(right(source, 1)) % 3 AS k, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n,
+        CASE WHEN doc_id % 9 = 4 THEN '' ELSE trim(regexp_replace(substr(text, 1, 60), '\\s+', ' ', 'g')) END AS q, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'r' || doc_id END AS r,
+        CASE WHEN doc_id % 5 = 0 THEN row_number() OVER (PARTITION BY source ORDER BY doc_id) ELSE doc_id END AS number FROM documents WHERE source IS NOT NULL)
+      SELECT file, (n + 1)::int AS row, CASE k WHEN 0 THEN 'set2' WHEN 1 THEN 'set1' ELSE 'generic' END AS kind, 'Q' || repeat('0', greatest(0, 4 - length(number::varchar))::bigint) || number AS question_id,
+        md5(q || '|' || CASE k WHEN 2 THEN r ELSE '' END || '|' || CASE k WHEN 0 THEN r ELSE '' END || '|' || CASE WHEN doc_id % 2 = 0 THEN 'd1/d2/d3' ELSE '' END) AS said_md5,
+        CASE k WHEN 0 THEN '难度等级=' || coalesce(nullif(lang, ''), 'NA') WHEN 1 THEN '应用场景=' || coalesce(nullif(lang, ''), 'NA') || ',note=' || coalesce(nullif(r, ''), 'NA') ELSE 'lang=' || coalesce(nullif(lang, ''), 'NA') END AS categories
+      FROM d WHERE q <> ''""",
+    "shard_assign": """SELECT shard, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM (SELECT doc_id, (3 + (row_number() OVER (ORDER BY doc_id) - 1 + 75) // 150)::int AS shard FROM documents) GROUP BY 1""",
     "vectorize_stage": """SELECT doc_id, CASE WHEN said = '' THEN 'undone' ELSE 'done' END AS embedding_status, CASE WHEN said <> '' THEN 16 END AS n,
       CASE WHEN said <> '' THEN round((16 * (strpos('0123456789abcdef', substr(sha256(said), 1, 1)) - 1) + strpos('0123456789abcdef', substr(sha256(said), 2, 1)) - 1) / 255.0, 4) END AS first
       FROM (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'e' || doc_id ELSE text END AS said FROM documents)""",

@@ -185,6 +185,7 @@ class SheetWriter(DataSourceWriter):
         if not sheets:
             return Written(None)
         store, inner = _store(f"{self.path.rstrip('/')}/part-{uuid.uuid4().hex}.xlsx")
+        store.create_dir(posixpath.dirname(inner), recursive=True)
         taken: set[str] = set()
         parts = [(sheet_name(name, taken), f) for name, open_ in sheets.items() for f, _ in open_]
         with store.open_output_stream(inner) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
