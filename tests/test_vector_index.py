@@ -169,7 +169,22 @@ def test_index_grows_by_new_texts(spark, tmp_path):
     index = keyword_index.add_texts(keyword_index.build_index(make(0, 6)), f"file://{tmp_path}/index", make(6, 13))
     whole = keyword_index.build_index(make(0, 13))
     assert {tuple(r) for r in index.frequencies.collect()} == {tuple(r) for r in whole.frequencies.collect()}
-    assert index.postings.count() == whole.postings.count()
+    assert index.postings.agg(F.sum("n")).first()[0] == whole.postings.agg(F.sum("n")).first()[0]
+    words = spark.createDataFrame([(w,) for w in WORDS], "word string")
+    assert {tuple(r) for r in keyword_index.containing(index, make(0, 13), words).collect()} == {(w, i) for w in WORDS for i, t in enumerate(TEXTS) if t and len(w) >= 2 and folded(w) in folded(t)}
+
+
+def test_postings_of_either_form_and_of_every_character(monkeypatch):
+    for n in (1, 9, 100, 8192):
+        for some in (1, n // 20, n // 2, n):
+            places = np.sort(np.random.default_rng(n).permutation(n)[: max(1, some)])
+            assert keyword_index.unpack(keyword_index.pack(places, n)).tolist() == places.tolist()
+    text = "a\x00b🙂\U0010fffeé日本" * 3
+    want = {text[i : i + k] for k in (2, 3) for i in range(len(text) - k + 1)}
+    assert {keyword_index.gram_text(int(c)) for c in keyword_index.gram_codes(text)} == want
+    monkeypatch.setattr(keyword_index, "STRETCH", 4)
+    assert {keyword_index.gram_text(int(c)) for c in keyword_index.gram_codes(text)} == want
+    assert len(keyword_index.gram_codes("")) == 0 and len(keyword_index.gram_codes("a")) == 0
 
 
 def test_keyword_hits_with_and_without_index_agree(spark):

@@ -1,103 +1,192 @@
 """An index of texts for keyword search: which texts hold which runs of two and three characters.
 
 A text that contains a word contains all of the word's runs of three characters (of two, for a word of two), so candidates
-are found by intersecting a few postings lists, and only they are read and tested. Texts and words are compared with their
-case folded. The index is two tables:
+are found by intersecting a few postings, and only they are read and tested. Texts and words are compared with their case
+folded. Texts are indexed in chunks, and an index is three tables:
 
-    postings      gram, id     sorted by gram, so a lookup reads few row groups
-    frequencies   gram, n      in how many texts a gram is
+    chunks        chunk, ids            the ids of a chunk's texts, by their places in it
+    postings      gram, chunk, places   sorted by gram, so a lookup reads few row groups
+    frequencies   gram, n               in how many texts a gram is
+
+places are 16-bit numbers, or a bit for each text of the chunk where that is shorter.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import folded
-from ..storage import new_path, written
+from ..storage import new_path, remove, written
 
-#: Postings handed on at a time while a text is read.
-_ROWS = 50_000
+#: A chunk's texts and bytes at most; a longer text is a chunk of its own.
+CHUNK_TEXTS, CHUNK_BYTES = 8_192, 4_000_000
+#: Characters of a text whose grams are told apart at a time.
+STRETCH = 1 << 20
 
 
 @dataclass
 class KeywordIndex:
+    chunks: DataFrame
     postings: DataFrame
     frequencies: DataFrame
 
 
-def grams(text: str) -> set[str]:
-    """All runs of two and of three characters."""
-    return {text[i : i + 2] for i in range(len(text) - 1)} | {text[i : i + 3] for i in range(len(text) - 2)}
+def grams_of_word(word: Column) -> Column:
+    """The grams that a text with this word (of two characters at least) must have: of three characters, or the word itself if it has two."""
+    of_three = F.transform(F.sequence(F.lit(1), F.char_length(word) - 2), lambda i: F.substring(word, i, F.lit(3)))
+    return F.when(F.char_length(word) == 2, F.array(word)).otherwise(F.array_distinct(of_three))
 
 
-def build_index(texts: DataFrame, path: str | None = None, id_col: str = "id", text_col: str = "content") -> KeywordIndex:
-    """Write an index of the texts to path and return it. Null and empty texts have no postings; ids are of any type.
+def gram_codes(text: str) -> np.ndarray:
+    """The distinct runs of two and three characters, each as a number of 63 bits: 21 for a character, the last first; no character is 0 but NUL, which counts as one."""
+    found = np.empty(0, np.int64)
+    for a in range(0, max(1, len(text) - 1), STRETCH):
+        c = np.frombuffer(text[a : a + STRETCH + 2].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
+        two = c[:-1] | c[1:] << 21
+        found = np.unique(np.concatenate([found, two, two[:-1] | c[2:] << 42]))
+    return found
 
-    A gram that many texts have is dealt over several ranges of ids.
-    """
+
+def gram_text(code: int) -> str:
+    return "".join(chr((code >> s & 0x1FFFFF) - 1) for s in (0, 21, 42) if code >> s & 0x1FFFFF)
+
+
+def pack(places: np.ndarray, n: int) -> bytes:
+    """Ascending places among n texts, behind a byte that tells their form."""
+    if 2 * len(places) <= n // 8:
+        return b"n" + places.astype("<u2").tobytes()
+    bits = np.zeros(n, np.uint8)
+    bits[places] = 1
+    return b"b" + np.packbits(bits, bitorder="little").tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    if packed[:1] == b"n":
+        return np.frombuffer(packed, "<u2", offset=1).astype(np.int64)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8, offset=1), bitorder="little"))
+
+
+def _cut(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    start, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > start and (i - start == CHUNK_TEXTS or held + size > CHUNK_BYTES):
+            yield start, i
+            start, held = i, 0
+        held += size
+    if len(sizes):
+        yield start, len(sizes)
+
+
+def build_index(texts: DataFrame, path: str | None = None, id_col: str = "id", text_col: str = "content") -> KeywordIndex:
+    """Write an index of the texts to path and return it. Null and empty texts are left out; ids are of any type and tell texts apart."""
     spark = texts.sparkSession
     path = path or new_path(spark, "keyword-index")
+    _write(texts, path, id_col, text_col)
+    return _sorted(spark, path, spark.read.parquet(f"{path}/posted"))
+
+
+def _write(texts: DataFrame, path: str, id_col: str, text_col: str) -> None:
+    """Append the texts' chunks and unsorted postings."""
     id_type = texts.schema[id_col].dataType
-    arrow = pa.schema([("gram", pa.string()), ("id", to_arrow_type(id_type))])
+    arrow = pa.schema([("chunk", pa.string()), ("ids", pa.list_(to_arrow_type(id_type))), ("gram", pa.string()), ("places", pa.binary()), ("n", pa.int32())])
 
     def post(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1)):
-                own = list(grams(text.as_py()))
-                for i in range(0, len(own), _ROWS):
-                    part = own[i : i + _ROWS]
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([key.as_py()] * len(part), arrow.field("id").type)], schema=arrow)
+            for a, b in _cut(pc.binary_length(batch.column(1)).to_numpy()):
+                name, n = uuid.uuid4().hex, b - a
+                each = [gram_codes(t) for t in batch.column(1).slice(a, n).to_pylist()]
+                codes, place = np.concatenate(each), np.repeat(np.arange(n), [len(x) for x in each])
+                order = np.argsort(codes, kind="stable")
+                codes, place = codes[order], place[order]
+                first = np.flatnonzero(np.diff(codes, prepend=-1))
+                parts = np.split(place, first[1:]) if len(first) else []
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([batch.column(0).slice(a, n).to_pylist()], arrow.field("ids").type), *(pa.nulls(1, f.type) for f in list(arrow)[2:])], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(first), pa.string()), pa.nulls(len(first), arrow.field("ids").type), pa.array(map(gram_text, codes[first].tolist()), pa.string()), pa.array([pack(p, n) for p in parts], pa.binary()), pa.array(map(len, parts), pa.int32())], schema=arrow)
 
     rows = texts.select(F.col(id_col).alias("id"), folded(text_col).alias("text")).filter("text <> ''")
-    posted = rows.mapInArrow(post, f"gram string, id {id_type.simpleString()}")
-    posted.repartitionByRange("gram", F.xxhash64("id")).sortWithinPartitions("gram").write.parquet(f"{path}/postings")
-    spark.read.parquet(f"{path}/postings").groupBy("gram").agg(F.count("*").alias("n")).sort("gram").write.parquet(f"{path}/frequencies")
+    posted = rows.mapInArrow(post, f"chunk string, ids array<{id_type.simpleString()}>, gram string, places binary, n int")
+    posted.write.mode("append").parquet(f"{path}/posted")
+
+
+def _sorted(spark: SparkSession, path: str, posted: DataFrame) -> KeywordIndex:
+    posted.filter("ids IS NOT NULL").select("chunk", "ids").write.parquet(f"{path}/chunks")
+    rows = posted.filter("ids IS NULL").select("gram", "chunk", "places", "n")
+    rows.repartitionByRange("gram", "chunk").sortWithinPartitions("gram").write.parquet(f"{path}/postings")
+    spark.read.parquet(f"{path}/postings").groupBy("gram").agg(F.sum("n").cast("long").alias("n")).sort("gram").write.parquet(f"{path}/frequencies")
+    remove(spark, f"{path}/posted")
     return load_index(spark, path)
 
 
 def load_index(spark: SparkSession, path: str) -> KeywordIndex:
-    return KeywordIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/frequencies"))
+    return KeywordIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("chunks", "postings", "frequencies")))
 
 
 def add_texts(index: KeywordIndex, path: str, texts: DataFrame, id_col: str = "id", text_col: str = "content") -> KeywordIndex:
-    """Write an index of the old and of new texts, whose ids are new, to path."""
+    """Write an index of the old and of new texts, whose ids are new, to path. The old texts aren't read."""
     spark = texts.sparkSession
-    new = build_index(texts, id_col=id_col, text_col=text_col)
-    index.postings.unionByName(new.postings).repartitionByRange("gram", F.xxhash64("id")).sortWithinPartitions("gram").write.parquet(f"{path}/postings")
-    index.frequencies.unionByName(new.frequencies).groupBy("gram").agg(F.sum("n").alias("n")).sort("gram").write.parquet(f"{path}/frequencies")
-    return load_index(spark, path)
-
-
-def grams_of_word(word: Column) -> Column:
-    """The grams that a text with this word (of two characters at least) must have: of three characters, or the word itself."""
-    of_three = F.transform(F.sequence(F.lit(1), F.char_length(word) - 2), lambda i: F.substring(word, i, F.lit(3)))
-    return F.when(F.char_length(word) == 2, F.array(word)).otherwise(F.array_distinct(of_three))
+    _write(texts, path, id_col, text_col)
+    new = spark.read.parquet(f"{path}/posted")
+    old = index.chunks.unionByName(index.postings.withColumn("ids", F.lit(None)), allowMissingColumns=True)
+    return _sorted(spark, path, new.unionByName(old.select("chunk", "ids", "gram", "places", "n")))
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """folded, chunk, places of rows that come sorted by word and chunk: the places that all of a word's grams have."""
+    key, needs, has, common = None, 0, 0, None
+    out: dict[str, list] = {"folded": [], "chunk": [], "places": []}
+
+    def close() -> None:
+        if key is not None and has == needs and len(common):
+            for name, value in zip(out, (*key, common)):
+                out[name].append(value)
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(out["folded"], pa.string()), pa.array(out["chunk"], pa.string()), pa.array(out["places"], pa.list_(pa.int64()))], ["folded", "chunk", "places"])
+
+    for batch in batches:
+        for word, chunk, packed, need in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if (word, chunk) != key:
+                close()
+                key, needs, has, common = (word, chunk), need, 0, None
+            places = unpack(packed)
+            has, common = has + 1, places if common is None else common[np.isin(common, places, assume_unique=True)]
+        if len(out["folded"]) > 1_000:
+            yield made()
+            out = {name: [] for name in out}
+    close()
+    yield made()
 
 
 def containing(index: KeywordIndex, texts: DataFrame, words: DataFrame, rarest: int = 3, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """word, id: the texts that contain each word (of two characters at least) of words.word, but for case.
 
-    Of each word the `rarest` grams with the fewest postings are looked up; a word with a gram that no text has is found
-    nowhere. What the postings leave is tested on the text itself.
+    Of each word the `rarest` grams that fewest texts have are looked up; a word with a gram that no text has is found
+    nowhere. A word of two or three characters is a gram itself; of longer ones, what the postings leave is tested on the
+    text. A word that many texts hold has its postings dealt by chunk.
     """
     wanted = words.select(folded("word").alias("folded")).filter(F.char_length("folded") >= 2).distinct()
     parts = wanted.select("folded", F.explode(grams_of_word(F.col("folded"))).alias("gram")).join(index.frequencies, "gram", "left")
     least = Window.partitionBy("folded").orderBy("n", "gram")  # a word has few grams
     parts = parts.withColumn("_place", F.row_number().over(least)).withColumn("_unknown", F.max(F.col("n").isNull()).over(Window.partitionBy("folded")))
-    looked = parts.filter((F.col("_place") <= rarest) & ~F.col("_unknown")).select("folded", "gram")
-    needs = looked.groupBy("folded").agg(F.count("*").alias("needs"))
-    maybe = index.postings.join(looked, "gram").groupBy("folded", "id").agg(F.count("*").alias("has"))
-    maybe = maybe.join(needs, "folded").filter("has = needs").select("folded", "id")
+    looked = parts.filter((F.col("_place") <= rarest) & ~F.col("_unknown")).withColumn("needs", F.count("*").over(Window.partitionBy("folded"))).select("folded", "gram", "needs")
+    rows = index.postings.join(looked, "gram").select("folded", "chunk", "places", "needs")
+    met = rows.repartition("folded", "chunk").sortWithinPartitions("folded", "chunk").mapInArrow(_meet, "folded string, chunk string, places array<long>")
+    named = met.join(index.chunks, "chunk").select("folded", F.explode(F.transform("places", lambda p: F.get("ids", p.cast("int")))).alias("id"))
+    named = written(named, "keyword-candidates")
+    short = F.char_length("folded") <= 3
     held = texts.select(F.col(id_col).alias("id"), folded(text_col).alias("text"))
-    found = maybe.join(held, "id").filter(F.contains("text", "folded")).select("folded", "id")
+    tested = named.filter(~short).join(held, "id").filter(F.contains("text", "folded")).select("folded", "id")
     spelled = words.select("word", folded("word").alias("folded")).distinct()
-    return found.join(spelled, "folded").select("word", "id")
+    return named.filter(short).unionByName(tested).join(spelled, "folded").select("word", "id")
 
 
 def keyword_order() -> list[Column]:

@@ -251,7 +251,7 @@ SQL = {
       FROM (SELECT event_type, user_id, count(*) FILTER (event_id % 3 = 0) AS n0, count(*) FILTER (event_id % 3 = 1) AS n1, count(*) FILTER (event_id % 3 = 2) AS n2, sum(event_id) AS tokens, round(sum(value), 2) AS seconds FROM events GROUP BY ALL) GROUP BY ALL""",
     "keyword_index_hits": f"SELECT query_id, chunk_id, n_minority::bigint AS n_minority, n_majority::bigint AS n_majority, score::double AS score FROM ({_POOL})",
     "keyword_containing": """SELECT word, count(*) AS n, sum(doc_id)::bigint AS ids FROM documents d JOIN
-      (SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-zà-öø-ÿ]+')) AS word FROM benchmark) WHERE length(word) >= 2) w ON contains(lower(d.text), word) GROUP BY word""",
+      (SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-zà-öø-ÿ]+')) AS word FROM benchmark) WHERE length(word) >= 6) w ON contains(lower(d.text), word) GROUP BY word""",
     "keyword_hits": f"SELECT query_id, chunk_id, n_minority::bigint AS n_minority, n_majority::bigint AS n_majority, score::double AS score FROM ({_POOL})",
     "keyword_path": f"SELECT query_id, chunk_id, doc_id, score::double AS score FROM ({_PATH})",
     "rerank_by_question": f"""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY {_RELEVANCE} DESC, doc_id) AS material_id, doc_id, round({_RELEVANCE}, 4)::double AS material_score, false AS fallback

@@ -300,9 +300,9 @@ def keyword_index_hits(spark, sf):
 
 
 def keyword_containing(spark, sf):
-    """In which documents each word of every item stands, as part of a word or by itself, through an index."""
+    """In which documents each word of six letters and more of every item stands, as part of a word or by itself, through an index."""
     d = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    words = _t(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-zà-öø-ÿ]+")).alias("word")).filter("length(word) >= 2").distinct()
+    words = _t(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-zà-öø-ÿ]+")).alias("word")).filter("length(word) >= 6").distinct()
     found = keyword_index.containing(keyword_index.build_index(d), d, words)
     return found.groupBy("word").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
