@@ -21,6 +21,26 @@ def count_tokens(text: str) -> int:
     return len(_TOKEN.findall(text))
 
 
+def bpe_counter(path: str, pattern: str) -> Callable[[str], int]:
+    """Counts the tokens of a public byte-pair vocabulary (a .tiktoken file and its pattern); a worker loads it once."""
+
+    def count(text: str) -> int:
+        if path not in _loaded:
+            import base64
+
+            import tiktoken
+
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+            _loaded[path] = tiktoken.Encoding("counter", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return len(_loaded[path].encode_ordinary(text))
+
+    return count
+
+
+_loaded: dict = {}
+
+
 def overlap_ratio(value: float) -> float:
     """Over 1 means percent; held within 0 and 0.9."""
     return min(0.9, max(0.0, value / 100 if value > 1 else value))
@@ -115,4 +135,4 @@ def chunks(docs: DataFrame, heads: DataFrame, most: int = 512, ratio: float = 0.
                 out += [(doc_id, i, f"body_{i}", c) for i, c in enumerate(pack(list(units), most, ratio, count), 1)]
             yield pd.DataFrame(out, columns=["doc_id", "chunk_index", "name", "content"])
 
-    return rows.mapInPandas(run, "doc_id long, chunk_index int, name string, content string")
+    return rows.mapInPandas(run, f"doc_id {docs.schema['id'].dataType.simpleString()}, chunk_index int, name string, content string")

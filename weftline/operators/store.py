@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import family_base
+from ..storage import written
+from .components import components
 
 
 def insert_ignore(existing: DataFrame | None, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -46,31 +46,18 @@ def cascade(parents: DataFrame, children: list[tuple[DataFrame, str, str]], key:
     return out
 
 
-def family_closure(docs: DataFrame, names: DataFrame, shared: str | None = None) -> DataFrame:
+def family_closure(docs: DataFrame, names: DataFrame) -> DataFrame:
     """The docs that a delete of `names` reaches: by name, slice-family base or source name, until nothing is added.
 
-    docs: id, name, source_name. names: name. Each round's set of names is written to `shared` (or checkpointed where the
-    session has a checkpoint folder), so lineage doesn't grow; only counts reach the driver.
+    docs: id, name, source_name. names: name. Names that one doc has are joined, and what is reached is whole components of such
+    names, which take a number of rounds that grows with the logarithm of a chain's length.
     """
-    spark = docs.sparkSession
-    shared = shared or spark.conf.get("spark.checkpoint.dir", None)
-
-    def settle(df: DataFrame) -> DataFrame:
-        if not shared:
-            return df.persist()
-        path = f"{shared.rstrip('/')}/closure-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     base = family_base("name")
-    reach = docs.select("id", F.explode(F.array_compact(F.array(F.col("name"), base, F.col("source_name")))).alias("reached"))
-    wanted = settle(names.select(F.col("name").alias("reached")).union(names.select(base)).distinct())
-    size = wanted.count()
-    while True:
-        hit = reach.join(wanted, "reached", "left_semi").select("id").distinct()
-        wanted = settle(reach.join(hit, "id", "left_semi").select("reached").union(wanted).distinct())
-        grown = wanted.count()
-        if grown == size:
-            break
-        size = grown
-    return docs.join(reach.join(wanted, "reached", "left_semi").select("id").distinct(), "id", "left_semi")
+    own = docs.select("id", F.array_distinct(F.array_compact(F.array(F.col("name"), base, F.col("source_name")))).alias("_names"))
+    edges = own.select(F.array_min("_names").alias("a"), F.explode("_names").alias("b"))
+    roots = written(components(edges), "closure")
+    wanted = names.select(F.col("name").alias("_wanted")).union(names.select(base)).distinct()
+    reached = roots.join(wanted, F.col("node") == F.col("_wanted"), "left_semi").select("root").distinct()
+    whole = roots.join(reached, "root", "left_semi").select(F.col("node").alias("_wanted")).union(wanted).distinct()
+    hit = own.select("id", F.explode("_names").alias("_name")).join(whole, F.col("_name") == F.col("_wanted"), "left_semi").select("id").distinct()
+    return docs.join(hit, "id", "left_semi")
