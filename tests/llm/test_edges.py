@@ -522,21 +522,47 @@ def test_mixing_rates_solve_the_dual(spark):
     assert sum(r.taken for r in mixing.mix_sources(hot, rows_per_block=50).collect()) == pytest.approx(1.5 * sum(len(r[1].split()) for r in rows), rel=0.01)
 
 
-def plain_signature(text, samples=64):
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def of_long(x, seed):
+    return xxhash.xxh64_intdigest((x & (1 << 64) - 1).to_bytes(8, "little"), seed=seed & (1 << 64) - 1)
+
+
+def units(term, k):
+    """The five uniform numbers of a term's draws for a sample."""
+    one, two = (xxhash.xxh64_intdigest((2 * k + i).to_bytes(4, "little"), seed=of_long(term, 42)) for i in (0, 1))
+    unit = lambda x, shift, width: ((x >> shift & (1 << width) - 1) + 0.5) / (1 << width)
+    return unit(one, 0, 32), unit(one, 32, 32), unit(two, 0, 24), unit(two, 24, 24), unit(two, 48, 16)
+
+
+def weights_of(text):
+    return Counter(signed(xxhash.xxh64_intdigest(w, seed=42)) for w in text.encode().split())
+
+
+def draws_of_spark(spark, texts, samples=64):
+    """(term, k) -> r and ln(c), and weight -> ln(weight), with the logarithms that Spark computes."""
+    terms = {t for text in texts for t in weights_of(text)}
+    rows = [(t, k, *units(t, k)) for t in terms for k in range(samples)]
+    df = spark.createDataFrame(rows, "t long, k int, a double, b double, c double, d double, e double")
+    out = {(r.t, r.k): (r.r, r.c) for r in df.select("t", "k", (-F.ln(F.col("a") * F.col("b"))).alias("r"), F.ln(-F.ln(F.col("c") * F.col("d"))).alias("c")).collect()}
+    most = max(n for text in texts for n in weights_of(text).values())
+    return out | {r.n: r.l for r in spark.range(1, most + 1).select(F.col("id").alias("n"), F.ln(F.col("id").cast("double")).alias("l")).collect()}
+
+
+def plain_signature(text, samples=64, draws=None, kept=None):
     """The 16-bit samples, term by term, from the definition."""
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    of_long = lambda x, seed: xxhash.xxh64_intdigest((x & (1 << 64) - 1).to_bytes(8, "little"), seed=seed & (1 << 64) - 1)
-    terms = Counter(signed(xxhash.xxh64_intdigest(w, seed=42)) for w in text.encode().split())
     out = []
     for k in range(samples):
         ranks = []
-        for t, weight in terms.items():
-            one, two = (xxhash.xxh64_intdigest((2 * k + i).to_bytes(4, "little"), seed=of_long(t, 42)) for i in (0, 1))
-            unit = lambda x, shift, width: ((x >> shift & (1 << width) - 1) + 0.5) / (1 << width)
-            r = -math.log(unit(one, 0, 32) * unit(one, 32, 32))
-            log_c = math.log(-math.log(unit(two, 0, 24) * unit(two, 24, 24)))
-            b = unit(two, 48, 16)
-            ranks.append(log_c - r * (math.floor(math.log(weight) / r + b) - b + 1))
+        for t, weight in weights_of(text).items():
+            a, b, c, d, shift = units(t, k)
+            r, log_c = draws[t, k] if draws else (-math.log(a * b), math.log(-math.log(c * d)))
+            log_weight = draws[weight] if draws else math.log(weight)
+            if kept is not None:
+                kept[t, k], kept[weight] = (r, log_c), log_weight
+            ranks.append(log_c - r * (float(math.floor(log_weight / r + shift)) - shift + 1.0))
         out.append(f"{of_long(struct.unpack('<q', struct.pack('<d', min(ranks)))[0], 42) & 0xFFFF:04x}")
     return out
 
@@ -547,9 +573,15 @@ def test_fingerprints_equal_a_plain_version(spark):
     got = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(docs).collect()}
     pairs = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints_with_next(docs).collect()}
     assert got == pairs
-    for i, text in enumerate(texts):  # where the last bit of a logarithm differs between the two mathematical libraries, a hash is another
-        want = plain_signature(text)
-        assert np.mean([got[i][4 * k : 4 * k + 4] == w for k, w in enumerate(want)]) >= 0.75
+    of_spark = draws_of_spark(spark, texts)
+    for i, text in enumerate(texts):
+        want = plain_signature(text, draws=of_spark)
+        assert [got[i][4 * k : 4 * k + 4] for k in range(len(want))] == want  # all samples, over draws with Spark's own logarithms
+    own = {}
+    for text in texts:
+        plain_signature(text, draws=None, kept=own)
+    for key, draw in own.items():  # and those are the definition's, but for the last bits of a logarithm
+        assert of_spark[key] == pytest.approx(draw, rel=1e-12, abs=1e-12)
 
 
 def test_quality_scores_are_sums_of_looked_up_values(spark):
@@ -602,6 +634,23 @@ def test_a_long_text_is_searched_in_stretches():
     assert found[0] == found[1] == found[2] and len(found[0]) == len(items)
 
 
+def test_passages_around_the_length_of_a_repeat(spark):
+    """Passages of over fifty words that two documents share: from 400 bytes on all of one goes, below that none of it."""
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    docs, want = [], {}
+    for i, (words, size) in enumerate([(51, 399), (51, 400), (51, 401), (60, 399), (60, 400), (90, 700), (51, 306), (130, 1200)]):
+        text = " ".join(word(max(2, size // words - 1)) for _ in range(words - 1))
+        passage = f"{text} {word(max(1, size - len(text) - 1))}"
+        assert len(passage) == size and len(passage.split()) == words
+        for k in range(2):  # each between words of its document's own, told apart from the other's beside the passage
+            docs.append((2 * i + k, f"{word(300)}{k}#{passage}#{k}{word(200)}"))
+            want[2 * i + k] = size + 2 if size + 2 >= 400 else 0  # the two marks beside it are shared too
+    docs.append((99, word(2_000)))
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), length=400).collect()}
+    assert got == {d: (n, int(n > 0)) for d, n in (want | {99: 0}).items()}
+
+
 def test_entry_works_without_this_subpackage():
     import subprocess
     import sys
