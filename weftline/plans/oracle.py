@@ -218,6 +218,17 @@ SQL = {
     "context_text": f"""SELECT query_id, material_id, md5('----- Material ' || material_id || ' | source: doc_' || m.doc_id || '.pdf -----' || chr(10) || string_agg(
         CASE WHEN chunk_id % 4 = 0 THEN '### Head' ELSE '### Index block ' || position || ' (match=' || match_type || ')' END || chr(10) || text, chr(10) ORDER BY position)) AS text_md5
       FROM ({_materials(False)}) m JOIN documents d ON d.doc_id = chunk_id WHERE material_id <= 4 GROUP BY query_id, material_id, m.doc_id""",
+    "answered_questions": f"""WITH m AS ({_materials(False)}),
+      t AS (SELECT query_id, material_id, m.doc_id, '----- Material ' || material_id || ' | source: doc_' || m.doc_id || '.pdf -----' || chr(10) || string_agg(
+        CASE WHEN chunk_id % 4 = 0 THEN '### Head' ELSE '### Index block ' || position || ' (match=' || match_type || ')' END || chr(10) || text, chr(10) ORDER BY position) AS text
+        FROM m JOIN documents d ON d.doc_id = chunk_id WHERE material_id <= 4 GROUP BY query_id, material_id, m.doc_id),
+      w AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY material_id) AS context, string_agg('doc_' || doc_id || '.pdf', ',' ORDER BY material_id) AS sources, string_agg(doc_id::varchar, ',' ORDER BY material_id) AS doc_ids FROM t GROUP BY 1),
+      p AS (SELECT vec_id AS query_id, coalesce(context, '(no relevant product materials retrieved)' || chr(10)) || chr(10) || '.Question: question ' || vec_id AS prompt, sources, doc_ids FROM embeddings LEFT JOIN w ON query_id = vec_id WHERE vec_id % 100 = 0)
+      SELECT query_id, length(prompt) || ' characters' AS thought, md5(prompt) AS answer, 1 AS status, sources, doc_ids FROM p""",
+    "reranked_by_model": f"""WITH h AS (SELECT u.query_id, u.chunk_id, u.score, c.doc_id, substr(c.content, 1, 200) AS part FROM ({_UNION}) u JOIN ({_CHUNKS}) c ON c.id = u.chunk_id),
+      d AS (SELECT query_id, doc_id, max(score) AS best, 1.0 / (1 + length(string_agg(part, chr(10) ORDER BY chunk_id))) AS relevance FROM h GROUP BY ALL),
+      r AS (SELECT query_id, doc_id, query_id::varchar LIKE '2%' AS fallback, CASE WHEN query_id::varchar LIKE '2%' THEN best ELSE relevance END AS worth FROM d)
+      SELECT query_id, material_id, doc_id, fallback FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY worth DESC, doc_id) AS material_id FROM r) WHERE material_id <= 4""",
     "thought_answer": """SELECT conv_id, turn, md5(CASE turn % 5 WHEN 0 THEN role WHEN 1 THEN role || chr(10) || ' 回答： ' || said WHEN 3 THEN trim(said) ELSE '' END) AS thought_md5,
       md5(CASE turn % 5 WHEN 1 THEN role WHEN 2 THEN trim(role || ' Answer: ' || said) WHEN 3 THEN '' ELSE trim(said) END) AS answer_md5
       FROM (SELECT conv_id, turn, role, regexp_replace(text, '\\s+', ' ', 'g') AS said FROM conversations)""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import judging as J
 from ..functions import text as X
 from ..functions import values as V
-from ..operators import agent, chunking, evaluation, hypergraph, keyword_index, models, report, retrieval, stages, store, vector_index, vectors
+from ..operators import agent, answering, chunking, evaluation, hypergraph, keyword_index, models, report, retrieval, stages, store, vector_index, vectors
 from ..sources import metrics, remote, tables
 from ..storage import written
 from . import runs
@@ -788,6 +790,38 @@ def context_text(spark, sf):
     return retrieval.context_text(rows, ("query_id",)).select("query_id", F.col("material_id").cast("long").alias("material_id"), F.md5("text").alias("text_md5"))
 
 
+def _told(texts):
+    """Stands in for a model: a thought, and a digest of all that it was asked."""
+    return [f"Thought: {len(t)} characters\nAnswer: {hashlib.md5(t.encode()).hexdigest()}" for t in texts]
+
+
+def answered_questions(spark, sf):
+    """Every question with what is retrieved for it put to a model, and its answer read."""
+    c = _chunks(spark, sf).select(F.col("id").alias("chunk_id"), "content", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source"))
+    rows = written(retrieval.materials(_union(spark, sf), _chunks(spark, sf), by=("query_id",)).filter("material_id <= 4"), "materials").join(c, "chunk_id")
+    asked = _t(spark, sf, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("question "), F.col("vec_id").cast("string")).alias("query"))
+    a = answering.answer_questions(rows, asked, _told)
+    return a.select("query_id", "thought", "answer", F.col("status").cast("long").alias("status"), F.array_join("sources", ",").alias("sources"), F.array_join("doc_ids", ",").alias("doc_ids"))
+
+
+def _lengths(prompts):
+    """Stands in for a reranker: shorter documents are better; some can't be read."""
+    if any('"query":"question 2' in p for p in prompts):
+        raise RuntimeError("unreadable")
+    return [1 / (1 + len(json.loads(p)["document"])) for p in prompts]
+
+
+def reranked_by_model(spark, sf):
+    """The best documents of each question by a model's relevance; questions whose calls fail keep their order."""
+    hits = _union(spark, sf).join(_chunks(spark, sf).select(F.col("id").alias("chunk_id"), "doc_id", "content"), "chunk_id")
+    hits = written(hits, "hit-texts")
+    docs = hits.groupBy("query_id", "doc_id").agg(F.max("score").alias("material_score"))
+    texts = hits.groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "content"))).alias("c")).select("query_id", "doc_id", F.array_join(F.transform("c", lambda x: F.substring(x["content"], 1, 200)), "\n").alias("text"))
+    asked = docs.select("query_id").distinct().withColumn("query", F.concat(F.lit("question "), F.col("query_id").cast("string")))
+    best = answering.reranked(docs, texts, asked, _lengths, 4)
+    return best.select("query_id", F.col("material_id").cast("long").alias("material_id"), "doc_id", "fallback")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = """doc_insert_dedup doc_name_antijoin search_eq count_by keyset_page in_list_semi partial_update_last_wins cascade_delete family_base family_closure slice_plan
     object_key download_plan file_dedup_pref sentence_split join_units chunk_pack head_body_order prior_slices entity_longest entity_degree llm_json_entities llm_json_sum
@@ -796,5 +830,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     group_metrics score_hist category_coverage category_distribution category_compare_outer pairwise_order normalize_score normalize_judgment stage_metrics model_cache_join retrieve
     keyword_hits keyword_path rerank_by_question rerank_parse ratio_parse judge_answers plan_parse stage_pending stage_clear stage_summary head_chunks summary_order
     load_documents resolve_ids sub_graph_export stats_sheet design_sheet cache_deletes throughput counters_by_label sum_and_count system_rows detail_rows item_failures report_summary
-    question_tasks sample_padded eval_failures eval_remaining latency_long metric_table dimension_counts pairwise_winner sample_docs metric_lines error_kinds context_text"""
+    question_tasks sample_padded eval_failures eval_remaining latency_long metric_table dimension_counts pairwise_winner sample_docs metric_lines error_kinds context_text answered_questions
+    reranked_by_model"""
     return {n: globals()[n] for n in names.split()} | runs.queries()
