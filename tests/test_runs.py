@@ -337,3 +337,65 @@ def test_rings_hold_what_they_have_room_for(spark):
             number += 1
     want |= {("g", 0): (0.6, 0.0), ("g", 1): (-0.6, 0.0)}
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def rings_around(keys, centre, inner, spacing, turn):
+    out, number = {}, 0
+    for ring, radius, first, room in layout.ring_plan(len(keys), inner, spacing):
+        here = min(room, len(keys) - first)
+        for j in range(here):
+            a = turn + (math.pi / here if ring % 2 else 0.0) + 2 * math.pi * j / here
+            out[keys[number]] = (centre[0] + radius * math.cos(a), centre[1] + radius * math.sin(a))
+            number += 1
+    return out
+
+
+def test_positions_of_a_small_hypergraph_equal_a_plain_version(spark):
+    """Three hyperedges, chunks of two of them, entities with one anchor, and two that stand between."""
+    hubs, chunks = [1, 2, 5], [(11, 1), (12, 1), (21, 2), (22, 2), (23, 2), (24, 2), (25, 2), (26, 2)]
+    ties = [(f"a{i:02}", "he", 1) for i in range(9)] + [(f"b{i}", "ch", 21) for i in range(3)] + [("x", "he", 1), ("x", "ch", 21), ("y", "ch", 12), ("y", "he", 5)]
+    df = lambda rows, schema: spark.createDataFrame(rows, schema).repartition(3)
+    got = layout.hypergraph_positions(df([(h,) for h in hubs], "hub long"), df(chunks, "chunk long, hub long"), df(ties + ties[:4], "name string, kind string, anchor long"), rounds=4)
+    got = {(r.kind, r.key): (r.x, r.y) for r in got.collect()}
+    he, ch, gap = layout.HYPEREDGE, layout.CHUNK, layout.SPACING
+    single = {"a": [f"a{i:02}" for i in range(9)], "b": [f"b{i}" for i in range(3)]}
+    reach = lambda n: layout.ring_plan(n, ch + gap, gap)[-1][1]
+    bubble = {1: he + 1.0 + reach(9) + 0.35, 2: he + 1.0 + 0.15 * 2 + reach(3) + 0.35, 5: he + 0.55 + 0.35}
+    radius, total, seen, want = (2 * max(bubble.values()) + gap * 1.5) / (2 * math.sin(math.pi / 3)), sum(bubble.values()), 0.0, {}
+    for h in hubs:
+        a = (seen + bubble[h] / 2) / total * 2 * math.pi - bubble[1] / 2 / total * 2 * math.pi - math.pi / 2
+        want["he", str(h)] = (radius * math.cos(a), radius * math.sin(a))
+        seen += bubble[h]
+    for i, h in enumerate(hubs):
+        x, y = want["he", str(h)]
+        for k, at in rings_around([c for c, of in chunks if of == h], (x, y), he + ch + 0.75, max(gap * 1.5, ch * 2.8), math.atan2(y, x) + i * 0.05).items():
+            want["ch", str(k)] = at
+    x, y = want["he", "1"]
+    want |= {("ent", k): at for k, at in rings_around(single["a"], (x, y), he + gap * 0.7, gap, math.atan2(y, x)).items()}
+    (cx, cy), (hx, hy) = want["ch", "21"], want["he", "2"]
+    want |= {("ent", k): at for k, at in rings_around(single["b"], (cx, cy), ch + gap * 0.85, gap, math.atan2(cy - hy, cx - hx)).items()}
+    fixed, start = list(want.values()), {}
+    for g, (name, anchors) in enumerate([("y", [("ch", "12"), ("he", "5")]), ("x", [("ch", "21"), ("he", "1")])]):  # groups in the order of their anchors' names
+        mx, my = (sum(want[a][d] for a in anchors) / 2 for d in (0, 1))
+        r = gap * (0.55 + 0.45 * math.sqrt(0.5))
+        start[name] = (mx + r * math.cos(g * 0.37), my + r * math.sin(g * 0.37))
+    want |= {("ent", k): at for k, at in plain_separated(start, fixed, gap * 0.95, 4, gap * 0.35).items()}
+    assert set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want), [(k, got[k], want[k]) for k in want if got[k] != pytest.approx(want[k], abs=1e-9)]
+
+
+def test_positions_of_little_or_nothing(spark):
+    none = spark.createDataFrame([], "name string, kind string, anchor long")
+    one = spark.createDataFrame([(7,)], "hub long")
+    chunks = spark.createDataFrame([], "chunk long, hub long")
+    assert [tuple(r) for r in layout.hypergraph_positions(one, chunks, none).collect()] == [("he", "7", 0.0, 0.0)]
+    assert layout.hypergraph_positions(one.limit(0), chunks, none).count() == 0
+
+
+def test_intermediate_tables_can_be_removed(spark):
+    from weftline import storage
+
+    rows = storage.written(spark.range(5), "kept")
+    folder = rows.inputFiles()[0].rsplit("/", 1)[0]
+    assert rows.count() == 5 and storage.exists(spark, folder)
+    assert storage.clear(spark) >= 1 and not storage.exists(spark, folder) and storage.clear(spark) == 0

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import safe_div
 from ..storage import exists, remove, written
+from .running import running_sums
 
 MANIFEST = "shard int, n long, first_id long, last_id long, sealed boolean"
 
@@ -18,20 +19,10 @@ MANIFEST = "shard int, n long, first_id long, last_id long, sealed boolean"
 def running_shards(rows: DataFrame, size: int, order: str = "id", start: int = 0, room: int | None = None) -> DataFrame:
     """Adds shard: rows in order fill one shard after the other, `size` rows each, the first from `room` free places on.
 
-    No row meets all others in one task: ranges of rows are counted, a range's start is the sum of the counts before it,
-    and rows are numbered within their range.
+    No row meets all others in one task.
     """
-    spark = rows.sparkSession
-    own = written(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_place", F.monotonically_increasing_id()), "ranges")
-    numbered = own.withColumns({"_part": F.shiftright("_place", 33).cast("int"), "_at": F.col("_place").bitwiseAND((1 << 33) - 1)})
-    counts = {r._part: r.n for r in numbered.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row for each range
-    before, total = [], 0
-    for part in sorted(counts):
-        before.append((part, total))
-        total += counts[part]
-    starts = spark.createDataFrame(before, "_part int, _before long")
-    at = F.col("_before") + F.col("_at") + (size - room if room is not None else 0)
-    return numbered.join(F.broadcast(starts), "_part").withColumn("shard", (F.floor(at / size) + start).cast("int")).drop("_part", "_before", "_at", "_place")
+    at = F.col("_before") + (size - room if room is not None else 0)
+    return running_sums(rows, [order], name="_before").withColumn("shard", (F.floor(at / size) + start).cast("int")).drop("_before")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

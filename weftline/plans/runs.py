@@ -172,12 +172,14 @@ def shard_assign(spark, sf):
 
 
 def hypergraph_layout(spark, sf):
-    """Turns on rings around their conversations, which stand on a ring of their own, pushed apart."""
-    c = _t(spark, sf, "conversations").select(F.col("conv_id").alias("hub"), (F.col("conv_id") * 1000 + F.col("turn")).alias("key")).distinct()
-    hubs = written(layout.on_rings(c.select(F.lit(0).alias("hub"), F.col("hub").alias("key")).distinct(), spark.createDataFrame([(0, 0.0, 0.0)], "hub int, x double, y double"), 3.0, 1.2).select(F.col("key").alias("hub"), "x", "y"), "hubs")
-    placed = layout.on_rings(c, hubs, 0.5, 0.3)
-    apart = layout.separated(placed.select("key", "x", "y"), hubs.select(F.col("hub").alias("key"), "x", "y"), least=0.25, rounds=3)
-    return apart.select("key", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+    """Where a hypergraph's parts are drawn: conversations, their turns after the first, and the long words of those that have few."""
+    c = _t(spark, sf, "conversations")
+    hubs = c.select(F.col("conv_id").alias("hub")).distinct()
+    turns = c.withColumn("chunk", F.col("conv_id") * 1000 + F.col("turn"))
+    words = turns.select("conv_id", "turn", "chunk", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 9))).alias("name"))
+    ties = words.select("name", F.when(F.col("turn") == 0, "he").otherwise("ch").alias("kind"), F.when(F.col("turn") == 0, F.col("conv_id")).otherwise(F.col("chunk")).alias("anchor"))
+    placed = layout.hypergraph_positions(hubs, turns.filter("turn > 0").select("chunk", F.col("conv_id").alias("hub")).distinct(), ties, rounds=3)
+    return placed.select("kind", "key", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

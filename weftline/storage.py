@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,7 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Remove this session's intermediate tables from the shared folder, once nothing reads them any more; how many there were."""
+    made = _made.pop(spark.sparkContext.applicationId, [])
+    for path in made:
+        remove(spark, path)
+    return len(made)
 
 
 def written(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
