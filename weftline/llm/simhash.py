@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,6 +105,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
 
 SIMILAR = (4, 5)  # a Jaccard similarity of 4/5, in whole numbers so that no rounding decides
 SAMPLED, COMMON, MOST_COMMON = 32, 2, 1_000_000
+LOOKS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)  # odd numbers; each gives a least hash of a set
 PARITIES = 16  # words of 64 parities
 
 
@@ -130,6 +132,19 @@ def prefix_length(n: int) -> int:
     return n - -(-SIMILAR[0] * n // SIMILAR[1]) + 1
 
 
+def set_fingerprint(found: np.ndarray, step: int = 1 << 16) -> int:
+    """The SimHash of a set of hashes, as a signed long; 0 for an empty set."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(found), step):
+        counts += np.unpackbits(found[i : i + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(found), bitorder="little").view("<i8")[0])
+
+
+def least_hashes(found: np.ndarray) -> list[int]:
+    """For each of LOOKS the least of the set's hashes times it; similar sets have most often the same. 0 for an empty set."""
+    return [int((found.view(np.uint64) * np.uint64(k)).min().view(np.int64)) if len(found) else 0 for k in LOOKS]
+
+
 def parities(found: np.ndarray) -> np.ndarray:
     """Whether each of 64 * PARITIES classes of hashes has an odd number of the set's; two sets differ in as many hashes as parities, at least."""
     counts = np.bincount(found & (64 * PARITIES - 1), minlength=64 * PARITIES)
@@ -143,17 +158,22 @@ def _drop(*tables: DataFrame) -> None:
             delete(df.sparkSession, folder)
 
 
-def _similar_pairs(pairs: DataFrame, sketches: DataFrame, sets_of) -> DataFrame:
-    """Those pairs (a, b) of nodes whose whole shingle sets are similar, written.
+def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those rows of pairs (a, b and more) whose sketches don't rule out that they are similar.
 
     Sets of n and m elements that are similar differ in at most (n + m) / 9 of them; the parities rule out most others
-    before the sets are fetched, and rule out no similar ones. sets_of gives the sets of a table of nodes.
+    before the sets are fetched, and rule out no similar ones.
     """
-    a, b = (sketches.select(*[F.col(c).alias(f"{side}_{c}") for c in sketches.columns]).withColumnRenamed(f"{side}_node", side) for side in "ab")
+    a, b = (sketches.select(*[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", *(f"w{i}" for i in range(PARITIES)))]).withColumnRenamed(f"{side}_node", side) for side in "ab")
     differ = sum((F.bit_count(F.col(f"a_w{i}").bitwiseXOR(F.col(f"b_w{i}"))) for i in range(1, PARITIES)), F.bit_count(F.col("a_w0").bitwiseXOR(F.col("b_w0"))))
     lengths = (F.col("a_n") * SIMILAR[1] >= F.col("b_n") * SIMILAR[0]) & (F.col("b_n") * SIMILAR[1] >= F.col("a_n") * SIMILAR[0])
     few = differ * (SIMILAR[1] + SIMILAR[0]) <= (F.col("a_n") + F.col("b_n")) * (SIMILAR[1] - SIMILAR[0])
-    pairs = written(pairs.distinct().join(a, "a").join(b, "b").filter(lengths & few).select("a", "b"), "similar-candidates")
+    return pairs.join(a, "a").join(b, "b").filter(lengths & few).select(*pairs.columns)
+
+
+def _similar_pairs(pairs: DataFrame, sets_of) -> DataFrame:
+    """Those plausible pairs (a, b) of nodes whose whole shingle sets are similar, written. sets_of gives the sets of a table of nodes."""
+    pairs = written(pairs.select("a", "b").distinct(), "similar-candidates")
     sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     # a pair takes one set along; the other is joined where it is counted
@@ -167,13 +187,14 @@ def _similar_pairs(pairs: DataFrame, sketches: DataFrame, sets_of) -> DataFrame:
 def similar_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, component_id (smallest id reachable) for each row of docs, where texts of a Jaccard similarity of 0.8 or more link.
 
-    Exact: 64 bits can't tell such texts apart from others (at 0.8 a tenth to a fifth of a SimHash's bits differ, at 0.7
-    little more), so candidates come from prefix filtering, and the distinct shingles of each decide. In any order of all
-    shingles, two similar sets share one among the first fifth of each. The order puts common shingles last (a sample
-    tells them; it bears on the time, not on the result). First each text is held against one of those that it shares a
-    shingle with; what that links is one group. Then all pairs from different groups that share a shingle are compared,
-    none left out, so that only a large group of near copies is spared its pairs. Whole sets are compared by 32 bits of
-    each shingle's hash: of two texts of 300 words one pair in 50,000 counts a shingle too many.
+    SimHash comes first: fingerprints of the sets link by pigeonring chains as in near_duplicates, and each text is held
+    against one of those that it is linked with, and against one of those that share a least hash with it (LOOKS of
+    them). What that links is one group. Fingerprints alone can't give such groups: at 0.8 a tenth to a fifth of their
+    bits differ, at 0.7 little more. So prefix filtering finds the rest: in any order of all shingles, two similar sets
+    share one among the first fifth of each. The order puts common shingles last (a sample tells them; it bears on the
+    time, not on the result). Then
+    all pairs from different groups that share enough of their prefixes are compared, none left out, so that only a large
+    group of near copies is spared its pairs. Whole sets of 64-bit hashes decide about every pair.
 
     Texts of equal sets are one node. A null or empty text groups with other such texts; null ids are kept but never name
     a component (one of null ids only has a null component_id); repeated rows are in one component; an empty table gives
@@ -182,6 +203,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", te
     import xxhash
 
     spark, words = docs.sparkSession, [f"w{i}" for i in range(PARITIES)]
+    looks = [f"m{i}" for i in range(len(LOOKS))]
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -205,9 +227,10 @@ def similar_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", te
 
     def hashes(batches):
         seen: set[int] = set()  # of one task; a node's set is written once there
+        part = TaskContext.get().partitionId()
         for batch in batches:
-            for start, stop in slices_by_bytes(batch.column(1), 2_000_000):
-                nodes, sizes, firsts, sets, odd = [], [], [], [], []
+            for start, stop in slices_by_bytes(batch.column(1), 500_000):
+                nodes, sizes, prints, leasts, firsts, sets, odd = [], [], [], [], [], [], []
                 for text in batch.column(1).slice(start, stop - start):
                     found = shingle_set(text.as_py(), shingle)
                     node = xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
@@ -216,31 +239,40 @@ def similar_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", te
                     nodes.append(node)
                     sizes.append(len(found))
                     odd.append(parities(found))
+                    prints.append(set_fingerprint(found))
+                    leasts.append(least_hashes(found))
                     firsts.append(prefix(found) if new else None)
-                    sets.append(found.astype(np.int32) if new else None)
+                    sets.append(found if new else None)
+                leasts = np.array(leasts, np.int64).reshape(-1, len(LOOKS))
                 odd = np.array(odd, np.int64).reshape(-1, PARITIES)
-                arrays = [batch.column(0).slice(start, stop - start), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(odd[:, i]) for i in range(PARITIES))], ["doc_id", "node", "n", "prefix", "shingles", *words])
+                arrays = [batch.column(0).slice(start, stop - start), pa.array(nodes, pa.int64()), pa.array(np.full(len(nodes), part, np.int32)), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(odd[:, i]) for i in range(PARITIES)), *(pa.array(leasts[:, i]) for i in range(len(LOOKS)))], ["doc_id", "node", "part", "n", "fp", "prefix", "shingles", *words, *looks])
 
-    each = written(rows.mapInArrow(hashes, f"doc_id {id_type}, node long, n int, prefix array<long>, shingles array<int>, " + ", ".join(f"{w} long" for w in words)), "shingle-sets")
+    each = written(rows.mapInArrow(hashes, f"doc_id {id_type}, node long, part int, n int, fp long, prefix array<long>, shingles array<long>, " + ", ".join(f"{w} long" for w in [*words, *looks])), "shingle-sets")
     known = each.filter("shingles IS NOT NULL")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        return written(known.select("node", "shingles").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "similar-sets")
-
+        wanted = nodes.join(sketches.select("node", "part"), "node")  # of a set that several tasks wrote, one
+        return written(known.select("node", "part", "shingles").join(wanted, ["node", "part"], "left_semi").select("node", "shingles"), "similar-sets")
+
+    sketches = written(known.groupBy("node").agg(F.first("n").alias("n"), F.min("part").alias("part"), F.first("fp").alias("fp"), *[F.first(w).alias(w) for w in [*words, *looks]]), "similar-sketches")
+    prints = written(sketches.groupBy("fp").agg(F.min("node").alias("least")), "similar-prints")
+    sketched = components(links(prints.select("fp"))).withColumnRenamed("node", "of")
+    rooted = written(prints.join(sketched, F.col("fp") == F.col("of"), "left").select("fp", F.coalesce("root", "fp").alias("ring"), "least"), "similar-rings")
+    center = written(rooted.groupBy("ring").agg(F.min("least").alias("center")), "similar-centers")
+    seen = sketches.select("node", "fp").join(rooted.select("fp", "ring"), "fp").join(center, "ring").select("center", "node")
+    for m in looks:
+        least = written(sketches.groupBy(m).agg(F.min("node").alias("center"), F.count("*").alias("times")).filter("times > 1").select(m, "center"), "similar-least")
+        seen = seen.union(sketches.select("node", m).join(least, m).select("center", "node"))
+    looked = seen.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    linked = _similar_pairs(_plausible(looked, sketches), sets_of)
+    _drop(prints, rooted, center)
     members = known.select("node", "n", F.explode("prefix").alias("shingle")).repartition("shingle")  # one shuffle for what follows
-    least, most = F.min("node"), F.max("node")
-    met = members.groupBy("shingle").agg(least.alias("center"), most.alias("last")).filter("center <> last").select("shingle", "center")
-    members = written(members.join(met, "shingle").distinct(), "similar-members")
-    sketches = written(known.groupBy("node").agg(F.first("n").alias("n"), *[F.first(w).alias(w) for w in words]), "similar-sketches")
-    # a first look links each text with the one that it shares most with, of those that come first where it meets others
-    shared_with = members.filter("node <> center").groupBy("node", "center").agg(F.count("*").alias("times"))
-    first_look = shared_with.groupBy("node").agg(F.max_by("center", F.struct("times", "center")).alias("center"))
-    linked = _similar_pairs(first_look.select(F.col("center").alias("a"), F.col("node").alias("b")), sketches, sets_of)
-    grouped = components(linked).select(F.col("node").alias("in_group"), "root")
-    grouped = members.join(grouped, F.col("node") == F.col("in_group"), "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"))
+    met = members.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("shingle")
+    members = members.join(met, "shingle", "left_semi").distinct()
+    found = components(linked).select(F.col("node").alias("in_group"), "root")
+    grouped = members.join(found, F.col("node") == F.col("in_group"), "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"))
     grouped = written(grouped, "similar-groups")
-    _drop(members)
     apart = grouped.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle")
     open_ = written(grouped.join(apart, "shingle", "left_semi"), "similar-open")
     _drop(grouped)
@@ -251,7 +283,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", te
     meetings = crossing.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("times"))
     rest = F.greatest(*[F.floor((SIMILAR[0] * n + SIMILAR[1] - 1) / SIMILAR[1]) - 1 for n in (F.col("n_a"), F.col("n_b"))])
     enough = (F.col("times") + rest) * (SIMILAR[0] + SIMILAR[1]) >= (F.col("n_a") + F.col("n_b")) * SIMILAR[0]
-    more = _similar_pairs(meetings.filter(enough).select("a", "b"), sketches, sets_of)
+    more = _similar_pairs(_plausible(meetings.filter(enough).select("a", "b"), sketches), sets_of)
     found = components(linked.union(more))
     nodes = written(each.groupBy("node").agg(F.min("doc_id").alias("least")), "similar-nodes")
     rooted = nodes.join(found, "node").select("node", "root", "least")
