@@ -47,14 +47,23 @@ def _rows(docs: DataFrame, row: str) -> DataFrame:
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shingles of five words, a similarity of 0.8. Of a group's rows one with the smallest id stays, of null ids only if there is no other."""
-    row, stays = _free(docs, "row", "stays")
-    docs = _rows(docs, row)
-    found = similar_groups(docs, shingle=5, id_col=row).select(F.col(row).alias("at"), "component_id")
-    ids = docs.select(F.col(row).alias("at"), F.col("doc_id").alias("id"))
-    found = written(found.join(ids, "at"), "pipeline-groups")
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "at")).alias("first"))
-    return docs.join(first.select(F.col("first.at").alias(stays)), F.col(row) == F.col(stays), "left_semi").drop(row)
+    """Shingles of five words, a similarity of 0.8. Of a group's rows one with the smallest id stays, of null ids only if there is no other.
+
+    Rows are told apart by text and id, so that no table of all texts has to be written; of rows that share both any one
+    stays. Null texts count as empty ones.
+    """
+    key, stays, of_id = _free(docs, "text_key", "stays", "of_id")
+    of_text = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
+    found = similar_groups(docs.withColumn(key, of_text), shingle=5, id_col=key).select(F.col(key).alias("text_key"), "component_id").distinct()
+    rows = docs.select(of_text.alias("k"), F.col("doc_id").alias("id")).groupBy("k", "id").agg(F.count("*").alias("n"))
+    rows = rows.join(found, F.col("k") == F.col("text_key"))
+    first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "k", "n")).alias("first"))
+    first = written(first.select(F.col("first.k").alias(stays), F.col("first.id").alias(of_id), F.col("first.n").alias("n")), "pipeline-first")
+    repeated = written(first.filter("n > 1").drop("n"), "pipeline-repeated")
+    here = lambda them: (of_text == them[stays]) & docs["doc_id"].eqNullSafe(them[of_id])
+    once = first.filter("n = 1").drop("n")
+    again = docs.join(repeated, here(repeated)).dropDuplicates([stays]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(once, here(once), "left_semi").union(again)
 
 
 def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
