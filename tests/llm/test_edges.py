@@ -658,3 +658,31 @@ def test_entry_works_without_this_subpackage():
 
     code = "import sys; sys.modules['weftline.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and 'retrieve' in q; assert set(e.oracle_sql()) <= set(q)"
     assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[2]).returncode == 0
+
+
+def test_workers_give_memory_back_and_get_few_texts_at_once(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    assert list(common.frugal(lambda xs: (x + 1 for x in xs))([1, 2])) == [2, 3] and given == [1]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([len(b)])], ["n"]) for b in batches)
+    found = common.written(spark.range(0, 3000, 1, 1).mapInArrow(sizes, "n long"), "sizes", batch_rows=1000)
+    assert [r.n for r in found.collect()] == [1000] * 3 and spark.conf.get(name) == before
+    found = common.written(spark.range(0, 3000, 1, 1).mapInArrow(sizes, "n long"), "sizes")
+    assert [r.n for r in found.collect()] == [3000] and spark.conf.get(name) == before
+
+
+def test_sets_are_fetched_alike_whether_nodes_are_sent_or_shuffled(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 500, 60)) for _ in range(30)]
+    texts += [t + " one more" for t in texts[::2]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found, plans = [], []
+    monkeypatch.setattr(simhash, "written", lambda df, label, *more: (label == "similar-sets" and plans.append(df._jdf.queryExecution().optimizedPlan().toString()), common.written(df, label, *more))[1])
+    for most in (1_000_000, -1):
+        monkeypatch.setattr(simhash, "MOST_SENT", most)
+        found.append({r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()})
+    half = len(plans) // 2
+    assert found[0] == found[1] and len(set(found[0].values())) == 30
+    assert half and all("broadcast" in p for p in plans[:half]) and not any("strategy=broadcast" in p for p in plans[half:])

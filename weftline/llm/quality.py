@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 FEATURES = [
     "log_bytes", "log_words", "word_length", "word_length_sd", "longest_word", "upper_share", "digit_share", "symbol_share", "stop_share", "exclaim_share", "comma_share",
     "space_share", "wide_share", "pipe_share", "caps_words", "letter_words", "short_words", "distinct_words", "top_word", "repeat_next", "distinct_pairs", "log_lines", "line_words", "repeat_lines",
@@ -192,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["y", "x"])
 
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), F.col("id") == F.col("label_id")).select("y", "text")
-    got = sample.mapInArrow(measure, "y int, x array<double>").toPandas()
+    got = sample.mapInArrow(frugal(measure), "y int, x array<double>").toPandas()
     order = got.assign(key=[tuple(x) for x in got["x"]]).sort_values(["key", "y"]) if len(got) else got  # reruns agree
     return fit(np.array(order["x"].tolist(), np.float64).reshape(-1, len(FEATURES)), order["y"].to_numpy(np.float64))
 
@@ -212,7 +214,7 @@ def score(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3, id_col:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["id", "score", "predicted"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scores, f"id {id_type}, score double, predicted int").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(scores), f"id {id_type}, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def keep(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3, text_col: str = "text", batch_rows: int = 512) -> DataFrame:
@@ -227,4 +229,4 @@ def keep(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3, text_col
                 p = shared.value.score(np.array([features(t.as_py()) for t in part.column(at).cast(pa.string())], np.float64))
                 yield part.filter(pa.array(p >= threshold))
 
-    return docs.mapInArrow(choose, docs.schema)
+    return docs.mapInArrow(frugal(choose), docs.schema)

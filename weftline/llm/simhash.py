@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, written
+from .common import delete, frugal, written
 from .components import components
 from .segments import slices_by_bytes
 
@@ -107,6 +107,8 @@ SIMILAR = (4, 5)  # a Jaccard similarity of 4/5, in whole numbers so that no rou
 SAMPLED, COMMON, MOST_COMMON = 32, 2, 1_000_000
 LOOKS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)  # odd numbers; each gives a least hash of a set
 PARITIES = 16  # words of 64 parities
+MOST_SENT = 1_000_000  # nodes of 12 bytes that may be broadcast
+BATCH_ROWS = 1000  # whole texts that a worker of similar_groups gets at once
 
 
 def shingle_set(text: str | None, shingle: int = 5, step: int = 1 << 16) -> np.ndarray:
@@ -212,7 +214,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", te
             for text in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), shingle))], ["shingle"])
 
-    sampled = rows.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text").distinct().mapInArrow(some_shingles, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    sampled = rows.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text").distinct().mapInArrow(frugal(some_shingles), "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
     common = sampled.filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toPandas()["shingle"].to_numpy(np.int64)
     by_hash = np.argsort(common)
     shared = spark.sparkContext.broadcast((common[by_hash], len(common) - by_hash))  # the commonest has the highest rank
@@ -248,12 +250,16 @@ def similar_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", te
                 arrays = [batch.column(0).slice(start, stop - start), pa.array(nodes, pa.int64()), pa.array(np.full(len(nodes), part, np.int32)), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(odd[:, i]) for i in range(PARITIES)), *(pa.array(leasts[:, i]) for i in range(len(LOOKS)))], ["doc_id", "node", "part", "n", "fp", "prefix", "shingles", *words, *looks])
 
-    each = written(rows.mapInArrow(hashes, f"doc_id {id_type}, node long, part int, n int, fp long, prefix array<long>, shingles array<long>, " + ", ".join(f"{w} long" for w in [*words, *looks])), "shingle-sets")
+    each = written(rows.mapInArrow(frugal(hashes), f"doc_id {id_type}, node long, part int, n int, fp long, prefix array<long>, shingles array<long>, " + ", ".join(f"{w} long" for w in [*words, *looks])), "shingle-sets", BATCH_ROWS)
     known = each.filter("shingles IS NOT NULL")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = nodes.join(sketches.select("node", "part"), "node")  # of a set that several tasks wrote, one
-        return written(known.select("node", "part", "shingles").join(wanted, ["node", "part"], "left_semi").select("node", "shingles"), "similar-sets")
+        # of a set that several tasks wrote, one; so few nodes go to the sets, and only else all sets are shuffled to them
+        wanted = written(nodes.join(sketches.select("node", "part"), "node"), "similar-wanted")
+        near = F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted
+        out = written(known.select("node", "part", "shingles").join(near, ["node", "part"], "left_semi").select("node", "shingles"), "similar-sets")
+        _drop(wanted)
+        return out
 
     sketches = written(known.groupBy("node").agg(F.first("n").alias("n"), F.min("part").alias("part"), F.first("fp").alias("fp"), *[F.first(w).alias(w) for w in [*words, *looks]]), "similar-sketches")
     prints = written(sketches.groupBy("fp").agg(F.min("node").alias("least")), "similar-prints")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import frugal, new_path, written
 from .files import dealt, read_file, write_file
 from .pfor import decode_file, encode_section
 from .segments import encoder, slices_by_bytes
@@ -111,7 +111,7 @@ def write_token_files(
     turn = F.pmod(F.xxhash64("text", F.pmod(F.monotonically_increasing_id(), F.lit(4096))), F.lit(MAX_RANGES))
     placed = rows.select(bucket_of(F.coalesce("id", F.lit(_NULL)), turn).alias("bucket"), "id", "text")
     ordered = placed.repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("id"), "text")
-    return written(ordered.mapInArrow(write, MANIFEST), "token-manifest")
+    return written(ordered.mapInArrow(frugal(write), MANIFEST), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -144,4 +144,4 @@ def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     start += len(ids)
                     yield pa.RecordBatch.from_arrays(out, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids])
 
-    return dealt(files).mapInArrow(read, schema)
+    return dealt(files).mapInArrow(frugal(read), schema)
