@@ -686,3 +686,20 @@ def test_sets_are_fetched_alike_whether_nodes_are_sent_or_shuffled(spark, monkey
     half = len(plans) // 2
     assert found[0] == found[1] and len(set(found[0].values())) == 30
     assert half and all("broadcast" in p for p in plans[:half]) and not any("strategy=broadcast" in p for p in plans[half:])
+
+
+def test_few_ranks_are_drawn_and_the_least_is_found(spark, monkeypatch):
+    """Fingerprints don't change by passing over ranks that can't be least, even if most texts have to be signed again."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(-1, ""), (-2, None), (-3, "of few words"), (-4, "again " * 400)], docs.schema))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    want = {r.doc_id: r.fingerprint for r in fingerprint.sign(rows, ["doc_id"], "text", 8).collect()}
+    for reach in (14.0, 3.0):  # at 3 a text has some sample beyond it in one of three cases
+        monkeypatch.setattr(fingerprint, "_REACH", reach)
+        got = {r.doc_id: r.fingerprint for r in fingerprint.sign(rows, ["doc_id"], "text", 8, sure=False).collect()}
+        assert all(f in (None, want[i]) for i, f in got.items()) and len(got) == len(want)
+        assert {got[i] for i in (-1, -2)} == {want[-1]} and got[-3] == want[-3]
+        assert {r.doc_id: r.fingerprint for r in fingerprint.fingerprints_with_next(docs, samples=8).collect()} == want
+    assert None in got.values()
+    terms = spark.range(20000).select(F.xxhash64("id").alias("t"), F.lit(14 / 300).alias("bound"), F.lit(1.0).alias("single"))
+    assert terms.filter(fingerprint._within(F.col("t"), F.col("bound"), F.col("single"), 0)).count() < 4000

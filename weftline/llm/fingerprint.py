@@ -16,6 +16,7 @@ from .common import WORD_SPLIT, written
 
 SAMPLES = 64
 _HEX = 4  # hex digits a sample
+_REACH = 14.0  # e**rank is exponential with a mean of 1/weight, so the least of a text is beyond _REACH/words once in e**14 samples
 
 
 def weighted_terms(text: Column | str) -> Column:
@@ -36,20 +37,43 @@ def _rank(term: Column, log_weight: Column, k: int) -> Column:
     return log_c - r * (F.floor(log_weight / r + b).cast("double") - b + 1.0)
 
 
-def sign(rows: DataFrame, keys: list[str], text_col: str, samples: int = SAMPLES) -> DataFrame:
+def _within(term: Column, bound: Column, single: Column, k: int) -> Column:
+    """False only if e**rank is above bound (times the weight), told without a logarithm.
+
+    e**rank is c * u**z with c = -ln(p) >= 2 (1 - p) / (1 + p) and u = e**-r. For single words z is s = 1 - b and
+    u**s >= u / (s + (1 - s) u), the harmonic mean below the geometric one; for others u**z >= u / weight.
+    """
+    one, two = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
+    u, p = _unit(one, 0, 32) * _unit(one, 32, 32), _unit(two, 0, 24) * _unit(two, 24, 24)
+    s = F.lit(1.0) - _unit(two, 48, 16) * single
+    return F.lit(2.0) * (F.lit(1.0) - p) * u <= bound * (F.lit(1.0) + p) * (s + (F.lit(1.0) - s) * u)
+
+
+def sign(rows: DataFrame, keys: list[str], text_col: str, samples: int = SAMPLES, sure: bool = True) -> DataFrame:
     """keys and `fingerprint` for each distinct set of keys, whose rows must have one text each.
 
     Rows already partitioned by some of the keys are not shuffled again. A text without words has a fingerprint of its
-    own, equal for all such texts.
+    own, equal for all such texts. Unless it has to be sure, only ranks that may be within _REACH/words are drawn, and the
+    fingerprint is null if a sample has none there; it is the same otherwise.
     """
     hashed = rows.select(*keys, weighted_terms(F.col(text_col)).alias("_terms"))
     ends = F.filter(F.transform("_terms", lambda x, i: F.struct(x.alias("term"), i.alias("at"))), lambda e: F.coalesce(F.get("_terms", e["at"] + 1) != e["term"], F.lit(True)))
-    runs = hashed.select(*keys, ends.alias("_ends"))
+    runs = hashed.select(*keys, F.size("_terms").alias("_words"), ends.alias("_ends"))
     weighted = F.transform("_ends", lambda e, i: F.struct(e["term"].alias("term"), (e["at"] - F.coalesce(F.get("_ends", i - 1)["at"], F.lit(-1))).alias("weight")))
-    terms = runs.select(*keys, F.explode_outer(weighted).alias("_t")).select(*keys, F.col("_t.term").alias("_term"), F.ln(F.col("_t.weight").cast("double")).alias("_log_weight"))
-    least = terms.groupBy(*keys).agg(*[F.min(_rank(F.col("_term"), F.col("_log_weight"), k)).alias(f"_m{k}") for k in range(samples)])
+    terms = runs.select(*keys, "_words", F.explode_outer(weighted).alias("_t"))
+    weight, reach = F.col("_t.weight").cast("double"), F.when(F.col("_words") > _REACH, F.lit(_REACH) / F.col("_words")).otherwise(F.lit(float("inf")))
+    draws = terms.select(*keys, F.col("_t.term").alias("_term"), F.ln(weight).alias("_log_weight"), reach.alias("_within"), (reach * weight).alias("_bound"), F.when(weight == 1, 1.0).otherwise(0.0).alias("_single"))
+    ranks = [_rank(F.col("_term"), F.col("_log_weight"), k) for k in range(samples)]
+    if not sure:
+        ranks = [F.when(_within(F.col("_term"), F.col("_bound"), F.col("_single"), k), rank) for k, rank in enumerate(ranks)]
+    least = draws.groupBy(*keys).agg(*[F.min(rank).alias(f"_m{k}") for k, rank in enumerate(ranks)], F.max("_within").alias("_within"))
     parts = [F.lpad(F.hex(F.xxhash64(f"_m{k}").bitwiseAND(F.lit(0xFFFF))), _HEX, "0") for k in range(samples)]
-    return least.select(*keys, F.lower(F.concat(*parts)).alias("fingerprint"))
+    fingerprint = F.lower(F.concat(*parts))
+    if not sure:
+        most = F.greatest(*[F.coalesce(f"_m{k}", F.lit(float("inf"))) for k in range(samples)], F.lit(float("-inf")))
+        # a text of few words has all its ranks drawn, one without words has none
+        fingerprint = F.when((F.col("_within") == float("inf")) | (most < F.ln("_within") - 1e-9), fingerprint)
+    return least.select(*keys, fingerprint.alias("fingerprint"))
 
 
 def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
@@ -82,6 +106,23 @@ def _lower_bucket(buckets: DataFrame, least: int, most: int) -> DataFrame:
     return inside.join(under, "group", "left").select("bucket", F.coalesce("below", "under_top").alias("below"))
 
 
+def _signed_pairs(rows: DataFrame, beyond: DataFrame, samples: int, sure: bool) -> DataFrame:
+    """For each row of whole buckets its place, its next row's place, and the fingerprints of its text and its edited text."""
+    order = Window.partitionBy("bucket").orderBy(F.desc("id"), F.desc("text"))
+    placed = rows.withColumns({"rn": F.row_number().over(order), "after": F.when(F.col("id").isNotNull(), F.lead("text").over(order))})
+    placed = placed.join(beyond, F.col("bucket") == F.col("of_bucket"), "left")
+    n_chars, inside = F.char_length("text").cast("long"), F.col("after").isNotNull()
+    swap = F.floor(F.col("n_chars") / 3).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - swap), F.substring(F.coalesce("after", "first_text", F.lit("")), F.lit(1), swap))
+    placed = placed.select("bucket", "rn", "id", "text", n_chars.alias("n_chars"), "after", "first_text", F.when(inside, F.col("bucket")).otherwise(F.col("next_bucket")).alias("next_bucket"), F.when(inside, F.col("rn") + 1).otherwise(1).alias("next_rn"))
+    placed = placed.select("bucket", "rn", "id", "n_chars", "next_bucket", "next_rn", "text", edited.alias("edited"))
+    facts = ["bucket", "rn", "id", "n_chars", "next_bucket", "next_rn", "edited_sha256"]
+    placed = placed.withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256))
+    both = placed.select(*facts, F.inline(F.array(F.struct(F.lit(False).alias("changed"), F.col("text").alias("body")), F.struct(F.lit(True).alias("changed"), F.col("edited").alias("body")))))
+    signed = sign(both, [*facts, "changed"], "body", samples, sure)
+    return signed.groupBy(*facts).agg(F.max(F.when(~F.col("changed"), F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("changed"), F.col("fingerprint"))).alias("edited_fingerprint"))
+
+
 def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, bits: int = 6) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they are.
 
@@ -102,21 +143,11 @@ def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: st
     tops = known.groupBy("bucket").agg(F.max(F.struct("id", "text")).alias("top")).select(F.col("bucket").alias("next_bucket"), F.col("top.text").alias("first_text"))
     lower = _lower_bucket(known.select("bucket").distinct(), least, most).select("bucket", F.coalesce("below", F.lit(most)).alias("next_bucket"))
     lower = lower.union(rows.filter("id IS NULL").select("bucket").distinct().select("bucket", F.lit(most).cast("long")))
-    beyond = lower.join(tops, "next_bucket", "left").select(F.col("bucket").alias("of_bucket"), "next_bucket", "first_text")
-    order = Window.partitionBy("bucket").orderBy(F.desc("id"), F.desc("text"))
-    placed = rows.withColumns({"rn": F.row_number().over(order), "after": F.when(F.col("id").isNotNull(), F.lead("text").over(order))})
-    placed = placed.join(beyond, F.col("bucket") == F.col("of_bucket"), "left")
-    n_chars, inside = F.char_length("text").cast("long"), F.col("after").isNotNull()
-    swap = F.floor(F.col("n_chars") / 3).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - swap), F.substring(F.coalesce("after", "first_text", F.lit("")), F.lit(1), swap))
-    placed = placed.select("bucket", "rn", "id", "text", n_chars.alias("n_chars"), "after", "first_text", F.when(inside, F.col("bucket")).otherwise(F.col("next_bucket")).alias("next_bucket"), F.when(inside, F.col("rn") + 1).otherwise(1).alias("next_rn"))
-    placed = placed.select("bucket", "rn", "id", "n_chars", "next_bucket", "next_rn", "text", edited.alias("edited"))
-    facts = ["bucket", "rn", "id", "n_chars", "next_bucket", "next_rn", "edited_sha256"]
-    placed = placed.withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256))
-    both = placed.select(*facts, F.inline(F.array(F.struct(F.lit(False).alias("changed"), F.col("text").alias("body")), F.struct(F.lit(True).alias("changed"), F.col("edited").alias("body")))))
-    signed = sign(both, [*facts, "changed"], "body", samples)
-    pairs = signed.groupBy(*facts).agg(F.max(F.when(~F.col("changed"), F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("changed"), F.col("fingerprint"))).alias("edited_fingerprint"))
-    pairs = written(pairs, "fingerprints")
+    beyond = written(lower.join(tops, "next_bucket", "left").select(F.col("bucket").alias("of_bucket"), "next_bucket", "first_text"), "next-buckets")
+    pairs = written(_signed_pairs(rows, beyond, samples, sure=False), "fingerprints")
+    unsure = written(pairs.filter("fingerprint IS NULL OR edited_fingerprint IS NULL").select("bucket").distinct(), "buckets-unsure")
+    again = written(_signed_pairs(rows.join(unsure, "bucket", "left_semi"), beyond, samples, sure=True), "fingerprints-sure")
+    pairs = pairs.join(unsure, "bucket", "left_anti").unionByName(again)
     then = pairs.select(F.col("bucket").alias("b"), F.col("rn").alias("n"), F.col("fingerprint").alias("next_fingerprint"))
     joined = pairs.join(then, (F.col("next_bucket") == F.col("b")) & (F.col("next_rn") == F.col("n")), "left")
     return joined.select(
