@@ -703,3 +703,22 @@ def test_few_ranks_are_drawn_and_the_least_is_found(spark, monkeypatch):
     assert None in got.values()
     terms = spark.range(20000).select(F.xxhash64("id").alias("t"), F.lit(14 / 300).alias("bound"), F.lit(1.0).alias("single"))
     assert terms.filter(fingerprint._within(F.col("t"), F.col("bound"), F.col("single"), 0)).count() < 4000
+
+
+def test_new_segments_are_encoded_side_by_side(monkeypatch):
+    """Words that are new to the memo go to the tokenizer as a few texts, and get the ids that they have alone."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ours, library = SegmentEncoder(path, "lead", memo_limit=5000), _library(path)
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("aeionrst.,#é1<|>'\t"), rng.integers(1, 9))) for _ in range(4000)] + ["<|endoftext|>", "x<|endoftext|>y", "日本語", "don't", "\x1c.", "a\u2028"]
+    calls = []
+    monkeypatch.setattr(ours, "_ids", lambda some, alone=ours._ids: calls.append(len(some)) or alone(some))
+    ours.encode(pa.array([" ".join(words)]))
+    assert sum(calls) < len(words) / 3
+    got = ours._side_by_side(pa.array([w for w in words if w.strip() == w], pa.large_string())).to_pylist()
+    assert got == [np.array(library.encode(" " + w, add_special_tokens=False).ids, np.uint32).tobytes() for w in words if w.strip() == w]
+    for _ in range(3):  # the memo overflows
+        texts = [" ".join(rng.choice(words, 300)) for _ in range(20)]
+        ids, counts = ours.encode(pa.array(texts))
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]

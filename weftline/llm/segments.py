@@ -18,9 +18,7 @@ import pyarrow.compute as pc
 #: A space beside other white space, where byte-level tokenizers take runs of white space together (Unicode's, and \x1c-\x1f to be safe).
 _WIDE = r"[\s\v\x1c-\x1f\x{85}\p{Z}]"
 _UNSAFE = f"{_WIDE} | {_WIDE}"
-
-#: Letters of which byte-level BPE makes one word, then marks of which it makes another; a part of the segments only, but the most frequent.
-_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+_EDGE = rf"\A(?:\z|{_WIDE})|{_WIDE}\z"
 
 _PLAIN_CHARS = re.compile(r"[ A-Za-zÀ-ÖØ-öø-ÿ.,;:!?]*")
 
@@ -89,8 +87,12 @@ class SegmentEncoder:
         #: An added token of plain characters is found inside words, one with a space across a cut: such tokenizers get whole texts or segments.
         self.direct = self.direct and not any(_PLAIN_CHARS.fullmatch(t["content"]) for t in added)
         self.whole = any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
-        self.model = self.tokenizer.model
-        self.letters = {ord(c): m for c, m in _byte_letters().items()}
+        if self.direct:
+            special = {t["id"]: len(t["content"].encode()) for t in added}
+            vocabulary = self.tokenizer.get_vocab()
+            self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            for token, i in vocabulary.items():
+                self.token_bytes[i] = special.get(i, len(token))  # a byte is a letter in byte-level vocabularies
 
     def _ids(self, segments: list[str]) -> list[bytes]:
         """The ids of each segment as bytes of unsigned 32-bit integers."""
@@ -100,31 +102,51 @@ class SegmentEncoder:
         if new:
             if len(memo) + len(new) > self.memo_limit:
                 memo.clear()
+                memo.update((s, x) for s, x in zip(segments, found) if x is not None)  # most likely the frequent ones
             fresh = {}
-            if self.direct:
-                new = [s for s in new if not self._plain(s, fresh)]
             for i in range(0, len(new), 4096):
                 part = new[i : i + 4096]
-                for s, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
+                for s, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                     fresh[s] = array("I", e.ids).tobytes()
             memo.update(fresh)
             found = [fresh[s] if x is None else x for s, x in zip(segments, found)]
         return found
 
-    def _plain(self, segment: str, into: dict[str, bytes]) -> bool:
-        """Put a plain word's ids, and those of the marks after it, into `into`: the model needs no more than the word's bytes."""
-        found = _PLAIN.fullmatch(segment)
-        if not found:
-            return False
-        word, marks = (self._part(p, into) if p else b"" for p in found.groups())
-        into[segment] = word + marks
-        return True
-
-    def _part(self, part: str, into: dict[str, bytes]) -> bytes:
-        known = self.memo.get(part) or into.get(part)
-        if known is None:
-            into[part] = known = array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
-        return known
+    def _side_by_side(self, segments: pa.Array, run: int = 512) -> pa.Array | None:
+        """The ids of each segment, a space before it, as bytes; runs of segments are encoded as one text each.
+
+        The segments must have no white space at either end. The tokens' bytes tell where a segment's ids end; None if
+        some segment doesn't end with a token.
+        """
+        words = segments.to_pylist()
+        runs = [" " + " ".join(words[i : i + run]) for i in range(0, len(words), run)]
+        ids = [np.array(e.ids, np.uint32) for i in range(0, len(runs), 64) for e in self.tokenizer.encode_batch_fast(runs[i : i + 64], add_special_tokens=False)]
+        ids = np.concatenate([*ids, np.empty(0, np.uint32)])
+        reached, ends = np.cumsum(self.token_bytes[ids]), np.cumsum(pc.binary_length(segments).to_numpy().astype(np.int64) + 1)
+        last = np.searchsorted(reached, ends)
+        if len(ends) and (last[-1] != len(ids) - 1 or (reached[last] != ends).any()):
+            return None
+        offsets = np.concatenate([[0], 4 * (last + 1)])
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(segments), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+
+    def _after_spaces(self, segments: pa.Array, times: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """Ids as bytes, and where among them those of each used segment are, a space before it; the last are empty.
+
+        Segments used once are most likely new and won't come again: they bypass the memo where they can.
+        """
+        used = times > 0
+        alone = times != 1 if self.direct else np.ones(len(segments), bool)
+        if self.direct:
+            alone |= pc.match_substring_regex(segments, _EDGE).to_numpy(zero_copy_only=False)
+        joined = self._side_by_side(segments.filter(pa.array(~alone)))
+        if joined is None:
+            joined, alone = pa.array([], pa.large_binary()), np.ones(len(segments), bool)
+        single = alone & used
+        ids = self._ids([" " + s for s in segments.filter(pa.array(single)).to_pylist()])
+        where = np.full(len(segments), len(joined) + len(ids))
+        where[~alone] = np.arange(len(joined))
+        where[single] = len(joined) + np.arange(len(ids))
+        return pa.concat_arrays([joined, pa.array([*ids, b""], pa.large_binary())]), where
 
     def encode(self, texts: pa.Array, lengths_only: bool = False) -> tuple[np.ndarray | None, np.ndarray]:
         """All ids of the texts one after the other (None if lengths_only), and the number of ids of each text. Null is empty."""
@@ -139,31 +161,30 @@ class SegmentEncoder:
         starts = pieces.offsets.to_numpy().astype(np.int64)
         starts -= starts[0]
         coded = pieces.flatten().dictionary_encode()
-        segments, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        segments, index = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
         if self.lead:
-            first = [segments[i] for i in index[starts[:-1]]]
+            first = segments.take(pa.array(index[starts[:-1]])).to_pylist()
             unsafe = np.flatnonzero(pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False))
             for i in unsafe:  # such a text is one segment: what stands in for its other pieces is empty
                 first[i] = texts[int(i)].as_py()
                 index[starts[i] : starts[i + 1]] = len(segments)
             index[starts[:-1]] = len(segments) + 1 + np.arange(n)
-            used = np.zeros(len(segments), bool)
-            used[index[index < len(segments)]] = True
+            times = np.bincount(index, minlength=len(segments))[: len(segments)]
             kept = {i for i in unsafe}
-            ids = self._ids([" " + s if u else "" for s, u in zip(segments, used)]) + [b""]
-            ids += self._ids([s if i not in kept else "" for i, s in enumerate(first)])
+            ids, where = self._after_spaces(segments, times)
+            of_first = self._ids([s if i not in kept else "" for i, s in enumerate(first)])
             for i in unsafe:
-                ids[len(segments) + 1 + i] = self._whole(first[i])
+                of_first[i] = self._whole(first[i])
+            index = np.concatenate([where, len(ids) - 1 + np.arange(n + 1)])[index]
+            ids = pa.concat_arrays([ids, pa.array(of_first, pa.large_binary())])
         else:
-            ids = self._ids(segments)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        each = sizes[index]
-        counts = np.add.reduceat(each, starts[:-1])
+            ids = pa.array(self._ids(segments.to_pylist()), pa.large_binary())
+        sizes = pc.binary_length(ids).to_numpy() // 4
+        counts = np.add.reduceat(sizes[index], starts[:-1])
         if lengths_only:
             return None, counts
-        base, at = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(sizes) - sizes
-        before = np.cumsum(each) - each
-        return base[np.repeat(at[index] - before, each) + np.arange(each.sum())], counts
+        data = ids.take(pa.array(index)).buffers()[2]
+        return np.frombuffer(data, np.uint32, counts.sum()) if counts.any() else np.empty(0, np.uint32), counts
 
     def _whole(self, text: str) -> bytes:
         parts = cut_long(text, 200_000)
