@@ -688,6 +688,27 @@ def test_sets_are_fetched_alike_whether_nodes_are_sent_or_shuffled(spark, monkey
     assert half and all("broadcast" in p for p in plans[:half]) and not any("strategy=broadcast" in p for p in plans[half:])
 
 
+def test_near_copies_of_one_text_are_not_compared_in_pairs(spark, monkeypatch):
+    """A family around one text, most of its pairs above 0.8 and many below, and two texts apart; whole sets decide, but about few pairs."""
+    rng = np.random.default_rng(8)
+    core = [f"word{i}" for i in range(150)]
+    texts = [" ".join(core)]
+    for i in range(300):
+        text = list(core)
+        for k in rng.choice(150, 1 + i % 3, replace=False):
+            text[k] = f"edit{i}"
+        texts.append(" ".join(text))
+    texts += ["quite another text of its own words here", " ".join(core[:75])]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    similar = [5 * len(x & y) >= 4 * len(x | y) for i, x in enumerate(sets[1:301]) for y in sets[1 : 1 + i]]
+    assert all(5 * len(sets[0] & x) >= 4 * len(sets[0] | x) for x in sets[:301]) and 0.1 < np.mean(similar) < 0.95
+    compared = []
+    monkeypatch.setattr(simhash, "written", lambda df, label, *more: (out := common.written(df, label, *more), label == "similar-candidates" and compared.append(out.count()))[0])
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: 0 if i < 301 else i for i in range(303)}
+    assert sum(compared) < 5 * len(texts)
+
+
 def test_few_ranks_are_drawn_and_the_least_is_found(spark, monkeypatch):
     """Fingerprints don't change by passing over ranks that can't be least, even if most texts have to be signed again."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")

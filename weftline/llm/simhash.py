@@ -107,6 +107,7 @@ SIMILAR = (4, 5)  # a Jaccard similarity of 4/5, in whole numbers so that no rou
 SAMPLED, COMMON, MOST_COMMON = 32, 2, 1_000_000
 LOOKS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)  # odd numbers; each gives a least hash of a set
 PARITIES = 16  # words of 64 parities
+CROWD = 8  # nodes that share a shingle of their prefixes; of fewer all pairs are few
 MOST_SENT = 1_000_000  # nodes of 12 bytes that may be broadcast
 BATCH_ROWS = 1000  # whole texts that a worker of similar_groups gets at once
 
@@ -190,8 +191,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", te
     """id, component_id (smallest id reachable) for each row of docs, where texts of a Jaccard similarity of 0.8 or more link.
 
     SimHash comes first: fingerprints of the sets link by pigeonring chains as in near_duplicates, and each text is held
-    against one of those that it is linked with, and against one of those that share a least hash with it (LOOKS of
-    them). What that links is one group. Fingerprints alone can't give such groups: at 0.8 a tenth to a fifth of their
+    against one of those that it is linked with, against one of those that share a least hash with it (LOOKS of
+    them), and, for each shingle that many prefixes share, against the middle of that crowd: the text whose prefix has
+    most in common with all others, so the one that near copies were made of if it is there. What that links is one group. Fingerprints alone can't give such groups: at 0.8 a tenth to a fifth of their
     bits differ, at 0.7 little more. So prefix filtering finds the rest: in any order of all shingles, two similar sets
     share one among the first fifth of each. The order puts common shingles last (a sample tells them; it bears on the
     time, not on the result). Then
@@ -270,18 +272,24 @@ def similar_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", te
     for m in looks:
         least = written(sketches.groupBy(m).agg(F.min("node").alias("center"), F.count("*").alias("times")).filter("times > 1").select(m, "center"), "similar-least")
         seen = seen.union(sketches.select("node", m).join(least, m).select("center", "node"))
-    looked = seen.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    linked = _similar_pairs(_plausible(looked, sketches), sets_of)
-    _drop(prints, rooted, center)
     members = known.select("node", "n", F.explode("prefix").alias("shingle")).repartition("shingle")  # one shuffle for what follows
     met = members.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("shingle")
-    members = members.join(met, "shingle", "left_semi").distinct()
+    members = written(members.join(met, "shingle", "left_semi").distinct(), "similar-members")
+    crowded = members.groupBy("shingle").agg(F.count("*").alias("times")).filter(F.col("times") >= CROWD)
+    crowds = written(members.join(crowded, "shingle").select("shingle", "node", "times"), "similar-crowds")
+    weights = written(crowds.groupBy("node").agg(F.sum("times").alias("weight")), "similar-weights")
+    middle = crowds.join(weights, "node").groupBy("shingle").agg(F.max(F.struct("weight", "node")).alias("most"))
+    middle = written(middle.select("shingle", F.col("most.node").alias("center")), "similar-middles")
+    seen = seen.union(crowds.join(middle, "shingle").select("center", "node"))
+    looked = seen.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    linked = _similar_pairs(_plausible(looked, sketches), sets_of)
+    _drop(prints, rooted, center, crowds, weights, middle)
     found = components(linked).select(F.col("node").alias("in_group"), "root")
     grouped = members.join(found, F.col("node") == F.col("in_group"), "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"))
     grouped = written(grouped, "similar-groups")
     apart = grouped.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle")
     open_ = written(grouped.join(apart, "shingle", "left_semi"), "similar-open")
-    _drop(grouped)
+    _drop(grouped, members)
     a, b = (open_.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "root")]) for side in "ab")
     near = (F.col("n_a") * SIMILAR[1] >= F.col("n_b") * SIMILAR[0]) & (F.col("n_b") * SIMILAR[1] >= F.col("n_a") * SIMILAR[0])
     crossing = a.join(b, "shingle").filter((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & near)
