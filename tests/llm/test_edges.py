@@ -1,9 +1,11 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, extra columns with clashing names; and parts by themselves."""
 
 import bisect
+import glob
 import hashlib
 import math
 import struct
+import time
 from collections import Counter
 
 import numpy as np
@@ -673,6 +675,21 @@ def test_workers_give_memory_back_and_get_few_texts_at_once(spark, monkeypatch):
     assert [r.n for r in found.collect()] == [3000] and spark.conf.get(name) == before
 
 
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager()
+    root = [str(d) for d in blocks.diskBlockManager().localDirsString()]
+    files = lambda: {f for d in root for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    there = files()
+    found = common.written(spark.range(20_000).withColumn("k", F.xxhash64("id")).repartition(3, "k"), "shuffled")
+    for _ in range(50):  # they are removed beside the query
+        if not files() - there:
+            break
+        time.sleep(0.1)
+    assert not files() - there and found.count() == 20_000 and spark.conf.get(name) == before
+
+
 def test_sets_are_fetched_alike_whether_nodes_are_sent_or_shuffled(spark, monkeypatch):
     rng = np.random.default_rng(5)
     texts = [" ".join(f"w{x}" for x in rng.integers(0, 500, 60)) for _ in range(30)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, new_path
+from .common import delete, new_path, save
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -20,7 +20,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     def settle(df: DataFrame) -> tuple[DataFrame, str, tuple]:
         path = new_path(spark, "edges")
-        df.write.parquet(path)
+        save(df, path)
         back = spark.read.schema(df.schema).parquet(path)
         r = back.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("x", "y"), F.lit(1 << 40))).alias("s")).first()
         return back, path, (r.n, r.s)
