@@ -760,3 +760,19 @@ def test_new_segments_are_encoded_side_by_side(monkeypatch):
         ids, counts = ours.encode(pa.array(texts))
         want = [library.encode(t, add_special_tokens=False).ids for t in texts]
         assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
+def test_segments_of_an_earlier_slice_are_not_encoded_again(monkeypatch):
+    """Words that each slice has once come from the store with the same ids, within its bytes."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, rng = _library(path), np.random.default_rng(6)
+    words = list(dict.fromkeys("".join(rng.choice(list("aeionrst.é"), rng.integers(3, 9))) for _ in range(3000)))
+    texts = [" ".join(["first", *rng.permutation(words)[: len(words) - 100 * k]]) + " " + " ".join(f"new{k}x{i}" for i in range(50)) for k in range(4)]
+    for store_bytes, most in ((64_000_000, len(words) + 200), (60_000, 4 * len(words)), (0, 4 * len(words))):
+        ours, asked = SegmentEncoder(path, "lead", store_bytes=store_bytes), []
+        monkeypatch.setattr(ours, "_side_by_side", lambda some, alone=ours._side_by_side: asked.append(len(some)) or alone(some))
+        for text in texts:
+            ids, counts = ours.encode(pa.array([text]))
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+            assert sum(x.nbytes for x in ours.store) <= store_bytes
+        assert sum(asked) <= most

@@ -1,7 +1,7 @@
 """Encoding of texts with a public tokenizer, one call for each distinct segment.
 
 A text is cut at single spaces wherever no token can cross the cut. Segments that repeat are encoded once by each
-Python worker and kept in a bounded memo, so the tokenizer only sees segments that are new to the worker.
+Python worker and kept in a bounded memo or store, so the tokenizer mostly sees segments that are new to the worker.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ class SegmentEncoder:
     """boundary: "drop" where the tokenizer drops white space (any space is a safe cut), "lead" where a space goes with
     the word after it (byte-level BPE; texts with a space beside other white space are encoded whole)."""
 
-    def __init__(self, path: str, boundary: str, memo_limit: int = 200_000):
+    def __init__(self, path: str, boundary: str, memo_limit: int = 200_000, store_bytes: int = 64_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -80,6 +80,7 @@ class SegmentEncoder:
         self.tokenizer.no_padding()
         self.lead, self.memo_limit = boundary == "lead", memo_limit
         self.memo: dict[str, bytes] = {}
+        self.store, self.store_bytes = (pa.array([], pa.large_string()), pa.array([], pa.large_binary())), store_bytes
         parts = json.loads(self.tokenizer.to_str())
         byte_level = parts["pre_tokenizer"] or {}
         self.direct = self.lead and parts["normalizer"] is None and byte_level.get("type") == "ByteLevel" and byte_level["use_regex"] and not byte_level["add_prefix_space"] and parts["post_processor"] is None
@@ -129,16 +130,34 @@ class SegmentEncoder:
         offsets = np.concatenate([[0], 4 * (last + 1)])
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(segments), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
 
+    def _recalled(self, segments: pa.Array) -> pa.Array | None:
+        """_side_by_side, of which those segments are spared that a slice had before; the store has them and their ids as Arrow arrays."""
+        words, ids = self.store
+        at = pc.index_in(segments, value_set=words)
+        missing = at.is_null()
+        new = segments.filter(missing)
+        fresh = self._side_by_side(new)
+        if fresh is None:
+            return None
+        where = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        where[missing.to_numpy(zero_copy_only=False)] = len(words) + np.arange(len(new))
+        all_words, all_ids = pa.concat_arrays([words, new]), pa.concat_arrays([ids, fresh])
+        for held in ((all_words, all_ids), (new, fresh), (words[:0], ids[:0])):
+            if sum(x.nbytes for x in held) <= self.store_bytes:
+                self.store = held
+                break
+        return all_ids.take(pa.array(where))
+
     def _after_spaces(self, segments: pa.Array, times: np.ndarray) -> tuple[pa.Array, np.ndarray]:
         """Ids as bytes, and where among them those of each used segment are, a space before it; the last are empty.
 
-        Segments used once are most likely new and won't come again: they bypass the memo where they can.
+        Segments used once are most likely new to the memo: they bypass it where they can.
         """
         used = times > 0
         alone = times != 1 if self.direct else np.ones(len(segments), bool)
         if self.direct:
             alone |= pc.match_substring_regex(segments, _EDGE).to_numpy(zero_copy_only=False)
-        joined = self._side_by_side(segments.filter(pa.array(~alone)))
+        joined = self._recalled(segments.filter(pa.array(~alone)))
         if joined is None:
             joined, alone = pa.array([], pa.large_binary()), np.ones(len(segments), bool)
         single = alone & used
