@@ -776,3 +776,24 @@ def test_segments_of_an_earlier_slice_are_not_encoded_again(monkeypatch):
             assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and counts.tolist() == [len(ids)]
             assert sum(x.nbytes for x in ours.store) <= store_bytes
         assert sum(asked) <= most
+
+
+def _plans_of_links(monkeypatch) -> list[str]:
+    """A list that gets how Spark ran the join of each call of links() from now on."""
+    plans, links = [], simhash.links
+
+    def seen(prints):
+        found = links(prints)
+        found.collect()
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(simhash, "links", seen)
+    return plans
+
+
+def test_near_duplicates_of_the_pipeline_broadcast_no_exploded_fingerprints(spark, monkeypatch):
+    plans = _plans_of_links(monkeypatch)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert simhash.similar_groups(docs).count() == docs.count()
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]

@@ -82,7 +82,8 @@ def links(prints: DataFrame) -> DataFrame:
     for i, chain in enumerate(chains):
         here = here | ((start == i) & chain & ~first)  # a pair that several chains find counts at the first
         first = first | chain
-    return exact.join(near, (F.col("k") == F.col("j")) & (a < b) & here & (F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS)).select("a", "b")
+    # Spark sizes what explode makes as if each row gave one, so by itself it broadcasts 68 rows a fingerprint through the driver
+    return exact.join(near.hint("merge"), (F.col("k") == F.col("j")) & (a < b) & here & (F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
