@@ -797,3 +797,10 @@ def test_near_duplicates_of_the_pipeline_broadcast_no_exploded_fingerprints(spar
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert simhash.similar_groups(docs).count() == docs.count()
     assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
+
+
+def test_simhash_broadcasts_no_exploded_fingerprints(spark, monkeypatch):
+    plans = _plans_of_links(monkeypatch)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert simhash.near_duplicates(docs).count() == docs.count()
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
