@@ -1,8 +1,10 @@
 """Vector index, codes, shards and keyword index, against plain versions."""
 
 import math
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +166,36 @@ def test_index_finds_what_a_scan_and_plain_python_find(spark):
     assert keyword_index.containing(index, chunks, words.limit(0)).count() == 0
 
 
+def test_candidates_are_places_in_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    known = ["".join(chr(97 + c) for c in rng.integers(0, 6, n)) for n in rng.integers(2, 9, 300)]
+    rows = [(None if i % 50 == 0 else i // 2, " ".join(known[j] for j in (rng.random(12) ** 3 * 300).astype(int))) for i in range(3000)]
+    rows += [rows[7], rows[7], (5, None), (None, "")]
+    chunks = spark.createDataFrame(rows, "id long, content string").repartition(2)
+    asked = ["".join(w) for w in zip(*[iter(known[1] + known[2])] * 3)] + known[::4] + ["abcdefabc"]
+    words = spark.createDataFrame([(w,) for w in asked], "word string")
+    index, tables, written = keyword_index.build_index(chunks), [], keyword_index.written
+    monkeypatch.setattr(keyword_index, "written", lambda df, label: tables.append(written(df, label)) or tables[-1])
+    want = Counter((w, i) for w in set(asked) for i, t in rows if t and w in t)
+    for few in (False, True):
+        some = words.filter(words.word == known[-4]) if few else words  # few texts are candidates, or all
+        mine = Counter({k: n for k, n in want.items() if not few or k[0] == known[-4]})
+        for most in (0, 100_000):  # ids are shuffled, or broadcast
+            monkeypatch.setattr(keyword_index, "MOST_SENT", most)
+            assert Counter(tuple(r) for r in keyword_index.containing(index, chunks, some).collect()) == mine and mine
+        if few:
+            assert 0 < tables[-1].filter("folded IS NULL").first().n < 1000
+    assert tables[0].count() <= (len(set(asked)) + 1) * index.chunks.count() < len(want)
+    assert index.postings.filter("substr(hex(places), 1, 2) = '6E'").count() and index.postings.filter("substr(hex(places), 1, 2) = '62'").count()
+
+
+def test_found_words_are_given_out_piece_by_piece(monkeypatch):
+    monkeypatch.setattr(keyword_index, "MOST_HELD", 2)
+    arrow = pa.schema([("folded", pa.string()), ("id", pa.int64())])
+    pieces = list(keyword_index._spotted(keyword_index._automaton(["one", "two"]), ["one two", "one", "", "two"], pa.array([5, 6, 7, None]), arrow))
+    assert sorted(map(str, (tuple(r.values()) for b in pieces for r in b.to_pylist()))) == sorted(map(str, [("one", 5), ("two", 5), ("one", 6), ("two", None)])) and len(pieces) > 2
+
+
 def test_index_grows_by_new_texts(spark, tmp_path):
     make = lambda a, b: spark.createDataFrame([(i, TEXTS[i]) for i in range(a, b)], "id long, content string")
     index = keyword_index.add_texts(keyword_index.build_index(make(0, 6)), f"file://{tmp_path}/index", make(6, 13))

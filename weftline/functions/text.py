@@ -87,7 +87,8 @@ def truncate(text: Column | str, limit: int, mark: str = "...[truncated]") -> Co
 
 def folded(c: Column | str) -> Column:
     """Case folded as Unicode says, but for ligatures: ß is ss, a final sigma a sigma. lower() alone keeps both."""
-    return F.replace(F.translate(F.lower(F.upper(_col(c))), "ς", "σ"), F.lit("ß"), F.lit("ss"))
+    lower = F.lower(F.upper(_col(c)))
+    return F.replace(F.replace(lower, F.lit("ς"), F.lit("σ")), F.lit("ß"), F.lit("ss"))  # translate() goes character by character
 
 
 def contains_folded(text: Column | str, word: Column) -> Column:

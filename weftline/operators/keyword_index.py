@@ -1,8 +1,8 @@
 """An index of texts for keyword search: which texts hold which runs of two and three characters.
 
 A text that contains a word contains all of the word's runs of three characters (of two, for a word of two), so candidates
-are found by intersecting a few postings, and only they are read and tested. Texts and words are compared with their case
-folded. Texts are indexed in chunks, and an index is three tables:
+are found by intersecting a few postings, and only they are tested, each text for all words at once. Texts and words are
+compared with their case folded. Texts are indexed in chunks, and an index is three tables:
 
     chunks        chunk, ids            the ids of a chunk's texts, by their places in it
     postings      gram, chunk, places   sorted by gram, so a lookup reads few row groups
@@ -31,6 +31,8 @@ from ..storage import new_path, remove, written
 CHUNK_TEXTS, CHUNK_BYTES = 8_192, 4_000_000
 #: Characters of a text whose grams are told apart at a time.
 STRETCH = 1 << 20
+#: Ids of texts to be tested that may be broadcast, and found words that a task holds before it gives them out.
+MOST_SENT, MOST_HELD = 100_000, 200_000
 
 
 @dataclass
@@ -75,6 +77,20 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8, offset=1), bitorder="little"))
 
 
+def _bits(packed: bytes) -> int:
+    """The places as bits of a number."""
+    if packed[:1] == b"n":
+        places = unpack(packed)
+        bits = np.zeros(places[-1] + 1, np.uint8)
+        bits[places] = 1
+        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    return int.from_bytes(packed[1:], "little")
+
+
+def _places(bits: int) -> np.ndarray:
+    return unpack(b"b" + bits.to_bytes(-(-bits.bit_length() // 8), "little"))
+
+
 def _cut(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
     start, held = 0, 0
     for i, size in enumerate(sizes.tolist()):
@@ -94,6 +110,10 @@ def build_index(texts: DataFrame, path: str | None = None, id_col: str = "id", t
     return _sorted(spark, path, spark.read.parquet(f"{path}/posted"))
 
 
+def _held(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return texts.select(F.col(id_col).alias("id"), folded(text_col).alias("text")).filter("text <> ''")
+
+
 def _write(texts: DataFrame, path: str, id_col: str, text_col: str) -> None:
     """Append the texts' chunks and unsorted postings."""
     id_type = texts.schema[id_col].dataType
@@ -112,8 +132,7 @@ def _write(texts: DataFrame, path: str, id_col: str, text_col: str) -> None:
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([batch.column(0).slice(a, n).to_pylist()], arrow.field("ids").type), *(pa.nulls(1, f.type) for f in list(arrow)[2:])], schema=arrow)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(first), pa.string()), pa.nulls(len(first), arrow.field("ids").type), pa.array(map(gram_text, codes[first].tolist()), pa.string()), pa.array([pack(p, n) for p in parts], pa.binary()), pa.array(map(len, parts), pa.int32())], schema=arrow)
 
-    rows = texts.select(F.col(id_col).alias("id"), folded(text_col).alias("text")).filter("text <> ''")
-    posted = rows.mapInArrow(post, f"chunk string, ids array<{id_type.simpleString()}>, gram string, places binary, n int")
+    posted = _held(texts, id_col, text_col).mapInArrow(post, f"chunk string, ids array<{id_type.simpleString()}>, gram string, places binary, n int")
     posted.write.mode("append").parquet(f"{path}/posted")
 
 
@@ -135,58 +154,101 @@ def add_texts(index: KeywordIndex, path: str, texts: DataFrame, id_col: str = "i
     spark = texts.sparkSession
     _write(texts, path, id_col, text_col)
     new = spark.read.parquet(f"{path}/posted")
-    old = index.chunks.unionByName(index.postings.withColumn("ids", F.lit(None)), allowMissingColumns=True)
-    return _sorted(spark, path, new.unionByName(old.select("chunk", "ids", "gram", "places", "n")))
+    old = index.chunks.unionByName(index.postings, allowMissingColumns=True)
+    return _sorted(spark, path, new.unionByName(old.select(*new.columns)))
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """folded, chunk, places of rows that come sorted by word and chunk: the places that all of a word's grams have."""
-    key, needs, has, common = None, 0, 0, None
-    out: dict[str, list] = {"folded": [], "chunk": [], "places": []}
+    """folded, chunk, places, n of rows that come sorted by chunk and word: the places that all of a word's grams have, packed; of words to be tested all places together, at a chunk's end and with no word."""
+    names, types = ["folded", "chunk", "places", "n"], [pa.string(), pa.string(), pa.binary(), pa.int32()]
+    key, needs, has, common, texts = (None, None), 0, 0, 0, 0
+    out: list[tuple] = []
+
+    def put(word: str | None, chunk: str, bits: int) -> int:
+        """The places where the word is to be tested."""
+        if bits and word and len(word) > 3:
+            out.append((word, chunk, None, bits.bit_count()))
+            return bits
+        if bits:
+            places = _places(bits)
+            out.append((word, chunk, pack(places, int(places[-1]) + 1), len(places)))
+        return 0
+
+    def close(chunk: str | None) -> None:
+        nonlocal texts
+        if key[0] is not None and has == needs:
+            texts |= put(key[1], key[0], common)
+        if key[0] != chunk:
+            put(None, key[0], texts)
+            texts = 0
+
+    for batch in batches:
+        for word, chunk, packed, need in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if (chunk, word) != key:
+                close(chunk)
+                key, needs, has, common = (chunk, word), need, 0, -1
+            has, common = has + 1, common & _bits(packed)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
+        out.clear()
+    close(None)
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
+
 
-    def close() -> None:
-        if key is not None and has == needs and len(common):
-            for name, value in zip(out, (*key, common)):
-                out[name].append(value)
+def _automaton(words: list[str]):
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for word in words:
+        automaton.add_word(word, word)
+    automaton.make_automaton()
+    return automaton
+
+
+def _spotted(automaton, texts: list[str], ids: pa.Array, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """folded, id: each text's id with each of the automaton's words that it contains."""
+    words, rows = [], []
 
     def made() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(out["folded"], pa.string()), pa.array(out["chunk"], pa.string()), pa.array(out["places"], pa.list_(pa.int64()))], ["folded", "chunk", "places"])
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), ids.take(pa.array(rows, pa.int64()))], schema=arrow)
 
-    for batch in batches:
-        for word, chunk, packed, need in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if (word, chunk) != key:
-                close()
-                key, needs, has, common = (word, chunk), need, 0, None
-            places = unpack(packed)
-            has, common = has + 1, places if common is None else common[np.isin(common, places, assume_unique=True)]
-        if len(out["folded"]) > 1_000:
+    for i, text in enumerate(texts):
+        found = {w for _, w in automaton.iter(text)}
+        words += found
+        rows += [i] * len(found)
+        if len(words) >= MOST_HELD:
             yield made()
-            out = {name: [] for name in out}
-    close()
+            words, rows = [], []
     yield made()
 
 
 def containing(index: KeywordIndex, texts: DataFrame, words: DataFrame, rarest: int = 3, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """word, id: the texts that contain each word (of two characters at least) of words.word, but for case.
+    """word, id: the texts, which are those of the index, that contain each word (of two characters at least) of words.word, but for case.
 
     Of each word the `rarest` grams that fewest texts have are looked up; a word with a gram that no text has is found
     nowhere. A word of two or three characters is a gram itself; of longer ones, what the postings leave is tested on the
-    text. A word that many texts hold has its postings dealt by chunk.
+    text: candidates stay places in a chunk, and the candidate texts are gone through once for all words together, as in
+    scanned(); where most texts are candidates, all are. A word that many texts hold has its postings dealt by chunk.
     """
     wanted = words.select(folded("word").alias("folded")).filter(F.char_length("folded") >= 2).distinct()
     parts = wanted.select("folded", F.explode(grams_of_word(F.col("folded"))).alias("gram")).join(index.frequencies, "gram", "left")
     least = Window.partitionBy("folded").orderBy("n", "gram")  # a word has few grams
     parts = parts.withColumn("_place", F.row_number().over(least)).withColumn("_unknown", F.max(F.col("n").isNull()).over(Window.partitionBy("folded")))
     looked = parts.filter((F.col("_place") <= rarest) & ~F.col("_unknown")).withColumn("needs", F.count("*").over(Window.partitionBy("folded"))).select("folded", "gram", "needs")
-    rows = index.postings.join(looked, "gram").select("folded", "chunk", "places", "needs")
-    met = rows.repartition("folded", "chunk").sortWithinPartitions("folded", "chunk").mapInArrow(_meet, "folded string, chunk string, places array<long>")
-    named = met.join(index.chunks, "chunk").select("folded", F.explode(F.transform("places", lambda p: F.get("ids", p.cast("int")))).alias("id"))
-    named = written(named, "keyword-candidates")
-    short = F.char_length("folded") <= 3
-    held = texts.select(F.col(id_col).alias("id"), folded(text_col).alias("text"))
-    tested = named.filter(~short).join(held, "id").filter(F.contains("text", "folded")).select("folded", "id")
+    rows = index.postings.join(looked, "gram").select("folded", "chunk", "places", F.col("needs").cast("int").alias("needs"))
+    met = rows.repartition("chunk").sortWithinPartitions("chunk", "folded").mapInArrow(_meet, "folded string, chunk string, places binary, n int")
+    met = written(met, "keyword-candidates")
+    places = F.udf(lambda packed: unpack(packed).tolist(), "array<int>")
+    ids = F.transform(places("places"), lambda p: F.get("ids", p))
+    short = met.filter(F.char_length("folded") <= 3).join(index.chunks, "chunk").select("folded", F.explode(ids).alias("id"))
+    read = met.filter("folded IS NULL")
+    at = read.join(index.chunks, "chunk").select(F.explode(ids).alias("of_id"))
+    n, held = read.agg(F.sum("n")).first()[0] or 0, _held(texts, id_col, text_col)
+    if n <= MOST_SENT or 2 * n < index.chunks.agg(F.sum(F.size("ids"))).first()[0]:
+        # Spark sizes exploded ids as one row a chunk, so by itself it may broadcast any number of them
+        held = held.join(F.broadcast(at) if n <= MOST_SENT else at.hint("merge"), F.col("id").eqNullSafe(F.col("of_id")), "left_semi")
+    tested = _spot(held, met.filter(F.char_length("folded") > 3).select("folded").distinct())
     spelled = words.select("word", folded("word").alias("folded")).distinct()
-    return named.filter(short).unionByName(tested).join(spelled, "folded").select("word", "id")
+    return short.unionByName(tested).join(spelled, "folded").select("word", "id")
 
 
 def keyword_order() -> list[Column]:
@@ -198,34 +260,31 @@ def scanned(texts: DataFrame, words: DataFrame, id_col: str = "id", text_col: st
 
     Words of more than wave_bytes bytes are looked for in several passes, by a hash of the word.
     """
-    spark, id_type = texts.sparkSession, texts.schema[id_col].dataType
-    arrow = pa.schema([("folded", pa.string()), ("id", to_arrow_type(id_type))])
     wanted = words.select("word", folded("word").alias("folded")).filter(F.char_length("folded") >= 2).distinct()
-    held = texts.select(F.col(id_col).alias("id"), folded(text_col).alias("text")).filter("text <> ''")
+    return _spot(_held(texts, id_col, text_col), wanted.select("folded").distinct(), wave_bytes).join(wanted, "folded").select("word", "id")
+
+
+def _spot(held: DataFrame, wanted: DataFrame, wave_bytes: int = 8_000_000) -> DataFrame:
+    """folded, id: the folded texts of held (id, text) that contain each of the words of wanted.folded, which are distinct."""
+    spark, id_type = held.sparkSession, held.schema["id"].dataType
+    arrow = pa.schema([("folded", pa.string()), ("id", to_arrow_type(id_type))])
     size = wanted.agg(F.sum(F.octet_length("folded").cast("long"))).first()[0] or 0
     out = None
     for p in range(passes := max(1, -(-size // wave_bytes))):
         mine = wanted if passes == 1 else wanted.filter(F.pmod(F.xxhash64("folded"), F.lit(passes)) == p)
-        shared = spark.sparkContext.broadcast(sorted({r.folded for r in mine.select("folded").distinct().toLocalIterator()}))
-        found = held.mapInArrow(_finder(shared, arrow), f"folded string, id {id_type.simpleString()}").join(mine, "folded").select("word", "id")
+        shared = spark.sparkContext.broadcast(sorted(r.folded for r in mine.toLocalIterator()))
+        found = held.mapInArrow(_finder(shared, arrow), f"folded string, id {id_type.simpleString()}")
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def _finder(shared, arrow: pa.Schema):
     def run(batches):
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for word in shared.value:
-            automaton.add_word(word, word)
         if not shared.value:
             return
-        automaton.make_automaton()
+        automaton = _automaton(shared.value)
         for batch in batches:
-            found = [list({w for _, w in automaton.iter(text)}) for text in batch.column(1).to_pylist()]
-            ids = batch.column(0).take(pa.array([i for i, f in enumerate(found) for _ in f], pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([w for f in found for w in f], pa.string()), ids], schema=arrow)
+            yield from _spotted(automaton, batch.column(1).to_pylist(), batch.column(0), arrow)
 
     return run
 
