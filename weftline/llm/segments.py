@@ -157,7 +157,7 @@ class SegmentEncoder:
         alone = times != 1 if self.direct else np.ones(len(segments), bool)
         if self.direct:
             alone |= pc.match_substring_regex(segments, _EDGE).to_numpy(zero_copy_only=False)
-        joined = self._recalled(segments.filter(pa.array(~alone)))
+        joined = self._recalled(segments.filter(pa.array(~alone))) if self.direct else None
         if joined is None:
             joined, alone = pa.array([], pa.large_binary()), np.ones(len(segments), bool)
         single = alone & used
